@@ -4,19 +4,116 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import pii
 from .common import table
+from .mixing import mix_sources
+from .pii import find_personal
+from .secrets import scan_secrets
 from .simhash import simhash_components
+from .spans import count_kind, span_text
+from .urls import domain_rule, filter_urls, host_words
+
+URL_RULES = [
+    domain_rule("block", "com", "/en/"),
+    domain_rule("allow", "example.com", "/en/7"),
+    domain_rule("allow", "net", "/de/"),
+    domain_rule("block", "example.net", "/de/8"),
+    domain_rule("block", "org", "/es/"),
+    *host_words("block", "spam-farm", "cheap-pills", "casino"),
+]
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _digest(spans: Column) -> Column:
+    return F.sha2(span_text(spans), 256).alias("base_sha256")
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    kinds = [count_kind(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *kinds, _digest(F.col("base")), span_text(F.array_sort(F.concat("base", "added"))).alias("spans"), "n_live", "n_example")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal(table(spark, sf_dir, "documents"))
+    kinds = [count_kind(F.col("base"), k.name).alias(f"n_{k.name}") for k in pii.BASE]
+    return found.select("doc_id", *kinds, _digest(F.col("base")), span_text(F.array_sort(F.concat("base", "added"))).alias("spans"), count_kind(F.col("added"), pii.TERM).alias("n_term"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_simhash": op4_simhash}
+    found = (op1_mixing, op2_urls, op3_secrets, op4_simhash, op6_pii)
+    return {f.__name__: f for f in found}
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, length(coalesce(text, '')) AS chars,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  FROM documents),
+k AS (
+  SELECT *, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+            / CASE WHEN chars / greatest(size, 1) >= 4 AND chars / greatest(size, 1) <= 9 THEN 1.0 ELSE 0.25 END AS key
+  FROM d),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         ([1, 2, 3])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight
+  FROM k GROUP BY source),
+l AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE
+             - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+            / ((sum(weight) OVER ())
+             - coalesce(sum(weight) OVER (ORDER BY 3 * source_size / weight, weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS level
+  FROM s),
+t AS (
+  SELECT source, source_size, least((3 * source_size)::DOUBLE, max(level) OVER () * weight) AS target FROM l),
+e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
+p AS (
+  SELECT k.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
+         coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prefix
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, source,
+       epochs + (size > 0 AND (2 * prefix + size)::DOUBLE <= 2 * rest)::BIGINT AS copies,
+       (epochs + (size > 0 AND (2 * prefix + size)::DOUBLE <= 2 * rest)::BIGINT) * size AS taken
+FROM p
+"""
+
+OP2_SQL = r"""
+WITH u AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+r AS (
+  SELECT *, '.' || host AS h,
+         CASE WHEN suffix('.' || host, '.example.com') AND prefix(path, '/en/7') THEN 'example.com/en/7'
+              WHEN suffix('.' || host, '.example.net') AND prefix(path, '/de/8') THEN 'example.net/de/8'
+              WHEN suffix('.' || host, '.com') AND prefix(path, '/en/') THEN 'com/en/'
+              WHEN suffix('.' || host, '.net') AND prefix(path, '/de/') THEN 'net/de/'
+              WHEN suffix('.' || host, '.org') AND prefix(path, '/es/') THEN 'org/es/' END AS rule
+  FROM u)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block'
+            WHEN rule IS NOT NULL THEN 'allow'
+            WHEN contains(host, 'spam-farm') OR contains(host, 'cheap-pills') OR contains(host, 'casino') THEN 'block'
+            ELSE 'allow' END AS verdict
+FROM r
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": OP1_SQL, "op2_urls": OP2_SQL}
