@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from . import pii
 from .common import table
+from .decontam import find_leaks
+from .embeddings import near_vectors
+from .langid import identify_languages
 from .mixing import mix_sources
 from .pii import find_personal
+from .quality import score_quality
 from .secrets import scan_secrets
 from .simhash import simhash_components
 from .spans import count_kind, span_text
+from .toxicity import judge_toxicity
 from .urls import domain_rule, filter_urls, host_words
 
 URL_RULES = [
@@ -48,14 +53,34 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal(table(spark, sf_dir, "documents"))
     kinds = [count_kind(F.col("base"), k.name).alias(f"n_{k.name}") for k in pii.BASE]
     return found.select("doc_id", *kinds, _digest(F.col("base")), span_text(F.array_sort(F.concat("base", "added"))).alias("spans"), count_kind(F.col("added"), pii.TERM).alias("n_term"))
 
 
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mixing, op2_urls, op3_secrets, op4_simhash, op6_pii)
+    found = (op1_mixing, op2_urls, op3_secrets, op4_simhash, op5_langid, op6_pii, op7_decontam, op8_embeddings, op9_toxicity, op10_quality)
     return {f.__name__: f for f in found}
 
 

@@ -29,45 +29,59 @@ def _total(part: Column) -> Column:
     return F.aggregate(part, F.lit(0), lambda a, x: a + x)
 
 
+def _steps(i: int) -> Column:
+    """A match ends where all pieces before it and all matches up to it end: the length of each such step."""
+    return F.transform(f"_m{i}", lambda m, j: F.length(m) + F.get(F.col(f"_p{i}"), j))
+
+
+def _block_sums(i: int) -> Column:
+    blocks = F.sequence(F.lit(1), F.ceil(F.size(f"_s{i}") / BLOCK).cast("int"))
+    return F.transform(blocks, lambda b: _total(F.slice(F.col(f"_s{i}"), (b - 1) * BLOCK + 1, BLOCK)))
+
+
+def _block_starts(i: int) -> Column:
+    return F.transform(f"_b{i}", lambda _, b: _total(F.slice(F.col(f"_b{i}"), 1, b)))
+
+
+def _spans(i: int, kind: Kind, tag: Callable[[Column], Column] | None) -> Column:
+    def span(m, j):
+        block = F.floor(j / BLOCK).cast("int")
+        end = F.get(F.col(f"_o{i}"), block) + _total(F.slice(F.col(f"_s{i}"), block * BLOCK + 1, j - block * BLOCK + 1))
+        group = F.get(F.col(f"_g{i}"), j)
+        return F.struct(
+            (end - F.length(m)).alias("start"),
+            F.lit(i).alias("place"),
+            end.alias("end"),
+            F.lit(kind.name).alias("kind"),
+            (tag(group) if tag else F.lit(None).cast("string")).alias("tag"),
+            (kind.keep(m, group) if kind.keep else F.lit(True)).alias("ok"),
+        )
+
+    kept = F.filter(F.transform(f"_m{i}", span), lambda s: s["ok"])
+    return F.transform(kept, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "place", "end", "kind", "tag")]))
+
+
 def find_spans(texts: DataFrame, text_col: str, kinds: list[Kind], into: str, tag: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Add ``into``: array of (start, end, kind, place, tag), ordered by start, then by the order of ``kinds``.
+    """Add ``into``: array of (start, place, end, kind, tag), ordered by start, then by the order of ``kinds``.
 
     Starts and ends count code points, the end is exclusive; place is the kind's index; tag is ``tag`` of the
     group's text (None: null).  A text without matches has an empty array.
     """
-    out = texts
+    text, out = F.col(text_col), texts
+    none, no_ints = F.array().cast("array<string>"), F.array().cast("array<int>")
     for i, k in enumerate(kinds):
-        text, pattern = F.col(text_col), F.lit(k.pattern)
-        some = text.rlike(k.pattern)
-        none = F.array().cast("array<string>")
-        out = out.withColumn(f"_m{i}", F.when(some, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(none))
+        out = out.withColumn(f"_m{i}", F.when(text.rlike(k.pattern), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(none))
     for i, k in enumerate(kinds):
-        text, some = F.col(text_col), F.size(f"_m{i}") > 0
+        some = F.size(f"_m{i}") > 0
         out = out.withColumn(f"_p{i}", F.when(some, F.transform(F.split(text, k.pattern, -1), F.length)))
         out = out.withColumn(f"_g{i}", F.when(some, F.regexp_extract_all(text, F.lit(k.pattern), F.lit(k.group))) if k.group else F.col(f"_m{i}"))
-    keep = [c for c in texts.columns]
+    for step, of in (("_s", _steps), ("_b", _block_sums)):
+        for i, _ in enumerate(kinds):
+            out = out.withColumn(f"{step}{i}", F.when(F.size(f"_m{i}") > 0, of(i)).otherwise(no_ints))
     for i, _ in enumerate(kinds):
-        # a match ends where all pieces before it and all matches up to it end
-        steps = F.transform(f"_m{i}", lambda m, j, i=i: F.length(m) + F.get(F.col(f"_p{i}"), j))
-        out = out.withColumn(f"_s{i}", F.when(F.size(f"_m{i}") > 0, steps).otherwise(F.array().cast("array<int>")))
-    for i, _ in enumerate(kinds):
-        blocks = F.ceil(F.size(f"_s{i}") / BLOCK).cast("int")
-        sums = F.transform(F.sequence(F.lit(1), blocks), lambda b, i=i: _total(F.slice(F.col(f"_s{i}"), (b - 1) * BLOCK + 1, BLOCK)))
-        out = out.withColumn(f"_b{i}", F.when(F.size(f"_s{i}") > 0, sums).otherwise(F.array().cast("array<int>")))
-    for i, _ in enumerate(kinds):
-        out = out.withColumn(f"_o{i}", F.transform(f"_b{i}", lambda _, b, i=i: _total(F.slice(F.col(f"_b{i}"), 1, b))))
-    parts = []
-    for i, k in enumerate(kinds):
-        def span(m, j, i=i, k=k):
-            block = F.floor(j / BLOCK).cast("int")
-            end = F.get(F.col(f"_o{i}"), block) + _total(F.slice(F.col(f"_s{i}"), block * BLOCK + 1, j - block * BLOCK + 1))
-            group = F.get(F.col(f"_g{i}"), j)
-            return F.struct((end - F.length(m)).alias("start"), end.alias("end"), F.lit(k.name).alias("kind"), F.lit(i).alias("place"), (tag(group) if tag else F.lit(None).cast("string")).alias("tag"), (k.keep(m, group) if k.keep else F.lit(True)).alias("ok"))
-
-        parts.append(F.transform(f"_m{i}", span))
-    spans = F.filter(F.concat(*parts), lambda s: s["ok"])
-    spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["place"].alias("place"), s["end"].alias("end"), s["kind"].alias("kind"), s["tag"].alias("tag")))
-    return out.select(*keep, F.array_sort(spans).alias(into))
+        out = out.withColumn(f"_o{i}", _block_starts(i))
+    spans = F.concat(*[_spans(i, k, tag) for i, k in enumerate(kinds)])
+    return out.select(*texts.columns, F.array_sort(spans).alias(into))
 
 
 SPAN = "array<struct<start:int,place:int,end:int,kind:string,tag:string>>"
