@@ -1 +1,8 @@
 """Operators for large training-data pipelines; nothing outside this subpackage imports it."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# task functions travel with their code, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
