@@ -16,32 +16,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import SPACE_CLASS, cut
 from .mixing import word_count
 
 BUCKETS = 1 << 15
 CACHE = 300_000
-LABELLERS = ("symbols", "capitals", "word_length", "marks", "short", "repeats", "plain_words")
+#: Feature of a word that repeats the one before it.
+AGAIN = 0
+LABELLERS = ("symbols", "capitals", "word_length", "marks", "short", "repeated_lines", "repeated_words", "varied", "sentences")
 
 
 def votes(text: Column) -> list[Column]:
-    """One vote in -1, 0, 1 per labeller, from the whole text."""
+    """One vote in -1, 0, 1 per labeller, from the whole text.
+
+    A labeller that looks for one defect votes bad or nothing: a text without it may have another.
+    """
     chars = F.greatest(F.length(text), F.lit(1))
     share = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))) / chars
     words = F.greatest(word_count(text), F.lit(1))
-    vote = lambda bad, good: F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
-    symbols, capitals, marks = share(r"[^\p{L}\p{N}\s.,;:'\"()!?-]+"), share(r"\p{Lu}+"), share("[!?|#*%$&]+")
-    mean, spread = F.length(text) / words, share(r"[^\p{L}\s]+")
-    lines = F.split(text, "\n")
-    repeats = 1 - F.size(F.array_distinct(lines)) / F.size(lines)
+    bad = lambda c: F.when(c, F.lit(-1)).otherwise(F.lit(0))
+    mean, lines = F.length(text) / words, F.split(text, "\n")
+    distinct = F.size(F.array_distinct(F.split(text, f"{SPACE_CLASS}+"))) / words
+    ends = (F.size(F.split(text, r"[.!?](?=\s|\z)")) - 1) / words
     return [
-        vote(symbols > 0.06, symbols < 0.02),
-        vote(capitals > 0.3, capitals < 0.1),
-        vote((mean > 10) | (mean < 3), mean.between(4, 8)),
-        vote(marks > 0.05, marks < 0.01),
-        vote(words < 5, words > 20),
-        vote(repeats > 0.3, (repeats < 0.1) & (F.size(lines) > 1)),
-        vote(spread > 0.15, spread < 0.08),
+        bad(share(r"[^\p{L}\p{N}\s.,;:'\"()!?-]+") > 0.06),
+        bad(share(r"\p{Lu}+") > 0.3),
+        bad((mean > 10) | (mean < 3)),
+        bad(share("[!?|#*%$&]+") > 0.05),
+        bad(words < 5),
+        bad(1 - F.size(F.array_distinct(lines)) / F.size(lines) > 0.3),
+        bad(share(r"(?<!\S)(\S++)(?:\s\1(?!\S))++") > 0.2),
+        F.when(distinct < 0.15, F.lit(-1)).when(distinct > 0.25, F.lit(1)).otherwise(F.lit(0)),
+        F.when(ends.between(1 / 60, 1 / 3), F.lit(1)).otherwise(F.lit(0)),
     ]
 
 
@@ -85,7 +91,8 @@ def features(text: str, tokens: _Tokens) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    n = np.bincount(np.array([f for w in words for f in tokens[w]], np.int64))
+    again = sum(a == b for a, b in zip(words, words[1:]))
+    n = np.bincount(np.array([f for w in words for f in tokens[w]] + [AGAIN] * again, np.int64))
     at = np.flatnonzero(n)
     value = np.sqrt(n[at] / len(words)).astype(np.float32)
     return at, value
@@ -120,7 +127,7 @@ def score_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     base = [3**i for i in range(len(LABELLERS))]
     pattern = sum(((v + 1) * b for v, b in zip(votes(F.col("t")), base)), F.lit(0)).alias("pattern")
     voted = cut(rows.select("doc_id", pattern))
-    # at most 3^7 rows, whatever the corpus
+    # at most 3^9 rows, whatever the corpus
     counted = voted.groupBy("pattern").count().orderBy("pattern").collect()
     codes = np.array([r[0] for r in counted], np.int64)
     patterns = (codes[:, None] // np.array(base)) % 3 - 1
