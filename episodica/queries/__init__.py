@@ -1,4 +1,4 @@
 """Every registered query outside the llm subpackage."""
 
-from . import journal  # noqa: F401
+from . import decisions, journal  # noqa: F401
 from .base import REGISTRY  # noqa: F401
