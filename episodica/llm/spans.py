@@ -67,21 +67,29 @@ def find_spans(texts: DataFrame, text_col: str, kinds: list[Kind], into: str, ta
     Starts and ends count code points, the end is exclusive; place is the kind's index; tag is ``tag`` of the
     group's text (None: null).  A text without matches has an empty array.
     """
-    text, out = F.col(text_col), texts
+    text = F.col(text_col)
     none, no_ints = F.array().cast("array<string>"), F.array().cast("array<int>")
-    for i, k in enumerate(kinds):
-        out = out.withColumn(f"_m{i}", F.when(text.rlike(k.pattern), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(none))
-    for i, k in enumerate(kinds):
-        some = F.size(f"_m{i}") > 0
-        out = out.withColumn(f"_p{i}", F.when(some, F.transform(F.split(text, k.pattern, -1), F.length)))
-        out = out.withColumn(f"_g{i}", F.when(some, F.regexp_extract_all(text, F.lit(k.pattern), F.lit(k.group))) if k.group else F.col(f"_m{i}"))
-    for step, of in (("_s", _steps), ("_b", _block_sums)):
-        for i, _ in enumerate(kinds):
-            out = out.withColumn(f"{step}{i}", F.when(F.size(f"_m{i}") > 0, of(i)).otherwise(no_ints))
-    for i, _ in enumerate(kinds):
-        out = out.withColumn(f"_o{i}", _block_starts(i))
-    spans = F.concat(*[_spans(i, k, tag) for i, k in enumerate(kinds)])
-    return out.select(*texts.columns, F.array_sort(spans).alias(into))
+    each = list(enumerate(kinds))
+    some = {i: F.size(f"_m{i}") > 0 for i, _ in each}
+    out = _once(texts, {f"_m{i}": F.when(text.rlike(k.pattern), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(none) for i, k in each})
+    pieces = {f"_p{i}": F.when(some[i], F.transform(F.split(text, k.pattern, -1), F.length)) for i, k in each}
+    groups = {f"_g{i}": F.when(some[i], F.regexp_extract_all(text, F.lit(k.pattern), F.lit(k.group))) if k.group else F.col(f"_m{i}") for i, k in each}
+    out = _once(out, pieces | groups)
+    out = _once(out, {f"_s{i}": F.when(some[i], _steps(i)).otherwise(no_ints) for i, _ in each})
+    out = _once(out, {f"_b{i}": F.when(some[i], _block_sums(i)).otherwise(no_ints) for i, _ in each})
+    out = _once(out, {f"_o{i}": _block_starts(i) for i, _ in each})
+    spans = F.concat(*[_spans(i, k, tag) for i, k in each])
+    return _once(out, {into: F.array_sort(spans)}).select(*texts.columns, into)
+
+
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once a row.
+
+    A plain projection may be merged into the next one, and what a lambda reads would then be computed anew
+    for each element.  A generator of one row is not merged.
+    """
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made")
+    return df.select(*df.columns, made).select(*df.columns, *[F.col(f"_made.{n}").alias(n) for n in columns])
 
 
 SPAN = "array<struct<start:int,place:int,end:int,kind:string,tag:string>>"
