@@ -1,4 +1,4 @@
 """Every registered query outside the llm subpackage."""
 
-from . import decisions, domain, journal  # noqa: F401
+from . import decisions, domain, journal, runs  # noqa: F401
 from .base import REGISTRY  # noqa: F401
