@@ -345,7 +345,7 @@ def s9(spark, sf):
     return S.missing_hours(journal(spark, sf).where("channel_id < 5"), stamp("2024-01-01"), 10, "read_time").select(us("hour").alias("hour"))
 
 
-@query("s10_section_directory", "SELECT section_id, min(collector) AS collector, list_sort(list(DISTINCT sensor_kind) FILTER (sensor_kind IS NOT NULL)) AS kinds FROM c GROUP BY 1")
+@query("s10_section_directory", "SELECT section_id, min(collector) AS collector, coalesce(list_sort(list(DISTINCT sensor_kind) FILTER (sensor_kind IS NOT NULL)), []) AS kinds FROM c GROUP BY 1")
 def s10(spark, sf):
     return S.section_directory(channels(spark, sf)).select("section_id", "collector", "kinds")
 

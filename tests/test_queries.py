@@ -23,7 +23,7 @@ def plain(x):
         x = x.tolist()
     if isinstance(x, (list, tuple)):
         return tuple(plain(y) for y in x)
-    if x is None or x != x or str(x) in ("<NA>", "NaT"):
+    if x is None or str(x) in ("<NA>", "NaT", "nan"):
         return None
     if isinstance(x, bool):
         return x
