@@ -109,15 +109,16 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray, names: list[str],
 
     The ``width`` features that tell the last category best are kept.  Rows go to folds by position.
     """
-    sizes = np.array([len(f) for f in features], np.int64)
-    flat = np.concatenate(features) if len(features) else np.zeros(0, np.int32)
-    last = np.repeat(labels[:, -1], sizes) if len(features) else np.zeros(0)
-    seen, at = np.unique(flat, return_inverse=True)
-    n1 = np.bincount(at, weights=last, minlength=len(seen)) if len(seen) else np.zeros(0)
-    n = np.bincount(at, minlength=len(seen)) if len(seen) else np.zeros(0)
+    # counts by bucket, document by document: the sample's features are never copied as a whole
+    n, n1 = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    for f, toxic in zip(features, labels[:, -1]):
+        n[f] += 1
+        if toxic:
+            n1[f] += 1
     rows, positive = max(len(labels), 1), float(labels[:, -1].sum())
-    spread = np.abs(n1 - n * positive / rows) / np.sqrt(np.maximum(n * positive / rows * (1 - positive / rows), 1e-9) + 1)
-    spread[n < least] = -1
+    seen = np.flatnonzero(n >= least)
+    expected = n[seen] * positive / rows
+    spread = np.abs(n1[seen] - expected) / np.sqrt(np.maximum(expected * (1 - positive / rows), 1e-9) + 1)
     best = seen[np.argsort(-spread, kind="stable")[:width]]
     best = np.sort(best)
     chain = Chain(names, {int(f): i for i, f in enumerate(best)})
@@ -127,7 +128,7 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray, names: list[str],
     x = _dense([np.searchsorted(best, f[np.isin(f, best)]) for f in features], len(best))
     fold, earlier = np.arange(len(x)) % folds, np.zeros((len(x), 0), np.float32)
     for k in range(len(names)):
-        y, xs = labels[:, k].astype(np.float32), np.concatenate([x, earlier - 0.5], axis=1)
+        y, xs = labels[:, k].astype(np.float32), np.concatenate([x, earlier - 0.5], axis=1) if k else x
         held = np.zeros(len(x), np.float32)
         for f in range(folds):
             inside = fold != f
@@ -168,9 +169,10 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample_rows: int) -> t
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     rows = rows.join(F.broadcast(picked), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "t")
     rows = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, toxic int, f binary, insult boolean, contempt boolean")
-    got = sorted(rows.collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
-    y = np.array([[r.toxic and r.insult, r.toxic and r.contempt, r.toxic] for r in got], np.float32).reshape(len(got), 3)
-    return [np.frombuffer(r.f, np.int32) for r in got], y, ["insult", "contempt", "toxic"]
+    got = [(zlib.crc32(str(r[0]).encode()), r[0], (r.toxic and r.insult, r.toxic and r.contempt, r.toxic), r.f) for r in rows.collect()]
+    got.sort(key=lambda r: r[:2])
+    y = np.array([r[2] for r in got], np.float32).reshape(len(got), 3)
+    return [np.frombuffer(r[3], np.int32) for r in got], y, ["insult", "contempt", "toxic"]
 
 
 def score_chain(docs: DataFrame, chain: Chain, keep: list[str], *, text_col: str = "text", block: int = 256) -> DataFrame:
