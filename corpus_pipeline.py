@@ -28,25 +28,37 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where(~F.col("is_toxic")).select(*docs.columns)
 
 
+def _same_id(docs: DataFrame, other: DataFrame):
+    return docs["doc_id"].eqNullSafe(other["_id"])
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document of the smallest id stays; of rows that repeat it, all do."""
-    kept = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of each near-duplicate group the document of the smallest id stays; of rows that repeat its id, all do.
+
+    A group without any id stays as it is.
+    """
+    kept = simhash_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, _same_id(docs, kept), "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(leaks, _same_id(docs, leaks), "left_anti").select(*docs.columns)
 
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the terms that reveal it are replaced by their kind; no document goes."""
-    found = find_personal(docs).where("size(base) > 0").select("doc_id", F.array_sort(F.concat("base", "added")).alias("_spans"))
-    found = found.dropDuplicates(["doc_id"])
-    out = docs.join(found, "doc_id", "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("_spans")))
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Personal data and the terms that reveal it are replaced by their kind; no document goes.
+
+    Spans go back to their text by id and a hash of the text, so rows that repeat an id keep their own.
+    """
+    found = find_personal(docs).where("size(base) > 0")
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.array_sort(F.concat("base", "added")).alias("_spans"))
+    found = found.dropDuplicates(["_id", "_hash"])
+    out = docs.join(found, _same_id(docs, found) & (F.xxhash64(docs["text"].cast("string")) == found["_hash"]), "left")
+    text = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(redact(docs["text"], F.col("_spans")))
+    out = out.select(*[docs[c] for c in docs.columns if c not in ("text", "n_chars")], text.alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,7 +94,7 @@ def find_personal(
     support: int = 3,
     keep_text: bool = False,
 ) -> DataFrame:
-    """One row per row of ``docs``: row, doc_id, base, added (spans) and, if asked for, t (the text).
+    """One row per row of ``docs``: row, doc_id, text_hash, base, added (spans) and, if asked for, t (the text).
 
     ``added`` holds terms within ``reach`` characters of an entity that stand beside it ``support`` times or
     more, with at least ``share`` of all their occurrences and ``bits`` of information.  Null text counts as
@@ -104,12 +104,12 @@ def find_personal(
     found = find_entities(docs, id_col=id_col, text_col=text_col)
     some = F.size("base") > 0
     kept = F.col("t") if keep_text else F.when(some, F.col("t"))
-    found = cut(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", kept.alias("t"), "base"))
+    found = cut(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("t").alias("text_hash"), kept.alias("t"), "base"))
     near = cut(_near_terms(found.where(some), reach))
     telling = disclosures(found, near, docs, text_col, share, bits, support)
     terms = near.join(telling, ["entity", "term"]).select("row", F.struct("start", F.lit(len(BASE)).alias("place"), "end", F.lit(TERM).alias("kind"), F.lit(None).cast("string").alias("tag")).alias("span"))
     added = terms.groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("added"))
-    columns = ["row", "doc_id", "base", F.coalesce("added", F.array().cast(SPAN)).alias("added")] + ["t"] * keep_text
+    columns = ["row", "doc_id", "text_hash", "base", F.coalesce("added", F.array().cast(SPAN)).alias("added")] + ["t"] * keep_text
     return found.join(added, "row", "left").select(*columns)
 
 
