@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -74,16 +75,28 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tup
 
 
 class _Tokens(dict):
-    """Raw token -> hashed features: its shape, and the marks at its ends."""
+    """Raw token -> number of its form; forms (shape, length, end) are few, and each has three hashed features."""
 
-    def __missing__(self, token: str) -> tuple[int, ...]:
+    def __init__(self):
+        self.forms, self.hashed, self._table = {}, [], np.zeros((0, 3), np.int64)
+
+    def __missing__(self, token: str) -> int:
         shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in token)
         squeezed = "".join(c for i, c in enumerate(shape) if i == 0 or c != shape[i - 1])[:12]
-        names = [f"s{squeezed}", f"l{min(len(token), 24)}", f"e{shape[-2:]}"]
+        form = (f"s{squeezed}", f"l{min(len(token), 24)}", f"e{shape[-2:]}")
+        if form not in self.forms:
+            self.forms[form] = len(self.forms)
+            self.hashed.append([zlib.crc32(x.encode()) % BUCKETS for x in form])
         if len(self) >= CACHE:
             self.clear()
-        self[token] = value = tuple(zlib.crc32(x.encode()) % BUCKETS for x in names)
-        return value
+        self[token] = n = self.forms[form]
+        return n
+
+    def table(self) -> np.ndarray:
+        """(form, 3) hashed features of all forms seen."""
+        if len(self._table) < len(self.hashed):
+            self._table = np.array(self.hashed, np.int64)
+        return self._table
 
 
 def features(text: str, tokens: _Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -91,11 +104,17 @@ def features(text: str, tokens: _Tokens) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    again = sum(a == b for a, b in zip(words, words[1:]))
-    n = np.bincount(np.array([f for w in words for f in tokens[w]] + [AGAIN] * again, np.int64))
-    at = np.flatnonzero(n)
-    value = np.sqrt(n[at] / len(words)).astype(np.float32)
-    return at, value
+    again = sum(map(eq, words, words[1:]))
+    forms, count = np.unique(np.fromiter(map(tokens.__getitem__, words), np.int64, len(words)), return_counts=True)
+    if len(tokens.forms) > CACHE:  # forms of odd scripts may be many; numbers start anew
+        hashed = tokens.table()[forms]
+        tokens.clear()
+        tokens.__init__()
+    else:
+        hashed = tokens.table()[forms]
+    at, place = np.unique(np.append(hashed.ravel(), AGAIN), return_inverse=True)
+    n = np.bincount(place, weights=np.append(np.repeat(count, 3), again))
+    return at[n > 0], np.sqrt(n[n > 0] / len(words)).astype(np.float32)
 
 
 def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], soft: np.ndarray, l2: float = 1e-4, rounds: int = 200) -> np.ndarray:
@@ -117,9 +136,9 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], soft: np.ndarray, l2:
 
 
 def score_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000, threshold: float = 0.5) -> DataFrame:
-    """One row per row of ``docs``: doc_id, posterior (of its votes), quality (the scorer's, 0 to 1), keep.
+    """One row per row of ``docs``: doc_id, quality (the scorer's, 0 to 1), keep.
 
-    Null text counts as empty: it gets the votes of an empty text and the scorer's bias.  At most ``sample_rows``
+    Null text counts as empty: it gets the scorer's bias.  At most ``sample_rows``
     documents, chosen by a hash of the id, fit the scorer; vote counts cover all.  Repeated rows are scored
     alike; an empty table gives none; other columns don't matter.
     """
@@ -149,11 +168,9 @@ def score_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens()
         for b in batches:
-            found = [features(t, tokens) for t in b.column(2).to_pylist()]
+            found = [features(t, tokens) for t in b.column(1).to_pylist()]
             z = np.array([float(weights[a] @ v) + weights[-1] for a, v in found])
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            post = [by_code.get(c, 0.5) for c in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(post, pa.float64()), pa.array(score, pa.float64()), pa.array(score >= threshold)], ["doc_id", "posterior", "quality", "keep"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(score >= threshold)], ["doc_id", "quality", "keep"])
 
-    out = rows.select("doc_id", pattern, "t")
-    return out.mapInArrow(run, f"doc_id {dict(out.dtypes)['doc_id']}, posterior double, quality double, keep boolean")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, quality double, keep boolean")
