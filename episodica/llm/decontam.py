@@ -27,7 +27,7 @@ VOCABULARY = 500_000
 #: Bits of the filter, as a power of two.
 FILTER_BITS = 22
 #: Fixed list of units that may follow a number.
-UNITS = frozenset("mm cm m km in ft mi mg g kg lb oz ml l s sec min h hr hour hours day days week weeks year years percent % $ € £ usd eur dollars euros cents mph kmh".split())
+UNITS = frozenset("mm cm m km ft mi mg g kg lb oz ml l s sec min h hr hour hours day days week weeks year years percent % $ € £ usd eur dollars euros cents mph kmh".split())
 
 PLAIN, LOOSE = 0, 1
 HITS = "row bigint, doc_id {kind}, view int, hash bigint, pos int, slots array<string>"
@@ -95,9 +95,9 @@ def _windows(texts: list[str], vocabulary: _Vocabulary, widths: list[int]):
             h = _rolled(hashes, width)
             whole = doc[: len(h)] == doc[width - 1 : width - 1 + len(h)]
             if view == LOOSE:
-                # a loose window needs mostly literal words, and a slot, else the plain reading has it
+                # a loose window needs two literal words, and a slot, else the plain reading has it
                 words = literal[width : width + len(h)] - literal[: len(h)]
-                whole &= (2 * words > width) & (words < width)
+                whole &= (words >= 2) & (words < width)
             at = np.flatnonzero(whole)
             yield view, doc[at], place[at], h[at], flat, at, width
 
