@@ -18,7 +18,7 @@ from episodica.llm.common import ensure_checkpoint_dir, table
 from episodica.llm.decontam import find_leaks
 from episodica.llm.mixing import mix_sources
 from episodica.llm.pii import find_personal, redact
-from episodica.llm.simhash import simhash_components
+from episodica.llm.similar import similar_components
 from episodica.llm.toxicity import judge_toxicity
 
 
@@ -33,11 +33,12 @@ def _same_id(docs: DataFrame, other: DataFrame):
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document of the smallest id stays; of rows that repeat its id, all do.
+    """Of each near-duplicate group (five-word shingles, similarity 0.8) the document of the smallest id stays; of rows that repeat its id, all do.
 
     A group without any id stays as it is.
     """
-    kept = simhash_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    found = similar_components(docs)
+    kept = found.groupBy("component").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
     return docs.join(kept, _same_id(docs, kept), "left_semi").select(*docs.columns)
 
 
