@@ -1,9 +1,11 @@
 """Near-duplicate vectors by sorted projection passes.
 
-Each pass gives a vector a key of random hyperplane signs, concatenated.  All (pass, key) rows are ordered
-lexicographically in one range shuffle, every vector is compared with the ``window`` that follow it in its
-pass, and pairs at or above the cosine are kept.  The union over passes links the vectors; copies and
-clusters of any size stay connected, as neighbours in the order are compared whatever the cluster's size.
+Equal vectors are collapsed first.  Each pass gives a vector a key of random hyperplane signs, concatenated.
+All (pass, key) rows are ordered lexicographically in one range shuffle, every vector is compared with the
+``window`` that follow it in its pass, over the borders of ranges too, and pairs at or above the cosine are
+kept.  The union over passes links the vectors; clusters of any size stay connected, as neighbours in the
+order are compared whatever the cluster's size.  The number of passes grows with that of the vectors, so that
+a pair at the cosine meets with a stated probability.
 
 Links inside a component are then made whole for the counts, without spelling out pairs that geometry
 settles: a component's members stand at angles from its mean direction, and two whose angles add up to no
@@ -12,10 +14,12 @@ more than the threshold angle are linked for certain.  Only what this leaves ope
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +37,17 @@ def _unit(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def passes_for(n: int, cosine: float, window: int, recall: float) -> int:
+    """Passes in which a pair at ``cosine`` among ``n`` vectors meets with probability ``recall``, 16 at least.
+
+    In one pass the pair meets when it agrees in about log2(n / window) leading signs; half a sign more
+    is asked, as blocks vary in size (by measurement, see the README).
+    """
+    agree = 1 - math.acos(min(cosine, 1.0)) / math.pi
+    once = agree ** max(0.0, math.log2(max(n, 1) / window) + 0.5)
+    return 16 if once >= 1 else max(16, math.ceil(math.log(1 - recall) / math.log1p(-once)))
+
+
 def _keys(passes: int, bits: int, seed: int):
     """mapInArrow: (vec_id, v) -> (pass, key, vec_id, v); the planes follow from the seed and the dimension."""
 
@@ -44,23 +59,42 @@ def _keys(passes: int, bits: int, seed: int):
             x = _unit(b.column(1))
             if planes is None or planes.shape[0] != x.shape[1]:
                 planes = np.random.default_rng(seed).standard_normal((x.shape[1], passes * bits))
-            signs = (x @ planes > 0).reshape(len(x), passes, bits).astype(np.int64)
-            keys = (signs << np.arange(bits - 1, -1, -1, dtype=np.int64)).sum(axis=2)
             for p in range(passes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), pa.array(keys[:, p]), *b.columns], ["pass", "key", "vec_id", "v"])
+                signs = x @ planes[:, p * bits : (p + 1) * bits] > 0
+                keys = (signs.astype(np.int64) << np.arange(bits - 1, -1, -1, dtype=np.int64)).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), pa.array(keys), *b.columns], ["pass", "key", "vec_id", "v"])
 
     return run
 
 
+NEAR = ["a", "b", "part", "pass", "pos", "v"]
+
+
 def _neighbours(window: int, cosine: float):
-    """mapInArrow over rows in order: links (a, b) among each row and the ``window`` after it in its pass."""
+    """mapInArrow over rows in order: links (a, b) among each row and the ``window`` after it in its pass.
+
+    Rows without b are for the borders: the first and last ``window`` of the partition, with their place in it
+    and their unit vector, and one row without a whose pos is the number of rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
+        part, tail, seen, kind = TaskContext.get().partitionId(), None, 0, None
+
+        def edge(p, ids, x, pos, some):
+            n = int(some.sum())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids[some], kind), pa.nulls(n, kind), pa.array([part] * n, pa.int32()), pa.array(p[some], pa.int32()), pa.array(pos[some], pa.int64()), pa.array(list(x[some]), pa.list_(pa.float64()))], NEAR
+            )
+
         for b in batches:
             if not b.num_rows:
                 continue
+            kind = b.column(2).type
             now = (b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), _unit(b.column(3)))
+            pos = np.arange(seen, seen + b.num_rows)
+            if seen < window:
+                yield edge(*now, pos, pos < window)
+            seen += b.num_rows
             fresh = 0 if tail is None else len(tail[0])
             p, ids, x = now if tail is None else (np.concatenate([t, n]) for t, n in zip(tail, now))
             left, right = [], []
@@ -71,12 +105,33 @@ def _neighbours(window: int, cosine: float):
                 left.append(ids[i])
                 right.append(ids[i + d])
             if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+                found = pa.array(np.concatenate(left), kind)
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([found, pa.array(np.concatenate(right), kind), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.float64()))], NEAR)
             tail = p[-window:], ids[-window:], x[-window:]
+        if seen:
+            pos = np.arange(seen - len(tail[0]), seen)
+            yield edge(*tail, pos, pos >= window)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, kind), pa.array([part], pa.int32()), pa.nulls(1, pa.int32()), pa.array([seen], pa.int64()), pa.nulls(1, pa.list_(pa.float64()))], NEAR)
 
     return run
 
 
+def _border_links(found: DataFrame, cosine: float, window: int) -> DataFrame:
+    """Links (a, b) of rows at most ``window`` places apart in one pass that lie in different partitions."""
+    before, offsets = 0, []
+    # one row a partition
+    for r in sorted(found.where("a is null").select("part", "pos").collect()):
+        offsets.append((r.part, before))
+        before += r.pos
+    places = found.sparkSession.createDataFrame(offsets, "part int, offset bigint")
+    edges = found.where("a is not null and b is null").join(F.broadcast(places), "part").select("a", "part", "pass", (F.col("pos") + F.col("offset")).alias("at"), "v")
+    edges = edges.withColumn("block", F.floor(F.col("at") / window))
+    later = edges.select(F.col("a").alias("b"), F.col("part").alias("q"), "pass", F.col("at").alias("to"), F.col("v").alias("w"), F.explode(F.array("block", F.col("block") - 1)).alias("block"))
+    met = edges.join(later, ["pass", "block"]).where((F.col("part") < F.col("q")) & (F.col("to") - F.col("at") <= window) & (F.size("v") == F.size("w")))
+    return met.where(_dot("v", "w") >= cosine).select("a", "b")
+
+
 def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v) of the vectors that can link: no null, no non-finite component, not all zero, some dimension."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
@@ -95,19 +150,20 @@ def projected_links(valid: DataFrame, cosine: float, passes: int, window: int, s
     keyed = valid.mapInArrow(_keys(passes, 62, seed), f"pass int, key bigint, vec_id {kind}, v array<double>")
     parts = int(valid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.repartitionByRange(parts, "pass", "key", "vec_id").sortWithinPartitions("pass", "key", "vec_id")
-    found = ordered.mapInArrow(_neighbours(window, cosine), f"a {kind}, b {kind}")
-    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = cut(ordered.mapInArrow(_neighbours(window, cosine), f"a {kind}, b {kind}, part int, pass int, pos bigint, v array<double>"))
+    links = found.where("b is not null").select("a", "b").unionByName(_border_links(found, cosine, window))
+    return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _counts(valid: DataFrame, member: DataFrame, cosine: float) -> DataFrame:
-    """(vec_id, n_links): the links of each vector inside its component.
+    """(vec_id, n_links): the links of each distinct vector to others in its component, copies counted.
 
     From the component's mean direction, members stand at angles.  Sorted by angle, those a member is surely
     linked to are the ones up to (threshold angle - its own); they are counted by rank.  Those further out are
     compared, but for the ones too far off in angle to be linked.
     """
     limit = float(np.arccos(cosine))
-    inside = valid.join(member, "vec_id").select("component", "vec_id", "v")
+    inside = valid.join(member, "vec_id").select("component", "vec_id", "copies", "v")
     unit = F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y)))
     inside = inside.withColumn("v", unit)
     sums = inside.select("component", F.posexplode("v").alias("i", "x")).groupBy("component", "i").agg(F.sum("x").alias("x"))
@@ -115,24 +171,24 @@ def _counts(valid: DataFrame, member: DataFrame, cosine: float) -> DataFrame:
     length = F.sqrt(F.aggregate("m", F.lit(0.0), lambda s, y: s + y * y))
     mean = mean.select("component", F.when(length > 0, F.transform("m", lambda x: x / length)).otherwise(F.col("m")).alias("m"))
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot("v", "m"))))
-    placed = cut(inside.join(mean, "component").select("component", "vec_id", "v", angle.alias("angle")))
+    placed = cut(inside.join(mean, "component").select("component", "vec_id", "copies", "v", angle.alias("angle")))
     # sure links are counted by angle in steps of the threshold / 512, rounded to the safe side
     step = limit / 512
-    shells = placed.groupBy("component", F.floor(F.col("angle") / step).alias("shell")).agg(F.count("*").alias("n"))
+    shells = placed.groupBy("component", F.floor(F.col("angle") / step).alias("shell")).agg(F.sum("copies").alias("n"))
     up_to = Window.partitionBy("component").orderBy("shell")
     shells = shells.select("component", "shell", F.sum("n").over(up_to).alias("inner"))
     # all of shell s is within (s + 1) steps: sure for shells s with (s + 1) * step + angle <= limit
     reach = F.floor((F.lit(limit - SLACK) - F.col("angle")) / step).cast("long") - 1
-    reached = placed.select("component", "vec_id", "angle", reach.alias("reach"))
+    reached = placed.select("component", "vec_id", "copies", "angle", reach.alias("reach"))
     sure = reached.join(shells, "component").where(F.col("shell") <= F.col("reach")).groupBy("component", "vec_id").agg(F.max("inner").alias("sure"))
     own = F.floor(F.col("angle") / step) <= F.col("reach")
-    sure = reached.join(sure, ["component", "vec_id"], "left").select("vec_id", (F.coalesce("sure", F.lit(0)) - own.cast("long")).alias("n"))
+    sure = reached.join(sure, ["component", "vec_id"], "left").select("vec_id", (F.coalesce("sure", F.lit(0)) - own.cast("long") * F.col("copies")).alias("n"))
     # open: one of the pair in a shell beyond the other's reach, and angles no further apart than the limit
     far = placed.withColumn("shell", F.floor(F.col("angle") / step)).withColumn("reach", reach)
     x = far.where(F.col("reach") < F.lit(512)).select("component", F.col("vec_id").alias("a"), F.col("v").alias("va"), F.col("angle").alias("ta"), F.col("reach").alias("ra"))
-    y = far.select("component", F.col("vec_id").alias("b"), F.col("v").alias("vb"), F.col("angle").alias("tb"), F.col("shell").alias("sb"))
+    y = far.select("component", F.col("vec_id").alias("b"), F.col("v").alias("vb"), F.col("angle").alias("tb"), F.col("shell").alias("sb"), "copies")
     checked = x.join(y, "component").where("a <> b and sb > ra").where(F.abs(F.col("ta") - F.col("tb")) <= limit + SLACK).where(_dot("va", "vb") >= cosine)
-    more = checked.groupBy(F.col("a").alias("vec_id")).agg(F.count("*").alias("n"))
+    more = checked.groupBy(F.col("a").alias("vec_id")).agg(F.sum("copies").alias("n"))
     return sure.unionByName(more).groupBy("vec_id").agg(F.sum("n").alias("n_links"))
 
 
@@ -142,7 +198,8 @@ def near_vectors(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     cosine: float = 0.9,
-    passes: int = 16,
+    passes: int | None = None,
+    recall: float = 0.99,
     window: int = 24,
     seed: int = 7,
 ) -> DataFrame:
@@ -152,16 +209,24 @@ def near_vectors(
     Vectors that are null, empty or zero, or hold a null or non-finite component, link with nothing, and so do
     rows without id.  Vectors of another length than their neighbours are not compared with them.  Ids are
     taken to be unique; rows that repeat an id count as one vector each.  An empty table gives none.
+    ``passes`` follows from the number of distinct vectors and ``recall``, the probability that a pair at
+    ``cosine`` is compared, if it is not given.
     """
     ids = vectors.select(F.col(id_col).alias("vec_id"))
     valid = cut(_valid(vectors, id_col, vec_col).dropDuplicates(["vec_id"]))
-    links = cut(projected_links(valid, cosine, passes, window, seed))
+    unique = cut(valid.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).select("vec_id", "v", "copies"))
+    if passes is None:
+        passes = passes_for(unique.count(), cosine, window, recall)
+    links = cut(projected_links(unique.select("vec_id", "v"), cosine, passes, window, seed))
     member = cut(connected_components(links).select(F.col("node").alias("vec_id"), F.col("root").alias("component")))
-    sizes = member.groupBy("component").agg(F.count("*").alias("size"))
-    member = member.join(sizes, "component")
-    pairs = member.where("size = 2").select("vec_id", F.lit(1).cast("long").alias("n_links"))
-    larger = _counts(valid, member.where("size > 2").select("vec_id", "component"), cosine)
-    counted = member.select("vec_id", "component").join(pairs.unionByName(larger), "vec_id")
-    out = ids.join(counted, "vec_id", "left")
+    held = member.join(unique.select("vec_id", "copies"), "vec_id")
+    sizes = held.groupBy("component").agg(F.count("*").alias("size"), F.sum("copies").alias("all"))
+    held = held.join(sizes, "component")
+    pairs = held.where("size = 2").select("vec_id", (F.col("all") - F.col("copies")).alias("n"))
+    larger = _counts(unique, held.where("size > 2").select("vec_id", "component"), cosine)
+    counted = held.select("vec_id", "component").join(pairs.unionByName(larger.withColumnRenamed("n_links", "n")), "vec_id")
+    others = F.coalesce("n", F.lit(0).cast("long")) + F.col("copies") - 1
+    judged = unique.join(counted, "vec_id", "left").select("v", F.coalesce("component", "vec_id").alias("component"), others.alias("n_links"))
+    out = ids.join(valid.join(judged, "v").select("vec_id", "component", "n_links"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

@@ -53,3 +53,26 @@ def test_near_copies_from_similarity_08_on_are_one_group(spark, sf):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
     kept = {r.doc_id for r in P.drop_near_duplicates(spark, docs, sf).collect()}
     assert links > 40 and kept == set(root)
+
+
+def test_links_cross_range_borders_and_copies_do_not_fill_the_window(spark):
+    import numpy as np
+
+    from episodica.llm.embeddings import near_vectors, passes_for, projected_links
+
+    rng = np.random.default_rng(2)
+    # one pass in which all that is near stands within the window: only borders could lose a pair
+    x = rng.standard_normal(8) + 0.02 * rng.standard_normal((40, 8))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = int((unit @ unit.T >= 0.9).sum() - 40) // 2
+    valid = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, v array<double>")
+    assert projected_links(valid, 0.9, 1, 40, 7).count() == want
+    # 100 copies of one vector and a near one whose key stands apart from theirs in the single pass
+    a = rng.standard_normal(8)
+    near = a + 0.15 * rng.standard_normal((3, 8))
+    rows = [(i, a.tolist()) for i in range(100)] + [(100 + i, v.tolist()) for i, v in enumerate(near)]
+    out = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), passes=1, window=3).collect()}
+    every = np.array([v for _, v in rows])
+    every /= np.linalg.norm(every, axis=1, keepdims=True)
+    assert [out[i].n_links for i in range(103)] == ((every @ every.T >= 0.9).sum(axis=1) - 1).tolist() and out[102].component_id == 0
+    assert passes_for(1000, 0.9, 24, 0.99) == 16 and 40 < passes_for(1_000_000, 0.9, 24, 0.99) < passes_for(30_000_000, 0.9, 24, 0.99) < 120
