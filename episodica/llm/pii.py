@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty
-from .spans import SPAN, Kind, find_spans, overlaps
+from .spans import SPAN, Kind, find_spans
 
 _LOCAL, _LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 
@@ -48,25 +48,48 @@ def find_entities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return find_spans(rows, "t", BASE, "base", lambda value: F.sha2(value, 256))
 
 
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with each span blanked, so that all places stay."""
+
+    def put(acc, s):
+        start, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
+        out = F.concat(acc["out"], F.substr(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), end - start))
+        return F.struct(end.alias("at"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(spans, start, put, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+
+
 def _near_terms(found: DataFrame, reach: int) -> DataFrame:
-    """(row, entity, term, start, end) for the words within ``reach`` characters of an entity in its text."""
-    near = found.select("row", "t", "base", F.explode("base").alias("span"))
+    """(row, entity, term, start, end) for the words that stand, or begin or end, within ``reach`` characters of an entity."""
+    near = found.select("row", "m", F.explode("base").alias("span"))
     from_ = F.greatest(F.col("span.start") - reach, F.lit(0))
-    cutout = F.substr(F.col("t"), from_ + 1, F.col("span.end") + reach - from_)
-    near = near.select("row", "base", F.col("span.tag").alias("entity"), from_.alias("at"), cutout.alias("part"), F.length("t").alias("whole"))
-    # words that the window's edge may have cut are left out, as their other half is not seen
+    to = F.least(F.col("span.end") + reach, F.length("m"))
+    near = near.select("row", "m", F.col("span.tag").alias("entity"), from_.alias("at"), to.alias("to"), F.substr(F.col("m"), from_ + 1, to - from_).alias("part"))
+    # words over the window's edge are read whole
+    before = F.when(F.col("part").rlike(rf"\A[{_WORD}]"), F.regexp_extract(F.substr(F.col("m"), F.lit(1), F.col("at")), rf"(?<![{_WORD}])[{_WORD}]++\z", 0)).otherwise("")
+    after = F.when(F.col("part").rlike(rf"[{_WORD}]\z"), F.regexp_extract(F.substr(F.col("m"), F.col("to") + 1, F.length("m")), rf"\A[{_WORD}]++", 0)).otherwise("")
+    near = near.select("row", "entity", (F.col("at") - F.length(before)).alias("at"), F.concat(before, "part", after).alias("part"))
     words = find_spans(near, "part", [Kind(TERM, rf"[{_WORD}]++")], "words", lambda w: F.lower(w))
-    each = words.select("row", "base", "entity", "at", "whole", F.length("part").alias("width"), F.explode("words").alias("w"))
-    inner = ((F.col("w.start") > 0) | (F.col("at") == 0)) & ((F.col("w.end") < F.col("width")) | (F.col("at") + F.col("width") >= F.col("whole")))
-    each = each.where(inner & (F.length("w.tag") >= 4))
-    placed = each.select("row", "base", "entity", F.col("w.tag").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"))
-    return placed.where(~overlaps(F.struct("start", "end"), F.col("base"))).drop("base").distinct()
+    each = words.select("row", "entity", "at", F.explode("words").alias("w")).where(F.col("w.tag").rlike(r"\p{L}"))
+    return each.select("row", "entity", F.col("w.tag").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end")).distinct()
+
+
+def _words(texts: DataFrame, text_col: str, *keep: Column) -> DataFrame:
+    """(term, ...) for every word of every text: a run of letters, lower-cased, of any length."""
+    words = texts.select(*keep, F.explode(F.split(F.lower(F.col(text_col)), f"[^{_WORD}]+")).alias("term"))
+    return words.where(F.col("term").rlike(r"\p{L}"))
 
 
-def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, n) over every word of every text: letters at its core, lower-cased."""
-    words = docs.select(F.explode(F.split(F.lower(text_or_empty(text_col)), f"[^{_WORD}]+")).alias("term"))
-    return words.where(F.length("term") >= 4).groupBy("term").agg(F.count("*").alias("n"))
+def term_counts(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, n) over every word of every text outside base spans.
+
+    Texts with base spans are few: their words are taken off whole and put back masked.
+    """
+    some = found.where(F.size("base") > 0)
+    every = docs.select(text_or_empty(text_col).alias("t"))
+    words = _words(every, "t", F.lit(1).alias("n")).unionByName(_words(some, "t", F.lit(-1).alias("n"))).unionByName(_words(some, "m", F.lit(1).alias("n")))
+    return words.groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def disclosures(found: DataFrame, near: DataFrame, docs: DataFrame, text_col: str, share: float, bits: float, support: int) -> DataFrame:
@@ -75,7 +98,7 @@ def disclosures(found: DataFrame, near: DataFrame, docs: DataFrame, text_col: st
     beside = near.groupBy("entity").agg(F.count("*").alias("beside"))
     asked = joint.select("term").distinct().withColumn("asked", F.col("term"))
     # the counts of all words meet the asked terms where they already are; all the rest falls into one row
-    counts = term_counts(docs, text_col).join(asked, "term", "left").groupBy("asked").agg(F.sum("n").alias("n"))
+    counts = term_counts(docs, found, text_col).join(asked, "term", "left").groupBy("asked").agg(F.sum("n").alias("n"))
     counts = cut(counts)
     mass = counts.agg(F.sum("n")).first()[0] or 0
     scored = joint.join(counts.withColumnRenamed("asked", "term"), "term").join(beside, "entity")
@@ -97,14 +120,15 @@ def find_personal(
     """One row per row of ``docs``: row, doc_id, text_hash, base, added (spans) and, if asked for, t (the text).
 
     ``added`` holds terms within ``reach`` characters of an entity that stand beside it ``support`` times or
-    more, with at least ``share`` of all their occurrences and ``bits`` of information.  Null text counts as
+    more, with at least ``share`` of all their occurrences outside base spans and ``bits`` of information; a term
+    is a word of any length.  Null text counts as
     empty and has no spans; repeated rows are judged row by row (and their occurrences count); an empty table
     gives none; columns of any other name don't matter.
     """
     found = find_entities(docs, id_col=id_col, text_col=text_col)
     some = F.size("base") > 0
     kept = F.col("t") if keep_text else F.when(some, F.col("t"))
-    found = cut(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("t").alias("text_hash"), kept.alias("t"), "base"))
+    found = cut(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("t").alias("text_hash"), kept.alias("t"), F.when(some, _masked(F.col("t"), F.col("base"))).alias("m"), "base"))
     near = cut(_near_terms(found.where(some), reach))
     telling = disclosures(found, near, docs, text_col, share, bits, support)
     terms = near.join(telling, ["entity", "term"]).select("row", F.struct("start", F.lit(len(BASE)).alias("place"), "end", F.lit(TERM).alias("kind"), F.lit(None).cast("string").alias("tag")).alias("span"))

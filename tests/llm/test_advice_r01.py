@@ -76,3 +76,24 @@ def test_links_cross_range_borders_and_copies_do_not_fill_the_window(spark):
     every /= np.linalg.norm(every, axis=1, keepdims=True)
     assert [out[i].n_links for i in range(103)] == ((every @ every.T >= 0.9).sum(axis=1) - 1).tolist() and out[102].component_id == 0
     assert passes_for(1000, 0.9, 24, 0.99) == 16 and 40 < passes_for(1_000_000, 0.9, 24, 0.99) < passes_for(30_000_000, 0.9, 24, 0.99) < 120
+
+
+def added_terms(spark, texts):
+    from episodica.llm.pii import find_personal
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {r.doc_id: [r.t[s.start : s.end] for s in r.added] for r in find_personal(docs, keep_text=True).collect()}
+
+
+FILLER = ["plain words of nothing at all stand here for long " * 60] * 20
+
+
+def test_names_inside_their_entity_short_and_at_the_edge_are_terms(spark):
+    smith = [f"see Smith <john.smith@smith.com> of nothing {i}" for i in "abcde"]
+    got = added_terms(spark, smith + FILLER)
+    assert all(got[i][-1:] == [] or "Smith" in got[i] for i in range(5)) and all("Smith" in got[i] for i in range(5))
+    lee = [f"here Lee at +1 (523) 555-1055 and 王伟 {c}" for c in ("plain", "words", "stand")]
+    got = added_terms(spark, lee + FILLER)
+    assert all({"Lee", "王伟"} <= set(got[i]) for i in range(3)) and not got[5]
+    edge = ["Zanzibarovich " + "of all " * 6 + "a.b@x.org"] * 3
+    assert all("Zanzibarovich" in added_terms(spark, edge + FILLER)[i] for i in range(3))
