@@ -53,7 +53,7 @@ def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Spans go back to their text by id and a hash of the text, so rows that repeat an id keep their own.
     """
-    found = find_personal(docs).where("size(base) > 0")
+    found = find_personal(docs).where("size(base) + size(added) > 0")
     found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.array_sort(F.concat("base", "added")).alias("_spans"))
     found = found.dropDuplicates(["_id", "_hash"])
     out = docs.join(found, _same_id(docs, found) & (F.xxhash64(docs["text"].cast("string")) == found["_hash"]), "left")

@@ -106,6 +106,21 @@ def disclosures(found: DataFrame, near: DataFrame, docs: DataFrame, text_col: st
     return scored.where((F.col("both") / F.col("n") >= share) & (pmi >= bits)).select("entity", "term")
 
 
+def _occurrences(docs: DataFrame, found: DataFrame, telling: DataFrame, text_col: str) -> DataFrame:
+    """(text_hash, added): every place of a telling term outside base spans, in whatever text."""
+    texts = docs.select(text_or_empty(text_col).alias("t")).select(F.xxhash64("t").alias("text_hash"), "t")
+    masked = found.where(F.size("base") > 0).select("text_hash", "m").dropDuplicates(["text_hash"])
+    words = _words(texts, "t", F.col("text_hash")).unionByName(_words(masked, "m", F.col("text_hash")))
+    # a row's words meet the terms before anything is dealt out; one row a text is left
+    holders = cut(words.join(telling, "term", "left_semi").select("text_hash").distinct())
+    texts = texts.join(holders, "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    texts = texts.join(masked, "text_hash", "left").select("text_hash", F.coalesce("m", "t").alias("m"))
+    placed = find_spans(texts, "m", [Kind(TERM, rf"[{_WORD}]++")], "words", lambda w: F.lower(w)).select("text_hash", F.explode("words").alias("w"))
+    placed = placed.select("text_hash", F.col("w.tag").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")).join(telling, "term", "left_semi")
+    span = F.struct("start", F.lit(len(BASE)).alias("place"), "end", F.lit(TERM).alias("kind"), F.lit(None).cast("string").alias("tag"))
+    return placed.groupBy("text_hash").agg(F.array_sort(F.collect_set(span)).alias("added"))
+
+
 def find_personal(
     docs: DataFrame,
     *,
@@ -119,8 +134,8 @@ def find_personal(
 ) -> DataFrame:
     """One row per row of ``docs``: row, doc_id, text_hash, base, added (spans) and, if asked for, t (the text).
 
-    ``added`` holds terms within ``reach`` characters of an entity that stand beside it ``support`` times or
-    more, with at least ``share`` of all their occurrences outside base spans and ``bits`` of information; a term
+    ``added`` holds every occurrence, in any text, of the terms that reveal an entity: those that stand within
+    ``reach`` characters of it ``support`` times or more, with at least ``share`` of all their occurrences outside base spans and ``bits`` of information; a term
     is a word of any length.  Null text counts as
     empty and has no spans; repeated rows are judged row by row (and their occurrences count); an empty table
     gives none; columns of any other name don't matter.
@@ -131,10 +146,9 @@ def find_personal(
     found = cut(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("t").alias("text_hash"), kept.alias("t"), F.when(some, _masked(F.col("t"), F.col("base"))).alias("m"), "base"))
     near = cut(_near_terms(found.where(some), reach))
     telling = disclosures(found, near, docs, text_col, share, bits, support)
-    terms = near.join(telling, ["entity", "term"]).select("row", F.struct("start", F.lit(len(BASE)).alias("place"), "end", F.lit(TERM).alias("kind"), F.lit(None).cast("string").alias("tag")).alias("span"))
-    added = terms.groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("added"))
+    added = _occurrences(docs, found, cut(telling.select("term").distinct()), text_col)
     columns = ["row", "doc_id", "text_hash", "base", F.coalesce("added", F.array().cast(SPAN)).alias("added")] + ["t"] * keep_text
-    return found.join(added, "row", "left").select(*columns)
+    return found.join(added, "text_hash", "left").select(*columns)
 
 
 def redact(text: Column, spans: Column) -> Column:

@@ -97,3 +97,13 @@ def test_names_inside_their_entity_short_and_at_the_edge_are_terms(spark):
     assert all({"Lee", "王伟"} <= set(got[i]) for i in range(3)) and not got[5]
     edge = ["Zanzibarovich " + "of all " * 6 + "a.b@x.org"] * 3
     assert all("Zanzibarovich" in added_terms(spark, edge + FILLER)[i] for i in range(3))
+
+
+def test_telling_terms_go_wherever_they_stand(spark, sf):
+    import corpus_pipeline as P
+
+    texts = ["plain zanzibarian a.b@mail.example.com here plain words " + "of all " * 20 + "Zanzibarian long"] * 2 + ["plain zanzibarian a.b@mail.example.com here"] * 2 + ["words zanzibarian plain"] + FILLER * 10
+    got = added_terms(spark, texts)
+    assert got[0] == ["zanzibarian", "Zanzibarian"] and got[2] == ["zanzibarian"] and got[4] == ["zanzibarian"] and not got[5]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    assert P.redact_personal(spark, docs, sf).where(F.lower("text").contains("zanzibarian")).count() == 0
