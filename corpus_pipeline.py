@@ -28,24 +28,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where(~F.col("is_toxic")).select(*docs.columns)
 
 
-def _same_id(docs: DataFrame, other: DataFrame):
-    return docs["doc_id"].eqNullSafe(other["_id"])
+def _same_row(docs: DataFrame, other: DataFrame):
+    """Rows are told apart by id and a hash of the text; null ids are alike."""
+    return docs["doc_id"].eqNullSafe(other["_id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == other["_hash"])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group (five-word shingles, similarity 0.8) the document of the smallest id stays; of rows that repeat its id, all do.
+    """Of each near-duplicate group (five-word shingles, similarity 0.8) one row stays: that of the smallest (id, text hash).
 
-    A group without any id stays as it is.
+    Rows without id come after those with one; of equal rows any one stays.
     """
     found = similar_components(docs)
-    kept = found.groupBy("component").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    return docs.join(kept, _same_id(docs, kept), "left_semi").select(*docs.columns)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    kept = found.groupBy("component").agg(F.min_by(F.struct("doc_id", "text_hash"), order).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    rows = docs.join(kept, _same_row(docs, kept), "left_semi").select(*docs.columns)
+    # what is left besides one row a group are rows of one id and one text
+    return rows.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(leaks, _same_id(docs, leaks), "left_anti").select(*docs.columns)
+    """Rows that hold a benchmark item go; other rows of their id stay."""
+    keyed = docs.select(F.struct("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash")).alias("doc_id"), "text")
+    leaks = find_leaks(keyed, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.hash").alias("_hash")).distinct()
+    return docs.join(leaks, _same_row(docs, leaks), "left_anti").select(*docs.columns)
 
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +62,7 @@ def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = find_personal(docs).where("size(base) + size(added) > 0")
     found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.array_sort(F.concat("base", "added")).alias("_spans"))
     found = found.dropDuplicates(["_id", "_hash"])
-    out = docs.join(found, _same_id(docs, found) & (F.xxhash64(docs["text"].cast("string")) == found["_hash"]), "left")
+    out = docs.join(found, _same_row(docs, found), "left")
     text = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(redact(docs["text"], F.col("_spans")))
     out = out.select(*[docs[c] for c in docs.columns if c not in ("text", "n_chars")], text.alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

@@ -152,14 +152,13 @@ def find_personal(
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; overlapping spans fall to the first."""
+    """The text with each span replaced by its kind in brackets; overlapping spans are merged under the first's kind."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def put(acc, s):
         fresh = s["start"] >= acc["at"]
         piece = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
         out = F.when(fresh, F.concat(acc["out"], piece, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.when(fresh, s["end"]).otherwise(acc["at"]).alias("at"), out.alias("out"))
+        return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), out.alias("out"))
 
     return F.aggregate(spans, start, put, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-

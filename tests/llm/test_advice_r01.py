@@ -107,3 +107,18 @@ def test_telling_terms_go_wherever_they_stand(spark, sf):
     assert got[0] == ["zanzibarian", "Zanzibarian"] and got[2] == ["zanzibarian"] and got[4] == ["zanzibarian"] and not got[5]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
     assert P.redact_personal(spark, docs, sf).where(F.lower("text").contains("zanzibarian")).count() == 0
+
+
+def test_stages_judge_rows_not_ids(spark, sf):
+    import corpus_pipeline as P
+
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    rows = [(None, item), (None, "clean text without any passage at all"), (1, item), (1, "another clean text of the same id here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    assert {r.text for r in P.drop_leaks(spark, docs, sf).collect()} == {rows[1][1], rows[3][1]}
+    twice = [(None, "a b c d e f"), (None, "a b c d e f"), (2, "g h i j k l"), (2, "g h i j k l"), (2, "a b c d e f"), (None, "m n o p q r"), (None, "m n o p q r")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in twice], DOCS)
+    got = sorted(((r.doc_id, r.text) for r in P.drop_near_duplicates(spark, docs, sf).collect()), key=str)
+    assert got == [(2, "a b c d e f"), (2, "g h i j k l"), (None, "m n o p q r")]
+    docs = spark.createDataFrame([(1, "4111 1111 1111 1111@x.com then", "en", "s", 1)], DOCS)
+    assert P.redact_personal(spark, docs, sf).first().text == "[CARD] then"
