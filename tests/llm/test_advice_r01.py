@@ -64,9 +64,16 @@ def test_links_cross_range_borders_and_copies_do_not_fill_the_window(spark):
     # one pass in which all that is near stands within the window: only borders could lose a pair
     x = rng.standard_normal(8) + 0.02 * rng.standard_normal((40, 8))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    want = int((unit @ unit.T >= 0.9).sum() - 40) // 2
-    valid = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, v array<double>")
-    assert projected_links(valid, 0.9, 1, 40, 7).count() == want
+    near = unit @ unit.T >= 0.9
+    assert near.all()
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "node bigint, v array<double>")
+    for window in (40, 3):
+        links = [(r.a, r.b) for r in projected_links(nodes, 0.9, 1, window, 7).collect()]
+        root = {i: i for i in range(40)}
+        for a, b in sorted(links):
+            old, new = root[b], root[a]
+            root = {i: new if r == old else r for i, r in root.items()}
+        assert set(root.values()) == {root[0]} and all(near[a, b] and a < b for a, b in links)
     # 100 copies of one vector and a near one whose key stands apart from theirs in the single pass
     a = rng.standard_normal(8)
     near = a + 0.15 * rng.standard_normal((3, 8))
@@ -75,7 +82,7 @@ def test_links_cross_range_borders_and_copies_do_not_fill_the_window(spark):
     every = np.array([v for _, v in rows])
     every /= np.linalg.norm(every, axis=1, keepdims=True)
     assert [out[i].n_links for i in range(103)] == ((every @ every.T >= 0.9).sum(axis=1) - 1).tolist() and out[102].component_id == 0
-    assert passes_for(1000, 0.9, 24, 0.99) == 16 and 40 < passes_for(1_000_000, 0.9, 24, 0.99) < passes_for(30_000_000, 0.9, 24, 0.99) < 120
+    assert passes_for(1000, 0.9, 128, 0.99) == 12 and 30 < passes_for(1_000_000, 0.9, 128, 0.99) < passes_for(30_000_000, 0.9, 128, 0.99) < 80
 
 
 def added_terms(spark, texts):

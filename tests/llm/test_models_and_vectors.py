@@ -182,6 +182,39 @@ def test_vectors_equal_brute_force(spark):
     assert all(by[i].kept == (by[i].component_id == i) for i in range(len(x)))
 
 
+def test_vectors_of_any_length_and_size(spark):
+    """Unlike lengths never link, doubles of any size do, rows that repeat an id stand for themselves."""
+    tiny, huge = 1e-200, 1e200
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0, 0.0, 1.0]), (2, [5.0, 5.0, 5.0]), (3, [tiny, tiny]), (4, [tiny, 2 * tiny]), (5, [huge, huge]), (6, [1.7e308, 1.7e308]), (7, [5e-324, 5e-324]), (1, [9.0, 0.1]), (0, [1.0, 0.0]), (None, [1.0, 0.0])]
+    out = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()), key=str)
+    assert out == sorted([(0, 2, 0, True), (0, 2, 0, True), (1, 0, 1, True), (1, 2, 0, False), (2, 0, 2, True), (3, 4, 3, True), (4, 4, 3, False), (5, 4, 3, False), (6, 4, 3, False), (7, 4, 3, False), (None, 0, None, True)], key=str)
+
+
+@pytest.mark.parametrize("tile", [2048, 100])
+def test_five_thousand_vectors_equal_brute_force(spark, tile, monkeypatch):
+    """Clusters of up to 1200, tight and wide, counted as one product and as blocks (tile of 100)."""
+    from episodica.llm import embeddings
+
+    monkeypatch.setattr(embeddings._counts, "__defaults__", (tile,))
+    rng = np.random.default_rng(6)
+    rows = []
+    for k, centre in enumerate(rng.standard_normal((350, 24))):
+        n = {0: 1200, 1: 400}.get(k, int(rng.integers(1, 20)))
+        rows += [centre + rng.standard_normal(24) * rng.choice([0.0, 0.1, 0.25, 0.32]) for _ in range(n)]
+    x = np.array(rows)
+    assert len(x) > 4500
+    link, out = brute(x), {r.vec_id: r for r in near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")).collect()}
+    got, want = np.array([out[i].n_links for i in range(len(x))]), link.sum(axis=1)
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum()
+    root = np.arange(len(x))
+    while True:
+        new = np.minimum(root, np.where(link, root[None, :], len(x)).min(axis=1))
+        if (new == root).all():
+            break
+        root = new
+    assert (np.array([out[i].component_id for i in range(len(x))]) == root).mean() > 0.99
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as P
 
