@@ -1,16 +1,19 @@
 """Benchmark decontamination through templates.
 
-Tokens become templates in two readings: the plain one lower-cases words and replaces numbers and units by
-typed placeholders, the loose one replaces names as well.  Windows of five template tokens are hashed.
-A filter of fixed size over the benchmark's hashes passes nearly only true hits, and the hits are hash-joined
-with the benchmark's windows.  Loose hits must also be consistent: along one alignment, a slot's value in the
-benchmark stands for one value in the document throughout.
+Tokens are read three ways: exact (lower-cased), plain (numbers and units become typed placeholders) and loose
+(names as well).  A window starts at each token: five tokens in the exact reading; in the others it stretches,
+to 32 tokens at most, until it holds two words that are no placeholders, so that texts dense in names and numbers
+have windows too.  Starts from which no such window is found count on neither side of a share.  Windows are
+hashed; a filter over the benchmark's hashes passes nearly only true hits, and hits are hash-joined with the
+benchmark's windows.  Where an item's share is reached in a reading with placeholders, slots must be consistent:
+along one alignment, a slot's value in the benchmark stands for one value in the document throughout.
 """
 
 from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,86 +23,101 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-WINDOW = 5
+WINDOW, STRETCH, LITERALS = 5, 32, 2
 #: Characters of text that one block of windows holds.
 BLOCK_CHARS = 2_000_000
 VOCABULARY = 500_000
-#: Bits of the filter, as a power of two.
-FILTER_BITS = 22
+#: Bits of the filter, as powers of two: 128 a window within these bounds.
+LEAST_BITS, MOST_BITS = 16, 26
 #: Fixed list of units that may follow a number.
 UNITS = frozenset("mm cm m km ft mi mg g kg lb oz ml l s sec min h hr hour hours day days week weeks year years percent % $ € £ usd eur dollars euros cents mph kmh".split())
 
-PLAIN, LOOSE = 0, 1
+EXACT, PLAIN, LOOSE = 0, 1, 2
 HITS = "row bigint, doc_id {kind}, view int, hash bigint, pos int, slots array<string>"
+NAMES = ["row", "doc_id", "view", "hash", "pos", "slots"]
+ODD = 0x9E3779B97F4A7C15
 
 
 def template(token: str) -> tuple[str, str, str] | None:
-    """(plain, loose, slot) of a token; slot is empty for literals; None for tokens without a letter or digit."""
+    """(exact, plain, loose) of a token, placeholders in angle brackets; None for tokens without a letter or digit."""
     core = token.strip("".join({c for c in token if not c.isalnum()} - set("%$€£")))
-    if not any(c.isalnum() for c in core):
-        return ("<unit>", "<unit>", core) if core in UNITS else None
     low = core.lower()
+    if not any(c.isalnum() for c in core):
+        return (core, "<unit>", "<unit>") if core in UNITS else None
     if any(c.isdigit() for c in core):
-        return "<num>", "<num>", low
+        return low, "<num>", "<num>"
     if low in UNITS:
-        return "<unit>", "<unit>", low
-    if core[0].isupper() and not core[1:].isupper():
-        return low, "<name>", low
-    return low, low, ""
+        return low, "<unit>", "<unit>"
+    return low, low, "<name>" if core[0].isupper() and not core[1:].isupper() else low
 
 
 class _Vocabulary(dict):
-    """token -> its number, or -1; plain and loose hashes and slot flags are kept by number."""
+    """token -> its number, or -1; hashes and literal flags of the readings are kept by number."""
 
     def __init__(self):
-        self.plain, self.loose, self.literal, self.slot = array("Q"), array("Q"), array("b"), []
+        self.hashes, self.literal, self.words = [array("Q") for _ in range(3)], [array("b") for _ in range(3)], []
 
     def __missing__(self, token: str) -> int:
         found = template(token)
         n = -1
         if found:
-            n = len(self.slot)
-            self.plain.append(xxhash.xxh64_intdigest(found[0]))
-            self.loose.append(xxhash.xxh64_intdigest(found[1]))
-            self.literal.append(not found[2])
-            self.slot.append(found[2])
+            n = len(self.words)
+            for view, form in enumerate(found):
+                self.hashes[view].append(xxhash.xxh64_intdigest(form))
+                self.literal[view].append(form == found[0])
+            self.words.append(found[0])
         self[token] = n
         return n
 
 
-def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of every ``width`` values in a row."""
-    n = len(hashes) - width + 1
-    h = np.zeros(max(n, 0), np.uint64)
-    for k in range(width if n > 0 else 0):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^0 ... base^n modulo 2^64."""
+    if len(_POWERS.get(base, ())) <= n:
+        steps = np.full(max(n, 1 << 16) + 1, base, np.uint64)
+        steps[0] = 1
+        _POWERS[base] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS[base][: n + 1]
+
+
+def _hashed(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each values[start:end]: polynomials as differences of one running sum."""
+    n = len(values)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * _powers(ODD, n)[:n], out=total[1:])
+    h = (total[end] - total[start]) * _powers(pow(ODD, -1, 1 << 64), n)[start]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32)) ^ (end - start).astype(np.uint64)
 
 
 def _windows(texts: list[str], vocabulary: _Vocabulary, widths: list[int]):
-    """Yields (view, document index, position, hash, token numbers, width) arrays over a block of texts."""
+    """Yields (view, document index, position, hash, start, end, token numbers) arrays over a block of texts."""
     if len(vocabulary) > VOCABULARY:
         vocabulary.clear()
         vocabulary.__init__()
-    numbers = [[n for n in map(vocabulary.__getitem__, t.split()) if n >= 0] for t in texts]
-    sizes = np.array([len(x) for x in numbers], np.int64)
-    flat = np.fromiter((n for x in numbers for n in x), np.int64, int(sizes.sum()))
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    literal = np.concatenate(([0], np.cumsum(np.array(vocabulary.literal, np.int64)[flat]))) if len(flat) else np.zeros(1, np.int64)
-    for view, table in ((PLAIN, vocabulary.plain), (LOOSE, vocabulary.loose)):
-        hashes = np.array(table, np.uint64)[flat] if len(flat) else np.zeros(0, np.uint64)
-        for width in widths:
-            h = _rolled(hashes, width)
-            whole = doc[: len(h)] == doc[width - 1 : width - 1 + len(h)]
-            if view == LOOSE:
-                # a loose window needs two literal words, and a slot, else the plain reading has it
-                words = literal[width : width + len(h)] - literal[: len(h)]
-                whole &= (words >= 2) & (words < width)
-            at = np.flatnonzero(whole)
-            yield view, doc[at], place[at], h[at], flat, at, width
+    split = [t.split() for t in texts]
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    flat = np.fromiter(map(vocabulary.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+    doc = np.repeat(np.arange(len(texts)), sizes)[flat >= 0]
+    flat = flat[flat >= 0]
+    if not len(flat):
+        return
+    last = np.cumsum(np.bincount(doc, minlength=len(texts)))
+    first, stop, all_ = np.concatenate(([0], last[:-1])), last[doc], np.arange(len(flat))
+    for view in (EXACT, PLAIN, LOOSE):
+        values = np.array(vocabulary.hashes[view], np.uint64)[flat]
+        ends = [all_ + w for w in widths]
+        if view != EXACT:
+            literal = np.array(vocabulary.literal[view], bool)[flat]
+            before, places = np.cumsum(literal) - literal, np.append(np.flatnonzero(literal), [len(flat) + STRETCH] * LITERALS)
+            end = np.maximum(all_ + WINDOW, places[before + LITERALS - 1] + 1)
+            ends = [np.where(end - all_ <= STRETCH, end, len(flat) + 1)]
+        for end in ends:
+            start = np.flatnonzero(end <= stop)
+            if len(start):
+                yield view, doc[start], start - first[doc[start]], _hashed(values, start, end[start]), start, end[start], flat
 
 
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -116,57 +134,64 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
 def _scan(bits: np.ndarray | None, widths: list[int], short: bool):
     """mapInArrow function from (row, id, text) to window rows that pass ``bits``, and a row of view -1 for each text.
 
-    ``short`` gives texts below the window one window of all their tokens (for the benchmark itself).
+    That row's pos is the number of tokens.  ``short`` gives texts below the window one exact window of all
+    their tokens (for the benchmark itself).
     """
-    mask = np.uint64((1 << FILTER_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _Vocabulary()
         for b in batches:
             rows, ids, texts = b.column(0), b.column(1), [t or "" for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([rows, ids, pa.array([-1] * len(texts), pa.int32()), pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.list_(pa.string()))], ["row", "doc_id", "view", "hash", "pos", "slots"])
+            yield pa.RecordBatch.from_arrays([rows, ids, pa.array([-1] * len(texts), pa.int32()), pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.list_(pa.string()))], NAMES)
             for lo, hi in _blocks(texts):
                 lengths = widths
                 if short:
-                    tokens = [sum(template(t) is not None for t in x.split()) for x in texts[lo:hi]]
-                    lengths = sorted({min(n, WINDOW) for n in tokens if n})
-                for view, doc, place, h, flat, at, width in _windows(texts[lo:hi], vocabulary, lengths):
-                    if short and width < WINDOW:
-                        own = np.array(tokens)[doc] == width
-                    elif bits is not None:
-                        low = h & mask
-                        own = (bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1
+                    tokens = np.array([sum(template(t) is not None for t in x.split()) for x in texts[lo:hi]], np.int64)
+                    lengths = sorted({min(int(n), WINDOW) for n in tokens if n})
+                for view, doc, place, h, start, end, flat in _windows(texts[lo:hi], vocabulary, lengths):
+                    if short:
+                        own = (tokens[doc] == end - start) | (end - start >= WINDOW)
                     else:
-                        own = np.ones(len(h), bool)
+                        own = _passes(bits, h)
                     hit = np.flatnonzero(own)
                     if not len(hit):
                         continue
-                    slots = [[vocabulary.slot[flat[at[k] + j]] for j in range(width)] if view == LOOSE else None for k in hit]
+                    slots = None
+                    if view != EXACT:
+                        literal, words = vocabulary.literal[view], vocabulary.words
+                        slots = [["" if literal[n] else words[n] for n in flat[s:e].tolist()] for s, e in zip(start[hit].tolist(), end[hit].tolist())]
                     take = pa.array(doc[hit] + lo)
-                    yield pa.RecordBatch.from_arrays(
-                        [rows.take(take), ids.take(take), pa.array(np.full(len(hit), view, np.int32)), pa.array(h[hit].view(np.int64)), pa.array(place[hit].astype(np.int32)), pa.array(slots, pa.list_(pa.string()))],
-                        ["row", "doc_id", "view", "hash", "pos", "slots"],
-                    )
+                    slots = pa.nulls(len(hit), pa.list_(pa.string())) if slots is None else pa.array(slots, pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([rows.take(take), ids.take(take), pa.array(np.full(len(hit), view, np.int32)), pa.array(h[hit].view(np.int64)), pa.array(place[hit].astype(np.int32)), slots], NAMES)
 
     return run
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, view, hash, item_pos, item_slots, width) of every window of every item."""
+    """(item, item_id, view, hash, item_pos, item_slots) of every window of every item; item is a number of its row."""
     items = benchmark.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    found = items.mapInArrow(_scan(None, [WINDOW], True), HITS.format(kind=dict(items.dtypes)["doc_id"]))
-    found = found.where("view >= 0")
+    found = items.mapInArrow(_scan(None, [WINDOW], True), HITS.format(kind=dict(items.dtypes)["doc_id"])).where("view >= 0")
     return found.select(F.col("row").alias("item"), F.col("doc_id").alias("item_id"), "view", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
 
 
+def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether both bits of each hash are set: the one of its low digits and the one of its high digits."""
+    size = int(np.log2(len(bits))) + 6
+    own = np.ones(len(h), bool)
+    for at in (h & np.uint64((1 << size) - 1), h >> np.uint64(64 - size)):
+        own &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return own
+
+
 def _filter_words(windows: DataFrame) -> np.ndarray:
-    """The filter: bit (hash mod 2^22) is set; at most 65536 rows of 64 bits come to the driver, whatever the benchmark's size."""
-    low = F.col("hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int"))
-    words = windows.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(one).alias("bits"))
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for r in words.collect():
-        bits[r.word] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
+    """The filter's 64-bit words; at most 2^20 of them come to the driver, whatever the benchmark's size."""
+    size = min(MOST_BITS, max(LEAST_BITS, (128 * windows.count()).bit_length()))
+    low, high = F.col("hash").bitwiseAND(F.lit((1 << size) - 1)), F.call_function("shiftrightunsigned", F.col("hash"), F.lit(64 - size))
+    at = windows.select(F.explode(F.array(low, high)).alias("at"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    bits = np.zeros(1 << (size - 6), np.uint64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return bits
 
 
@@ -182,40 +207,45 @@ def find_leaks(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, contaminated, items (sorted item ids), coverage (of the best item, or null).
 
-    A document holds an item when at least ``least`` of the item's distinct windows occur in it, in the plain
-    reading or, where slots are consistent, in the loose one.  Items below five tokens are one window and must
-    occur whole.  Null, empty or wordless texts and items hold nothing.  Repeated rows are judged alike; empty
-    tables give no rows, or none contaminated; columns with other names don't matter.
+    A document holds an item when in one of the readings at least ``least`` of the item's windows occur in it:
+    of its distinct windows in the exact reading; of the places where its windows start in the others, where the
+    windows of an alignment count only if its slots are consistent.  A reading with placeholders judges items in
+    which at least half of the places where five tokens start have a window.  Items below five tokens are one
+    exact window.  Coverage is a share before the slots are looked at where it stays below ``least``.
+    Null, empty or wordless texts and items hold nothing.  Texts of any length are read whole.  Repeated rows
+    are judged alike, items with one id or text each by themselves; ties need no order, as all items count.
+    Empty tables give no rows, or none contaminated; columns with other names don't matter.
     """
     windows = cut(benchmark_windows(benchmark, item_col, item_text_col))
     widths = sorted({WINDOW, *range(1, WINDOW)}) if _has_short(benchmark, item_text_col) else [WINDOW]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     hits = cut(rows.mapInArrow(_scan(_filter_words(windows), widths, False), HITS.format(kind=dict(rows.dtypes)["doc_id"])))
-    met = hits.where("view >= 0").join(windows, ["view", "hash"])
-    plain = met.where(F.col("view") == PLAIN).select("row", "item", "item_id", "view", "hash")
-    # slots of one alignment: each benchmark value must stand for a single document value
-    loose = met.where(F.col("view") == LOOSE).withColumn("shift", F.col("pos") - F.col("item_pos"))
-    pairs = loose.select("row", "item", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).where("s.item_slots <> ''")
-    values = pairs.groupBy("row", "item", "shift", "s.item_slots").agg(F.min("s.slots").alias("lo"), F.max("s.slots").alias("hi"))
-    broken = values.where("lo <> hi").select("row", "item", "shift").distinct()
-    loose = loose.join(broken, ["row", "item", "shift"], "left_anti").select("row", "item", "item_id", "view", "hash")
-    # the loose reading of an item counts its windows without a slot through the plain one
-    sizes = windows.groupBy("item").agg(
-        F.count_distinct(F.when(F.col("view") == PLAIN, F.col("hash"))).alias("n_plain"), F.count_distinct("item_pos").alias("n_places")
-    )
-    places = windows.select("item", "view", "hash", "item_pos")
-    plain_n = plain.select("row", "item", "item_id", "hash").distinct().groupBy("row", "item", "item_id").agg(F.count("*").alias("plain"))
-    either = plain.unionByName(loose).distinct().join(places, ["item", "view", "hash"])
-    place_n = either.groupBy("row", "item").agg(F.count_distinct("item_pos").alias("places"))
-    scored = place_n.join(plain_n, ["row", "item"], "left").join(sizes, "item")
-    share = F.greatest(F.coalesce("plain", F.lit(0)) / F.col("n_plain"), F.col("places") / F.col("n_places"))
-    named = scored.select("row", "item", share.alias("share")).join(windows.select("item", "item_id").distinct(), "item")
-    judged = named.groupBy("row").agg(
-        F.max("share").alias("coverage"), F.array_sort(F.collect_set(F.when(F.col("share") >= least, F.col("item_id")))).alias("items")
-    )
+    exact, slotted = F.col("view") == EXACT, F.col("view") != EXACT
+    weight = F.when(exact, 1).otherwise(F.count("*")).cast("long")
+    each = windows.groupBy("item", "view", "hash").agg(weight.alias("places"))
+    totals = each.groupBy("item", "view").agg(F.sum("places").alias("total"))
+    starts = windows.where(exact).groupBy("item").agg(F.count("*").alias("starts"))
+    totals = totals.join(starts, "item").where(exact | (2 * F.col("total") >= F.col("starts"))).select("item", "view", "total")
+    # hashes first: only where they reach the share are places and slots looked at
+    met = hits.where("view >= 0").select("row", "view", "hash").distinct().join(each, ["view", "hash"])
+    shares = met.groupBy("row", "item", "view").agg(F.sum("places").alias("places")).join(totals, ["item", "view"])
+    shares = cut(shares.select("row", "item", "view", "total", (F.col("places") / F.col("total")).alias("share")))
+    asked = shares.where(slotted & (F.col("share") >= least)).select("row", "item", "view", "total")
+    pairs = hits.where("view > 0").join(asked, ["row", "view"]).join(windows.drop("item_id"), ["item", "view", "hash"])
+    pairs = pairs.withColumn("shift", F.col("pos") - F.col("item_pos"))
+    alignment = ["row", "item", "view", "shift"]
+    slots = pairs.select(*alignment, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).where("s.item_slots <> ''")
+    values = slots.groupBy(*alignment, "s.item_slots").agg(F.min("s.slots").alias("lo"), F.max("s.slots").alias("hi"))
+    broken = values.where("lo <> hi").select(*alignment).distinct()
+    sound = pairs.join(broken, alignment, "left_anti").groupBy("row", "item", "view", "total").agg(F.count_distinct("item_pos").alias("n"))
+    sound = sound.select("row", "item", (F.col("n") / F.col("total")).alias("share"))
+    plain = shares.where(exact | (F.col("share") < least)).select("row", "item", "share")
+    best = plain.unionByName(sound).groupBy("row", "item").agg(F.max("share").alias("share"))
+    named = best.join(windows.select("item", "item_id").distinct(), "item")
+    judged = named.groupBy("row").agg(F.max("share").alias("coverage"), F.array_sort(F.collect_set(F.when(F.col("share") >= least, F.col("item_id")))).alias("items"), F.bool_or(F.col("share") >= least).alias("contaminated"))
     none = F.array().cast(f"array<{dict(benchmark.dtypes)[item_col]}>")
     every = hits.where("view = -1").select("row", "doc_id").join(judged, "row", "left")
-    return every.select("doc_id", (F.coalesce("coverage", F.lit(0.0)) >= least).alias("contaminated"), F.coalesce("items", none).alias("items"), "coverage")
+    return every.select("doc_id", F.coalesce("contaminated", F.lit(False)).alias("contaminated"), F.coalesce("items", none).alias("items"), "coverage")
 
 
 def _has_short(benchmark: DataFrame, text_col: str) -> bool:

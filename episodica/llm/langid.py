@@ -75,18 +75,21 @@ def fit_kernel(rows: list[np.ndarray], langs: list[str], landmarks: int = 256, r
 
 
 def training_rows(docs: DataFrame, sample_rows: int) -> tuple[list[np.ndarray], list[str]]:
-    """Presence vectors and languages of at most ``sample_rows`` labelled documents, chosen by a hash of their id."""
-    asked = docs.where("learn and lang is not null").select("doc_id", F.xxhash64("doc_id").alias("h")).distinct()
-    asked = asked.orderBy("h", "doc_id").limit(sample_rows).select("doc_id")
+    """Presence vectors and languages of at most ``sample_rows`` labelled texts, chosen by a hash of their id; a text counts once an id and language."""
+    rows = docs.where("learn and lang is not null and some").select("doc_id", "lang", F.xxhash64("t").alias("h"), "t")
+    keys = ["doc_id", "lang", "h"]
+    # an id may stand for any number of rows: the bound is one of rows, and holds before anything is collected
+    asked = rows.select(*keys).distinct().orderBy(F.xxhash64("doc_id"), *keys).limit(sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [present(t).astype(np.int16).tobytes() for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["doc_id", "lang", "f"])
+            found = [present(t).astype(np.int16).tobytes() for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.binary())], [*keys, "f"])
 
-    rows = docs.where("learn and lang is not null and some").select("doc_id", "lang", "t").join(F.broadcast(asked), "doc_id")
-    got = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, lang string, f binary").collect()
-    got = sorted(got, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))[:sample_rows]
+    rows, asked = rows.alias("r"), asked.alias("a")
+    rows = rows.join(F.broadcast(asked), F.expr(" and ".join(f"r.{k} <=> a.{k}" for k in keys)), "left_semi").dropDuplicates(keys)
+    got = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, lang string, h bigint, f binary").collect()
+    got.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id), r.lang, r.h))
     return [np.frombuffer(r.f, np.int16) for r in got], [r.lang for r in got]
 
 
@@ -104,7 +107,7 @@ def identify_languages(
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score.
 
     Learned from text and language of at most ``sample_rows`` documents whose crc32(id) mod 4 is not
-    ``held_out`` and whose language is not null.  Texts that are null or without a letter are ``und`` with score
+    ``held_out`` and whose language is not null; a text that repeats under an id and language counts once.  Texts that are null or without a letter are ``und`` with score
     0, and so is everything where nothing can be learned.  A null id counts as empty text in the hash.  Ties go
     to the first language in order.  Repeated rows are judged alike; an empty table gives none.
     """

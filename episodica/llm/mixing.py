@@ -7,7 +7,8 @@ id, and documents are taken in key order until their sizes reach the rest (Efrai
 
 The prefix sum inside a source runs in two levels, so no source is sorted in one task: keys fall into
 buckets of about ``rows_per_bucket`` rows, bucket totals are summed along each source, and rows are
-ordered inside their bucket only.
+ordered inside their bucket only.  Buckets are quantiles of the keys: keys of quality q are exponential with
+rate q, so the share of each quality in the corpus gives the distribution of all keys.
 """
 
 from __future__ import annotations
@@ -87,9 +88,15 @@ def mix_sources(
     size = word_count(F.col("t"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text_or_empty(text_col).alias("t"))
     rows = rows.select("doc_id", "source", F.length("t").alias("chars"), size.alias("size"))
-    rows = cut(rows.withColumn("key", -F.log(uniform("doc_id")) / quality_weight(F.col("chars"), F.col("size"))).drop("chars"))
-    buckets = max(1, -(-rows.count() // rows_per_bucket))
-    part = F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("long")
+    rows = rows.withColumn("quality", quality_weight(F.col("chars"), F.col("size"))).drop("chars")
+    rows = cut(rows.withColumn("key", -F.log(uniform("doc_id")) / F.col("quality")))
+    # a row for each of the two qualities
+    counts = sorted((r.quality, r["count"]) for r in rows.groupBy("quality").count().collect())
+    n = max(1, sum(c for _, c in counts))
+    buckets = -(-n // rows_per_bucket)
+    below = sum((F.lit(c / n) * (1 - F.exp(-q * F.col("key"))) for q, c in counts), F.lit(0.0))
+    part = F.least(F.floor(below * buckets), F.lit(buckets - 1)).cast("long")
+    rows = rows.drop("quality")
     rows = rows.withColumn("bucket", part).withColumn("nameless", F.col("source").isNull()).withColumn("src", F.coalesce("source", F.lit("")))
     totals = cut(rows.groupBy("src", "nameless", "bucket").agg(F.sum("size").alias("total")))
     sizes = totals.groupBy("src", "nameless").agg(F.sum("total").alias("source_size"))

@@ -9,11 +9,13 @@ DataFrame functions alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty
-from .spans import SPAN, Kind, find_spans
+from .spans import BLOCK, SPAN, Kind, chunked, find_spans, let, once, part
 
 _LOCAL, _LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 
@@ -48,27 +50,67 @@ def find_entities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return find_spans(rows, "t", BASE, "base", lambda value: F.sha2(value, 256))
 
 
+def _stitched(text: Column, spans: Column, piece: Callable[[Column, Column, Column], tuple[Column, Column]]) -> Column:
+    """``text`` with pieces put for its spans: ``piece(chunks, at, span)`` gives what stands from place ``at`` to the span's end, and the place after it.
+
+    Spans are taken in blocks, so that what has been put together is copied once a block and not once a span.
+    """
+
+    def fold(chunks: Column) -> Column:
+        def put(acc, s):
+            out, at = piece(chunks, acc["at"], s)
+            return F.struct(at.cast("int").alias("at"), F.concat(acc["out"], out).alias("out"))
+
+        def block(acc, b):
+            got = F.aggregate(F.slice(spans, b * BLOCK + 1, BLOCK), F.struct(acc["at"].alias("at"), F.lit("").alias("out")), put)
+            return let(got, lambda g: F.struct(g["at"].alias("at"), F.array_append(acc["parts"], g["out"]).alias("parts")))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+        blocks = F.sequence(F.lit(0), F.floor(F.size(spans) / BLOCK).cast("int"))
+        return F.aggregate(blocks, start, block, lambda acc: F.concat(F.array_join(acc["parts"], ""), part(chunks, acc["at"], chunks["n"] - acc["at"])))
+
+    return F.when(F.size(spans) > 0, let(chunked(text), fold)).otherwise(text)
+
+
 def _masked(text: Column, spans: Column) -> Column:
     """The text with each span blanked, so that all places stay."""
 
-    def put(acc, s):
-        start, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
-        out = F.concat(acc["out"], F.substr(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), end - start))
-        return F.struct(end.alias("at"), out.alias("out"))
+    def piece(chunks, at, s):
+        start, end = F.greatest(at, s["start"]), F.greatest(at, s["end"])
+        return F.concat(part(chunks, at, start - at), F.repeat(F.lit(" "), end - start)), end
+
+    return _stitched(text, spans, piece)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, start, put, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+
+#: Characters in which the rest of a word over a window's edge is looked for first.
+EDGE = 64
 
 
 def _near_terms(found: DataFrame, reach: int) -> DataFrame:
-    """(row, entity, term, start, end) for the words that stand, or begin or end, within ``reach`` characters of an entity."""
-    near = found.select("row", "m", F.explode("base").alias("span"))
-    from_ = F.greatest(F.col("span.start") - reach, F.lit(0))
-    to = F.least(F.col("span.end") + reach, F.length("m"))
-    near = near.select("row", "m", F.col("span.tag").alias("entity"), from_.alias("at"), to.alias("to"), F.substr(F.col("m"), from_ + 1, to - from_).alias("part"))
-    # words over the window's edge are read whole
-    before = F.when(F.col("part").rlike(rf"\A[{_WORD}]"), F.regexp_extract(F.substr(F.col("m"), F.lit(1), F.col("at")), rf"(?<![{_WORD}])[{_WORD}]++\z", 0)).otherwise("")
-    after = F.when(F.col("part").rlike(rf"[{_WORD}]\z"), F.regexp_extract(F.substr(F.col("m"), F.col("to") + 1, F.length("m")), rf"\A[{_WORD}]++", 0)).otherwise("")
+    """(row, entity, term, start, end) for the words that stand, or begin or end, within ``reach`` characters of an entity.
+
+    Windows are cut out inside the text's row, so that no row but its own carries a text.
+    """
+    m, inside = F.col("m"), rf"\A[{_WORD}]+\z"
+
+    def windows(chunks: Column) -> Column:
+        def window(s):
+            at, to = F.greatest(s["start"] - reach, F.lit(0)), F.least(s["end"] + reach, chunks["n"])
+            lead = F.greatest(at - EDGE, F.lit(0))
+            return F.struct(s["tag"].alias("entity"), at.alias("at"), to.alias("to"), lead.alias("lead"), part(chunks, lead, at - lead).alias("head"), part(chunks, at, to - at).alias("part"), part(chunks, to, F.lit(EDGE)).alias("tail"))
+
+        return F.transform("base", window)
+
+    def whole(w):
+        # words over the window's edge are read whole, however long
+        head = F.when((w["lead"] > 0) & w["head"].rlike(inside), F.regexp_extract(F.substr(m, F.lit(1), w["at"]), rf"(?<![{_WORD}])[{_WORD}]++\z", 0)).otherwise(w["head"])
+        tail = F.when((F.length(w["tail"]) == EDGE) & w["tail"].rlike(inside), F.regexp_extract(F.substr(m, w["to"] + 1, F.length(m)), rf"\A[{_WORD}]++", 0)).otherwise(w["tail"])
+        return F.struct(w["entity"].alias("entity"), w["at"].alias("at"), head.alias("head"), w["part"].alias("part"), tail.alias("tail"))
+
+    cut_out = once(found.select("row", "m", "base"), {"near": let(chunked(m), windows)})
+    near = cut_out.select("row", F.explode(F.transform("near", whole)).alias("w")).select("row", "w.*")
+    before = F.when(F.col("part").rlike(rf"\A[{_WORD}]"), F.regexp_extract("head", rf"(?<![{_WORD}])[{_WORD}]++\z", 0)).otherwise("")
+    after = F.when(F.col("part").rlike(rf"[{_WORD}]\z"), F.regexp_extract("tail", rf"\A[{_WORD}]++", 0)).otherwise("")
     near = near.select("row", "entity", (F.col("at") - F.length(before)).alias("at"), F.concat(before, "part", after).alias("part"))
     words = find_spans(near, "part", [Kind(TERM, rf"[{_WORD}]++")], "words", lambda w: F.lower(w))
     each = words.select("row", "entity", "at", F.explode("words").alias("w")).where(F.col("w.tag").rlike(r"\p{L}"))
@@ -153,12 +195,9 @@ def find_personal(
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; overlapping spans are merged under the first's kind."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def put(acc, s):
-        fresh = s["start"] >= acc["at"]
-        piece = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(fresh, F.concat(acc["out"], piece, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), out.alias("out"))
+    def piece(chunks, at, s):
+        out = F.concat(part(chunks, at, s["start"] - at), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.when(s["start"] >= at, out).otherwise(""), F.greatest(s["end"], at)
 
-    return F.aggregate(spans, start, put, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    return _stitched(text, spans, piece)

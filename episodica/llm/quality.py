@@ -138,31 +138,34 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], soft: np.ndarray, l2:
 def score_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000, threshold: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: doc_id, quality (the scorer's, 0 to 1), keep.
 
-    Null text counts as empty: it gets the scorer's bias.  At most ``sample_rows``
-    documents, chosen by a hash of the id, fit the scorer; vote counts cover all.  Repeated rows are scored
-    alike; an empty table gives none; other columns don't matter.
+    Null text counts as empty: it gets the scorer's bias; long texts are read whole.  At most ``sample_rows``
+    texts, chosen by a hash of the id, fit the scorer, one that repeats under an id once; vote counts cover all.
+    Repeated rows are scored alike; a score at the threshold is kept; an empty table gives none; other columns
+    don't matter.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     base = [3**i for i in range(len(LABELLERS))]
     pattern = sum(((v + 1) * b for v, b in zip(votes(F.col("t")), base)), F.lit(0)).alias("pattern")
-    voted = cut(rows.select("doc_id", pattern))
+    voted = cut(rows.select("doc_id", F.xxhash64("t").alias("h"), pattern))
     # at most 3^9 rows, whatever the corpus
     counted = voted.groupBy("pattern").count().orderBy("pattern").collect()
     codes = np.array([r[0] for r in counted], np.int64)
     patterns = (codes[:, None] // np.array(base)) % 3 - 1
     posterior = fit_votes(patterns, np.array([r[1] for r in counted]))[2] if len(codes) else np.zeros(0)
     by_code = dict(zip(codes.tolist(), posterior.tolist()))
-    picked = voted.orderBy(F.xxhash64("doc_id"), "doc_id", "pattern").limit(sample_rows).select("doc_id").distinct()
+    # an id may stand for any number of rows: the bound is one of rows, and holds before anything is collected
+    picked = voted.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample_rows)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens()
         for b in batches:
-            found = [features(t, tokens) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["doc_id", "pattern", "a", "v"])
+            found = [features(t, tokens) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["doc_id", "h", "pattern", "a", "v"])
 
-    sample = rows.join(F.broadcast(picked), "doc_id").select("doc_id", pattern, "t")
-    got = sample.mapInArrow(sparse, f"doc_id {dict(rows.dtypes)['doc_id']}, pattern int, a binary, v binary").collect()
-    got = sorted(got, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))[:sample_rows]
+    texts, picked = rows.withColumn("h", F.xxhash64("t")).alias("r"), picked.alias("p")
+    sample = texts.join(F.broadcast(picked), F.expr("r.doc_id <=> p.doc_id and r.h = p.h")).select("r.doc_id", "r.h", "p.pattern", "r.t").dropDuplicates(["doc_id", "h"])
+    got = sample.mapInArrow(sparse, f"doc_id {dict(rows.dtypes)['doc_id']}, h bigint, pattern int, a binary, v binary").collect()
+    got.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id), r.h))
     weights = fit_scorer([(np.frombuffer(r.a, np.int32), np.frombuffer(r.v, np.float32)) for r in got], np.array([by_code[r.pattern] for r in got]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,10 @@ A bucket of at most ``light`` fingerprints is joined pair by pair.  The rows of
 midpoints: two values within three bits have a value between them, within one bit of one and within two
 bits of the other, and all who meet there are linked to one of them by a true link, so connectivity is
 exact and no bucket is squared.
+
+``simhash_components`` links by bits alone.  ``near_duplicates`` links by similarity of shingle sets: pairs that
+the signatures propose are verified, and as three of 64 bits reach only the closest pairs at a similarity of 0.8,
+minhash bands propose the rest (see ``similar``; figures in the README).
 """
 
 from __future__ import annotations
@@ -17,48 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 from .components import connected_components
-
-SEED = 42
-LANES = np.uint64(0x0101010101010101)
-
-
-def shingle_hashes(text: bytes, width: int = 3) -> np.ndarray:
-    """XXH64 of every ``width``-word shingle, ASCII lower-cased; fewer words give one shingle of them all."""
-    words = text.lower().split()  # bytes.split cuts exactly at \x20 and \x09-\x0D
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[: len(words) - width])).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist())], np.uint64)
-
-
-def majority_bits(hashes: np.ndarray) -> int:
-    """Bits set in over half the hashes; byte lanes hold counts of up to 255 rows at a time."""
-    n = len(hashes)
-    if n == 0:
-        return 0
-    rows = np.zeros((-(-n // 255) * 255), np.uint64)
-    rows[:n] = hashes
-    rows = rows.reshape(-1, 255)
-    value = 0
-    for k in range(8):
-        lanes = ((rows >> np.uint64(k)) & LANES).sum(axis=1, dtype=np.uint64).astype("<u8")
-        counts = lanes.view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
-        for lane in range(8):
-            if 2 * int(counts[lane]) > n:
-                value |= 1 << (8 * lane + k)
-    return value
-
+from .shingles import majority_bits, shingle_hashes
+from .similar import similar_components
 
 def _fingerprint_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,6 +47,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 SEGMENT = 32
+#: Fingerprints that one task spreads into index rows.
+TASK_ROWS = 8192
 KEY = ["part", "wild", "key"]
 
 
@@ -104,6 +75,8 @@ def _variants(value):
 
 def _index(distinct: DataFrame) -> DataFrame:
     """66 rows a fingerprint: two segments, each as it is and under 32 wildcards."""
+    # fingerprints are few bytes and come in few partitions; their index rows are many
+    distinct = distinct.repartition(max(8, -(-distinct.count() // TASK_ROWS)), "fp")
     rows = distinct.select("fp", F.posexplode(F.array(*_segments())).alias("part", "value"))
     return rows.select("fp", "part", F.explode(_variants(F.col("value"))).alias("k")).select("fp", "part", "k.*")
 
@@ -164,3 +137,23 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     out = rows.join(named.join(smallest, "root").select("fp", "component_id"), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, light: int = 256) -> DataFrame:
+    """One row per row of ``docs``: doc_id, text_hash, component (a number; equal for rows that verified pairs connect).
+
+    A pair links if the sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more.  Null,
+    empty and wordless texts are alike and form one component; a text of fewer words than ``width`` is one shingle.
+    Long texts are read whole; repeated rows get one component; other columns don't matter; an empty table gives none.
+    """
+
+    def proposed(sketches: DataFrame) -> DataFrame:
+        """(a, na, b, nb): of sets with one fingerprint each meets the smallest; smallest ones of near fingerprints meet."""
+        heads = sketches.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("sets"))
+        heads = cut(heads)
+        same = sketches.join(heads.where("sets > 1").drop("sets"), "fp").where("node <> head.node").select(F.col("head.node").alias("a"), F.col("head.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
+        ends = [heads.select(F.col("fp").alias(x), F.col("head.node").alias(f"{x}_node"), F.col("head.n").alias(f"{x}_n")) for x in ("a", "b")]
+        near = near_links(heads.select("fp"), light).join(ends[0], "a").join(ends[1], "b")
+        return same.unionByName(near.select(F.col("a_node").alias("a"), F.col("a_n").alias("na"), F.col("b_node").alias("b"), F.col("b_n").alias("nb")))
+
+    return similar_components(docs, id_col, text_col, width, similarity, proposed)

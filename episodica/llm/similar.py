@@ -1,7 +1,8 @@
-"""Documents of similar shingle sets: MinHash bands propose pairs, the sets themselves decide.
+"""Components of similar shingle sets: pairs are proposed, the sets themselves decide.
 
-Fingerprint bits are too coarse for a similarity of 0.8: it is some ten of 64 bits, and segments short enough to
-find that distance hold most of the corpus.  Here a set of five-word shingles gets ``BANDS`` keys of ``ROWS``
+This is the part of the near-duplicate operator (see ``simhash``) that fingerprint bits are too coarse for: a
+similarity of 0.8 is some ten of 64 bits, and segments short enough to find that distance hold most of the corpus.
+Besides the pairs that fingerprints propose, a set of five-word shingles gets ``BANDS`` keys of ``ROWS``
 minima each; a pair of similarity s shares a key with probability 1 - (1 - s^ROWS)^BANDS, 0.9993 at 0.8 and
 more above.  Every proposed pair is verified by its exact similarity before it links.
 
@@ -12,7 +13,7 @@ those has an end outside the bucket's largest component.  Components are those o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty
 from .components import connected_components
-from .simhash import SEED, shingle_hashes
+from .shingles import SEED, majority_bits, shingle_hashes
 
 BANDS, ROWS = 24, 6
 #: Shingles whose minima are taken at once.
@@ -53,20 +54,21 @@ def _keyed(found: np.ndarray, masks: np.ndarray, odd: np.ndarray) -> np.ndarray:
 
 
 def _sketches(width: int):
-    """mapInArrow: (doc_id, text_hash, t) -> (doc_id, text_hash, node, n, keys)."""
+    """mapInArrow: (doc_id, text_hash, t) -> (doc_id, text_hash, node, n, fp, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(SEED)
         masks = rng.integers(0, 2**64, BANDS * ROWS, np.uint64)
         odd = rng.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
         for b in batches:
-            nodes, sizes, keys = np.zeros(len(b), np.uint64), np.zeros(len(b), np.int32), np.zeros((len(b), BANDS), np.uint64)
+            nodes, fps, sizes, keys = np.zeros(len(b), np.uint64), np.zeros(len(b), np.uint64), np.zeros(len(b), np.int32), np.zeros((len(b), BANDS), np.uint64)
             for i, t in enumerate(b.column(2)):
-                found = shingle_set(t.as_py(), width)
+                hashes = shingle_hashes(t.as_py(), width)
+                found, fps[i] = np.unique(hashes), majority_bits(hashes)
                 nodes[i], sizes[i] = _node(found), len(found)
                 keys[i] = _keyed(found, masks, odd)
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes.view(np.int64)), pa.array(sizes), listed], ["doc_id", "text_hash", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes.view(np.int64)), pa.array(sizes), pa.array(fps.view(np.int64)), listed], ["doc_id", "text_hash", "node", "n", "fp", "keys"])
 
     return run
 
@@ -97,20 +99,25 @@ def _verified(similarity: float):
     return run
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, proposed: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, component (a number; equal for rows that verified pairs connect).
 
     Null, empty and wordless texts are alike.  Words and shingles are those of ``shingle_hashes``; a text of fewer
-    words than ``width`` is one shingle.  Other columns don't matter; an empty table gives none.
+    words than ``width`` is one shingle.  Other columns don't matter; an empty table gives none.  ``proposed``
+    gives pairs (a, na, b, nb) of sets with their sizes from the distinct sets (node, n, fp, text_hash).
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
     texts = texts.select("doc_id", F.xxhash64("t").alias("text_hash"), F.col("t").cast("binary").alias("t"))
     kind = dict(texts.dtypes)["doc_id"]
-    rows = cut(texts.mapInArrow(_sketches(width), f"doc_id {kind}, text_hash bigint, node bigint, n int, keys array<bigint>"))
-    index = rows.where("n > 0").dropDuplicates(["node"]).select("node", "n", "text_hash", F.explode("keys").alias("key"))
+    rows = cut(texts.mapInArrow(_sketches(width), f"doc_id {kind}, text_hash bigint, node bigint, n int, fp bigint, keys array<bigint>"))
+    sketches = rows.where("n > 0").dropDuplicates(["node"])
+    index = sketches.select("node", "n", "text_hash", F.explode("keys").alias("key"))
+    near = cut(proposed(sketches.select("node", "n", "fp", "text_hash")))
     buckets = index.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("hub")).where("members > 1")
     crowd = cut(index.join(buckets, "key").select("key", "node", "n", "text_hash", "hub"))
-    picked = crowd.groupBy("text_hash").agg(F.min("node").alias("node"))
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    asked = crowd.select("node", "text_hash").unionByName(sketches.select("node", "text_hash").join(ends, "node", "left_semi"))
+    picked = asked.groupBy("text_hash").agg(F.min("node").alias("node"))
     shown = texts.select("text_hash", "t").join(picked, "text_hash").dropDuplicates(["text_hash"])
     sets = cut(shown.select("node", "t").mapInArrow(_sets(width), "node bigint, set binary"))
 
@@ -120,7 +127,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         open_ = open_.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         return cut(open_.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a bigint, b bigint"))
 
-    stars = links(crowd.where("node <> hub.node").select(F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")))
+    hubs = crowd.where("node <> hub.node").select(F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
+    stars = links(near.unionByName(hubs))
     first = cut(connected_components(stars))
     placed = crowd.join(first, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     shares = placed.groupBy("key", "root").agg(F.count("*").alias("held"))

@@ -71,18 +71,18 @@ def find_spans(texts: DataFrame, text_col: str, kinds: list[Kind], into: str, ta
     none, no_ints = F.array().cast("array<string>"), F.array().cast("array<int>")
     each = list(enumerate(kinds))
     some = {i: F.size(f"_m{i}") > 0 for i, _ in each}
-    out = _once(texts, {f"_m{i}": F.when(text.rlike(k.pattern), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(none) for i, k in each})
+    out = once(texts, {f"_m{i}": F.when(text.rlike(k.pattern), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(none) for i, k in each})
     pieces = {f"_p{i}": F.when(some[i], F.transform(F.split(text, k.pattern, -1), F.length)) for i, k in each}
     groups = {f"_g{i}": F.when(some[i], F.regexp_extract_all(text, F.lit(k.pattern), F.lit(k.group))) if k.group else F.col(f"_m{i}") for i, k in each}
-    out = _once(out, pieces | groups)
-    out = _once(out, {f"_s{i}": F.when(some[i], _steps(i)).otherwise(no_ints) for i, _ in each})
-    out = _once(out, {f"_b{i}": F.when(some[i], _block_sums(i)).otherwise(no_ints) for i, _ in each})
-    out = _once(out, {f"_o{i}": _block_starts(i) for i, _ in each})
+    out = once(out, pieces | groups)
+    out = once(out, {f"_s{i}": F.when(some[i], _steps(i)).otherwise(no_ints) for i, _ in each})
+    out = once(out, {f"_b{i}": F.when(some[i], _block_sums(i)).otherwise(no_ints) for i, _ in each})
+    out = once(out, {f"_o{i}": _block_starts(i) for i, _ in each})
     spans = F.concat(*[_spans(i, k, tag) for i, k in each])
-    return _once(out, {into: F.array_sort(spans)}).select(*texts.columns, into)
+    return once(out, {into: F.array_sort(spans)}).select(*texts.columns, into)
 
 
-def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add columns that are computed once a row.
 
     A plain projection may be merged into the next one, and what a lambda reads would then be computed anew
@@ -92,6 +92,27 @@ def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*df.columns, made).select(*df.columns, *[F.col(f"_made.{n}").alias(n) for n in columns])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it, in lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Characters of a chunk.
+CHUNK = 512
+
+
+def chunked(text: Column) -> Column:
+    """The text as struct of ``c``, its chunks of equal length, and ``n``, its length: places are found without reading up to them."""
+    return F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("c"), F.coalesce(F.length(text), F.lit(0)).alias("n"))
+
+
+def part(chunks: Column, at: Column, n: Column) -> Column:
+    """``n`` characters from place ``at`` (from 0) of a chunked text."""
+    first = F.floor(at / CHUNK).cast("int")
+    some = F.floor((at + F.greatest(n, F.lit(0))) / CHUNK).cast("int") - first + 1
+    return F.substr(F.array_join(F.slice(chunks["c"], first + 1, some), ""), at - first * CHUNK + 1, F.greatest(n, F.lit(0)))
+
+
 SPAN = "array<struct<start:int,place:int,end:int,kind:string,tag:string>>"
 
 

@@ -2,6 +2,8 @@
 
 Categories are predicted one after another.  Each is a logistic model on hashed presence features (words,
 and word beginnings for inflected forms) that also sees the probabilities of the categories before it.
+The finer categories are kinds of toxic text that the labelled documents themselves show: a kind is told by the
+feature most of its documents share beyond what documents at large would; the last category is toxicity itself.
 While training, these come from models that had not seen the row (out-of-fold), so that later models meet
 earlier ones as uncertain as they are on new text.  Models are fitted on a bounded sample of labelled rows;
 every whole text is scored.
@@ -21,9 +23,8 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 20
 CACHE = 300_000
 
-#: Fixed words of the two finer categories; a labelled toxic document with one of them is an example.
-INSULT = ("idiot", "moron", "loser", "clown", "stupid")
-CONTEMPT = ("pathetic", "worthless", "disgusting", "trash", "scum")
+#: Finer categories before the last.
+KINDS = 2
 
 
 def token_features(token: str) -> list[int]:
@@ -104,22 +105,46 @@ def _dense(rows: list[np.ndarray], width: int) -> np.ndarray:
     return x
 
 
-def fit_chain(features: list[np.ndarray], labels: np.ndarray, names: list[str], folds: int = 3, width: int = 1024, least: int = 3) -> Chain:
-    """Fit a chain on sparse presence features and a (row, category) 0/1 array.
+def _telling(features: list[np.ndarray], marked: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of ``least`` documents or more, and by how many deviations their share among the marked ones is off.
 
-    The ``width`` features that tell the last category best are kept.  Rows go to folds by position.
+    Counts go by bucket, document by document: the sample's features are never copied as a whole.
     """
-    # counts by bucket, document by document: the sample's features are never copied as a whole
     n, n1 = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
-    for f, toxic in zip(features, labels[:, -1]):
+    for f, yes in zip(features, marked):
         n[f] += 1
-        if toxic:
+        if yes:
             n1[f] += 1
-    rows, positive = max(len(labels), 1), float(labels[:, -1].sum())
+    share = float(marked.sum()) / max(len(marked), 1)
     seen = np.flatnonzero(n >= least)
-    expected = n[seen] * positive / rows
-    spread = np.abs(n1[seen] - expected) / np.sqrt(np.maximum(expected * (1 - positive / rows), 1e-9) + 1)
-    best = seen[np.argsort(-spread, kind="stable")[:width]]
+    expected = n[seen] * share
+    return seen, (n1[seen] - expected) / np.sqrt(np.maximum(expected * (1 - share), 1e-9) + 1)
+
+
+def toxic_kinds(features: list[np.ndarray], toxic: np.ndarray, kinds: int = KINDS, least: int = 3) -> np.ndarray:
+    """(row, category) 0/1: ``kinds`` kinds of toxic documents, then toxicity.
+
+    A kind holds the toxic documents with the feature that tells most of those not in an earlier kind.
+    """
+    y, left = np.zeros((len(features), kinds + 1), np.float32), toxic > 0
+    y[:, -1] = left
+    for k in range(kinds):
+        seen, spread = _telling(features, left, least)
+        if not left.any() or not len(seen):
+            break
+        best = seen[spread.argmax()]
+        y[:, k] = [yes and best in f for yes, f in zip(left, features)]
+        left = left & (y[:, k] == 0)
+    return y
+
+
+def fit_chain(features: list[np.ndarray], labels: np.ndarray, names: list[str], folds: int = 3, width: int = 1024, least: int = 3) -> Chain:
+    """Fit a chain on sparse presence features and a (row, category) 0/1 array.
+
+    The ``width`` features that tell the last category best are kept.  Rows go to folds by position.
+    """
+    seen, spread = _telling(features, labels[:, -1] > 0, least)
+    best = seen[np.argsort(-np.abs(spread), kind="stable")[:width]]
     best = np.sort(best)
     chain = Chain(names, {int(f): i for i, f in enumerate(best)})
     if not len(labels):
@@ -150,29 +175,25 @@ def best_threshold(p: np.ndarray, y: np.ndarray, least: float = 0.15, most: floa
     return float(np.clip((float(p[order[k]]) + below) / 2, least, most))
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[list[np.ndarray], np.ndarray, list[str]]:
-    """Features and labels of at most ``sample_rows`` labelled documents, chosen by a hash of their id."""
-    picked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def labelled_features(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[np.ndarray], np.ndarray, list[str]]:
+    """Features and categories of at most ``sample_rows`` labelled texts, chosen by a hash of their id; a text counts once an id."""
+    picked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).join(F.broadcast(picked), "doc_id").withColumn("h", F.xxhash64("t"))
+    # an id may stand for any number of rows: the bound is one of rows, and holds before anything is collected
+    chosen = rows.select("doc_id", "h").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Cache()
         for b in batches:
-            found, insult, contempt = [], [], []
-            for text in b.column(2).to_pylist():
-                words = {"".join(c for c in t if c.isalpha()) for t in set(text.lower().split())}
-                insult.append(not words.isdisjoint(INSULT))
-                contempt.append(not words.isdisjoint(CONTEMPT))
-                found.append(np.array(sorted(_presence(text, cache)), np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary()), pa.array(insult), pa.array(contempt)], ["doc_id", "toxic", "f", "insult", "contempt"])
-
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    rows = rows.join(F.broadcast(picked), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "t")
-    rows = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, toxic int, f binary, insult boolean, contempt boolean")
-    got = [(zlib.crc32(str(r[0]).encode()), r[0], (r.toxic and r.insult, r.toxic and r.contempt, r.toxic), r.f) for r in rows.collect()]
-    got.sort(key=lambda r: r[:2])
-    y = np.array([r[2] for r in got], np.float32).reshape(len(got), 3)
-    return [np.frombuffer(r[3], np.int32) for r in got], y, ["insult", "contempt", "toxic"]
+            found = [np.array(sorted(_presence(text, cache)), np.int32).tobytes() for text in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.binary())], ["doc_id", "h", "toxic", "f"])
+
+    rows = rows.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "toxic", "t")
+    got = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, h bigint, toxic int, f binary").collect()
+    got.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.h))
+    features = [np.frombuffer(r.f, np.int32) for r in got]
+    return features, toxic_kinds(features, np.array([r.toxic for r in got], np.float32)), [*(f"kind_{k + 1}" for k in range(KINDS)), "toxic"]
 
 
 def score_chain(docs: DataFrame, chain: Chain, keep: list[str], *, text_col: str = "text", block: int = 256) -> DataFrame:
@@ -194,18 +215,20 @@ def score_chain(docs: DataFrame, chain: Chain, keep: list[str], *, text_col: str
             columns = [*b.columns[:-1], *[pa.array(p[:, k]) for k in range(len(names))], pa.array(p[:, -1] >= chain.threshold)]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *names, "is_toxic"])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_text"))
     kinds = "".join(f"`{n}` double, " for n in names)
     fields = "".join(f"`{c}` {t}, " for c, t in rows.dtypes[:-1])
     return rows.mapInArrow(run, f"{fields}{kinds}is_toxic boolean")
 
 
-def judge_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, *, sample_rows: int = 8000) -> DataFrame:
+def judge_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000) -> DataFrame:
     """Columns ``keep`` (None: all) of ``docs`` with the probabilities of each category and ``is_toxic``.
 
     ``labels`` has doc_id and toxic (0/1); of repeated ids the highest label holds; ids or labels that are
-    null are not learned from.  At most ``sample_rows`` labelled documents are learned from.  A null or empty
-    text gets the models' base rate.  Without any label nothing is toxic.  Repeated rows are scored alike;
-    an empty table gives none; columns of ``labels`` other than the two don't matter.
+    null are not learned from.  At most ``sample_rows`` labelled texts are learned from, a text that repeats under
+    an id once.  A null or empty text gets the models' base rate; long texts are read whole.  Without any label
+    nothing is toxic.  Repeated rows are scored alike; features that tell equally much go by number; an empty
+    table gives none; columns of ``labels`` other than the two don't matter.
     """
-    return score_chain(docs, fit_chain(*labelled_features(docs, labels, sample_rows)), docs.columns if keep is None else keep)
+    chain = fit_chain(*labelled_features(docs, labels, sample_rows, id_col, text_col))
+    return score_chain(docs, chain, docs.columns if keep is None else keep, text_col=text_col)

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 #: Stands between host and path in a canonical URL; this byte is in no UTF-8 text.
 CUT = 0xFF
 END = 256
+#: A character in UTF-8 is a leading byte and the bytes that go on with it.
+LEAD = set(range(256)) - set(range(0x80, 0xC0)) - {CUT}
+GO_ON = set(range(0x80, 0xC0))
 CELLS = 4_000_000
 
 
@@ -58,9 +61,11 @@ class Automaton:
                     if ch == "*":
                         stay[-1] |= anything
                         continue
-                    for b in ch.encode():
-                        take.append(anything if ch == "?" else {b})
+                    for b in [LEAD] if ch == "?" else [{b} for b in ch.encode()]:
+                        take.append(b)
                         stay.append(set())
+                    if ch == "?":  # the bytes that go on with the character are taken in place
+                        stay[-1] |= GO_ON
                 if half == 0:
                     take.append({CUT})
                     stay.append(set())
