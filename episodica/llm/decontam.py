@@ -38,13 +38,23 @@ NAMES = ["row", "doc_id", "view", "hash", "pos", "slots"]
 ODD = 0x9E3779B97F4A7C15
 
 
+MONEY = frozenset("%$€£")
+
+
 def template(token: str) -> tuple[str, str, str] | None:
     """(exact, plain, loose) of a token, placeholders in angle brackets; None for tokens without a letter or digit."""
-    core = token.strip("".join({c for c in token if not c.isalnum()} - set("%$€£")))
+    core = token
+    if not token.isalnum():
+        start, end = 0, len(token)
+        while start < end and not (token[start].isalnum() or token[start] in MONEY):
+            start += 1
+        while start < end and not (token[end - 1].isalnum() or token[end - 1] in MONEY):
+            end -= 1
+        core = token[start:end]
+        if not any(map(str.isalnum, core)):
+            return (core, "<unit>", "<unit>") if core in UNITS else None
     low = core.lower()
-    if not any(c.isalnum() for c in core):
-        return (core, "<unit>", "<unit>") if core in UNITS else None
-    if any(c.isdigit() for c in core):
+    if not core.isalpha() and any(map(str.isdigit, core)):
         return low, "<num>", "<num>"
     if low in UNITS:
         return low, "<unit>", "<unit>"
@@ -58,14 +68,16 @@ class _Vocabulary(dict):
         self.hashes, self.literal, self.words = [array("Q") for _ in range(3)], [array("b") for _ in range(3)], []
 
     def __missing__(self, token: str) -> int:
-        found = template(token)
-        n = -1
+        found, n = template(token), -1
         if found:
+            exact, plain, loose = found
             n = len(self.words)
-            for view, form in enumerate(found):
-                self.hashes[view].append(xxhash.xxh64_intdigest(form))
-                self.literal[view].append(form == found[0])
-            self.words.append(found[0])
+            self.words.append(exact)
+            h = xxhash.xxh64_intdigest(exact)
+            for view, form in ((EXACT, exact), (PLAIN, plain), (LOOSE, loose)):
+                same = form == exact
+                self.hashes[view].append(h if same else xxhash.xxh64_intdigest(form))
+                self.literal[view].append(same)
         self[token] = n
         return n
 
