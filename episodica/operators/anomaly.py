@@ -40,25 +40,40 @@ def band_finding(temps: DataFrame, key: str = "element", condition: str = "condi
 
 
 def peer_finding(temps: DataFrame, peer: list[str], key: str = "element", warn: float = 5, alarm: float = 10, least: int = 2) -> DataFrame:
-    """Difference to the median of the other elements of a peer group at one time; groups are elements of one kind at one moment."""
-    groups = temps.groupBy(*peer).agg(F.array_sort(F.collect_list(F.struct("temp", F.col(key).alias("e")))).alias("_g"))
-    rows = temps.join(groups, peer)
-    others = F.transform(F.filter("_g", lambda s: s["e"] != F.col(key)), lambda s: s["temp"])
-    rows = rows.withColumn("_o", others)
-    n = F.size("_o")
-    median = (F.get("_o", F.floor((n - 1) / 2).cast("int")) + F.get("_o", F.floor(n / 2).cast("int"))) / 2
-    rows = rows.withColumn("delta", F.when(n >= least, F.col("temp") - median))
-    return rows.withColumn("peers", F.when(F.col("delta") >= alarm, "alarm").when(F.col("delta") >= warn, "warn").otherwise("none")).drop("_g", "_o")
-
-
-def trend_finding(temps: DataFrame, key: str = "element", kind: str = "kind", rate: float = 0.2, times: float = 2.0) -> DataFrame:
-    """Degrees an hour since the element's last reading; a warning at ``rate`` and twice the mean of its kind or of itself."""
-    w = Window.partitionBy(key).orderBy("t")
+    """Difference to the median of the other elements of a peer group at one time; groups are elements of one kind at one moment.
+
+    Without itself, the middle of a group's sorted temperatures lies at most one place off: each row needs the
+    few middle values of its group and its own place, and no row carries its group.
+    """
+    w = Window.partitionBy(*peer).orderBy("temp", key)
+    ranked = temps.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(*peer)) - 1})
+    # places of the lower and upper median among the others are floor((n - 1) / 2) and floor(n / 2) of n others
+    middle = ranked.where(F.col("_i").between(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2) + 1))
+    middle = middle.groupBy(*peer).agg(F.map_from_entries(F.collect_list(F.struct(F.col("_i").cast("int"), "temp"))).alias("_m"))
+    rows = ranked.join(middle, peer, "left")
+    others = lambda place: F.try_element_at("_m", F.when(place >= F.col("_i"), place + 1).otherwise(place).cast("int"))
+    median = (others(F.floor((F.col("_n") - 1) / 2)) + others(F.floor(F.col("_n") / 2))) / 2
+    rows = rows.withColumn("delta", F.when(F.col("_n") >= least, F.col("temp") - median))
+    return rows.withColumn("peers", F.when(F.col("delta") >= alarm, "alarm").when(F.col("delta") >= warn, "warn").otherwise("none")).drop("_m", "_i", "_n")
+
+
+def trend_finding(temps: DataFrame, key: str = "element", kind: str = "kind", rate: float = 0.2, times: float = 2.0, peer_seconds: int = 3600, tie: str | None = None) -> DataFrame:
+    """Degrees an hour since the element's last reading; a warning at ``rate`` and ``times`` a base above zero.
+
+    Bases are the mean rate of the other elements of its kind in the same ``peer_seconds``, and of the element's
+    own earlier readings; later rows never count.  ``tie`` orders readings of one time.
+    """
+    w = Window.partitionBy(key).orderBy("t", *([tie] if tie else []))
     hours = (F.unix_micros(F.col("t").cast("timestamp")) - F.unix_micros(F.lag("t").over(w).cast("timestamp"))) / 3.6e9
     rows = temps.withColumn("rate", (F.col("temp") - F.lag("temp").over(w)) / F.nullif(hours, F.lit(0.0)))
-    own, all_ = F.avg(F.abs("rate")).over(Window.partitionBy(key)), F.avg(F.abs("rate")).over(Window.partitionBy(kind))
-    hot = (F.col("rate") >= rate) & ((F.col("rate") >= times * all_) | (F.col("rate") >= times * own))
-    return rows.withColumn("trend", F.when(hot, "warn").otherwise("none"))
+    rows = rows.withColumns({"_past": F.avg("rate").over(w.rowsBetween(Window.unboundedPreceding, -1)), "_b": F.floor(F.unix_micros(F.col("t").cast("timestamp")) / (peer_seconds * 1_000_000))})
+    own = rows.groupBy(key, kind, "_b").agg(F.sum("rate").alias("_s"), F.count("rate").alias("_n"))
+    all_ = own.groupBy(kind, "_b").agg(F.sum("_s").alias("_as"), F.sum("_n").alias("_an"))
+    peers = own.join(all_, [kind, "_b"]).select(key, kind, "_b", ((F.col("_as") - F.coalesce("_s", F.lit(0.0))) / F.nullif(F.col("_an") - F.col("_n"), F.lit(0))).alias("_peer"))
+    rows = rows.join(peers, [key, kind, "_b"], "left")
+    beats = lambda base: F.coalesce((F.col(base) > 0) & (F.col("rate") >= times * F.col(base)), F.lit(False))
+    hot = (F.col("rate") >= rate) & (beats("_peer") | beats("_past"))
+    return rows.withColumn("trend", F.when(hot, "warn").otherwise("none")).drop("_past", "_b", "_peer")
 
 
 def worst_finding(*findings: Column) -> Column:
@@ -67,19 +82,23 @@ def worst_finding(*findings: Column) -> Column:
     return F.when(top == 2, "alarm").when(top == 1, "warn").otherwise("none")
 
 
-def fuse_signals(signals: DataFrame, weights: DataFrame, agree: float = 0.5, auto: float = 0.4, least: int = 2) -> DataFrame:
-    """By entity and class: score (weighted mean of present sources), confidence (over all sources' weight), agreement, coverage, missing sources; the best class per entity with its verdict."""
-    total = weights.agg(F.sum("weight").alias("all"), F.array_sort(F.collect_list("source")).alias("sources"))
+def fuse_signals(signals: DataFrame, weights: DataFrame, auto: float = 0.4, least: int = 2) -> DataFrame:
+    """The top class of each entity from its sources' class probabilities (entity, class, source, p), with its verdict.
+
+    Mass of a class is the weighted sum over sources; the class of most mass is the top one, the first of equals.
+    ``confidence`` is its mass, ``score`` its mass over the weight of the sources present (``coverage``),
+    ``agreement`` the number of sources whose own best class it is, ``missing`` the sources without a signal.
+    """
+    sources = weights.agg(F.array_sort(F.collect_list("source")).alias("sources"))
     rows = signals.join(weights, "source")
-    by = rows.groupBy("entity", "class").agg(F.sum(F.col("p") * F.col("weight")).alias("mass"), F.sum("weight").alias("present"), F.count_if(F.col("p") >= agree).alias("agreement"))
-    seen = rows.groupBy("entity").agg(F.array_sort(F.collect_set("source")).alias("have"), F.sum_distinct("weight").alias("_w"))
-    cover = rows.select("entity", "source", "weight").distinct().groupBy("entity").agg(F.sum("weight").alias("covered"))
-    full = by.join(seen.drop("_w"), "entity").join(cover, "entity").join(F.broadcast(total))  # one row
-    full = full.withColumns({"score": F.col("mass") / F.col("present"), "confidence": F.col("mass") / F.col("all"), "coverage": F.col("covered") / F.col("all"), "missing": F.array_except("sources", "have")})
-    w = Window.partitionBy("entity").orderBy(F.col("confidence").desc(), "class")
-    best = full.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    verdict = F.when((F.col("confidence") >= auto) & (F.col("agreement") >= least), "auto").otherwise("human review")
-    return best.select("entity", "class", "score", "confidence", "agreement", "coverage", "missing", verdict.alias("verdict"))
+    own = rows.groupBy("entity", "source").agg(F.max("weight").alias("weight"), F.min_by("class", F.struct(-F.col("p"), "class")).alias("best"))
+    cover = own.groupBy("entity").agg(F.sum("weight").alias("coverage"), F.array_sort(F.collect_set("source")).alias("have"))
+    mass = rows.groupBy("entity", "class").agg(F.sum(F.col("p") * F.col("weight")).alias("mass"))
+    top = mass.groupBy("entity").agg(F.min_by("class", F.struct(-F.col("mass"), "class")).alias("class"), F.max("mass").alias("confidence"))
+    agreed = own.join(top.select("entity", "class"), "entity").groupBy("entity").agg(F.count_if(F.col("best") == F.col("class")).alias("agreement"))
+    out = top.join(cover, "entity").join(agreed, "entity").join(F.broadcast(sources))  # one row
+    verdict = F.when(F.col("confidence") < auto, "human_review").when(F.col("agreement") < least, "low_confidence").otherwise("auto")
+    return out.select("entity", "class", (F.col("confidence") / F.col("coverage")).alias("score"), "confidence", "agreement", "coverage", F.array_except("sources", "have").alias("missing"), verdict.alias("verdict"))
 
 
 def monotonicity_violations(signals: DataFrame, weights: DataFrame) -> DataFrame:
@@ -129,12 +148,14 @@ def payback(flows: DataFrame, by: str = "project", year: str = "year", flow: str
 
 def compliance(rules: DataFrame, fired: DataFrame) -> DataFrame:
     """Sum of the weights of an entity's fired rules, and the hit and missed ones; weights must total 100."""
-    total = rules.agg(F.sum("weight")).first()[0]
-    if abs((total or 0) - 100) > 1e-9:
-        raise ValueError(f"rule weights total {total}, not 100")
-    entities = fired.select("entity").distinct()
-    grid = entities.withColumn("r", F.explode(F.array(*[F.struct(F.lit(r.rule).alias("rule"), F.lit(float(r.weight)).alias("weight")) for r in rules.orderBy("rule").collect()])))
-    both = grid.select("entity", "r.*").join(fired.select("entity", "rule").distinct().withColumn("hit", F.lit(True)), ["entity", "rule"], "left")
+    total = F.sum("weight").over(Window.partitionBy())  # the rules are a short list
+    right = F.abs(F.coalesce(total, F.lit(0.0)) - 100) <= 1e-9
+    text = F.concat(F.lit("rule weights total "), total.cast("string"), F.lit(", not 100"))
+    checked = rules.select("rule", F.col("weight").cast("double").alias("weight"), right.alias("right"), text.alias("text"))
+    checked = checked.select("rule", F.when(F.col("right"), F.col("weight")).otherwise(F.raise_error(F.col("text")).cast("double")).alias("weight"))
+    listed = checked.agg(F.collect_list(F.struct("rule", "weight")).alias("_all"))
+    grid = fired.select("entity").distinct().join(F.broadcast(listed)).select("entity", F.inline("_all"))  # one row
+    both = grid.join(fired.select("entity", "rule").distinct().withColumn("hit", F.lit(True)), ["entity", "rule"], "left")
     return both.groupBy("entity").agg(
         F.sum(F.when(F.col("hit"), F.col("weight")).otherwise(0.0)).alias("percent"),
         F.array_sort(F.collect_list(F.when(F.col("hit"), F.col("rule")))).alias("hits"), F.array_sort(F.collect_list(F.when(F.col("hit").isNull(), F.col("rule")))).alias("misses"),

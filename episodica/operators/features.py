@@ -61,3 +61,15 @@ def section_features(section_counts: DataFrame, counters: DataFrame, gaps: DataF
     silent = share(F.greatest(F.lit(0), F.col("channels") - F.coalesce("_wrote", F.lit(0))), F.col("channels"))
     out = out.withColumns(zero | {"days_since_reading": F.datediff(F.to_date(at), F.col("last_day")).cast("double"), "silent_share_30d": silent, "season_sin": F.lit(math.sin(turn)), "season_cos": F.lit(math.cos(turn))})
     return out.select("section_id", *[F.col(n).cast("double").alias(n) for n in NAMES])
+
+
+def activity_ratios(days: DataFrame) -> DataFrame:
+    """The four shares of a prefix-day: channels active on the day and in the week over all, and the pace of a week and of four weeks over the year's.
+
+    ``days`` has n_active_ch, act_ch_7d, n_ch_total and rows of 7, 28 and 365 days; an empty base gives null.
+    """
+    share = lambda a, b, times=1.0: times * F.col(a) / F.nullif(F.col(b), F.lit(0))
+    return days.withColumns({
+        "act_share_1d": share("n_active_ch", "n_ch_total"), "act_share_7d": share("act_ch_7d", "n_ch_total"),
+        "rate_7d": share("n_rows_7d", "n_rows_365d", 52.0), "rate_28d": share("n_rows_28d", "n_rows_365d", 13.0),
+    })

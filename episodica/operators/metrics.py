@@ -111,3 +111,13 @@ def section_to_collector(forecasts: DataFrame, mapping: DataFrame, threshold: fl
     """Highest section probability of a collector and snapshot, above the threshold."""
     best = forecasts.join(mapping.select("section_id", "collector"), "section_id").groupBy("collector", "as_of").agg(F.max("probability").alias("probability"))
     return best.where(F.col("probability") > threshold)
+
+
+def recall_ceiling(moments: DataFrame, failures: DataFrame, hours: float, key: str = "channel_id", time: str = "t") -> DataFrame:
+    """(failures, reachable, ceiling): failures with a decision moment of their channel at most ``hours`` before them, and their share."""
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    both = moments.select(key, at.alias("t"), at.alias("m"), F.lit(0).alias("f")).unionByName(failures.select(key, at.alias("t"), F.lit(None).cast("long").alias("m"), F.lit(1).alias("f")))
+    before = Window.partitionBy(key).orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.col("t") - F.max("m").over(before) <= int(hours * 3.6e9), F.lit(False))
+    seen = both.withColumn("ok", reached).where("f = 1")
+    return seen.agg(F.count("*").alias("failures"), F.count_if("ok").alias("reachable")).withColumn("ceiling", safe_ratio(F.col("reachable"), F.col("failures")))

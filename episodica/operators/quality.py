@@ -98,3 +98,10 @@ def bad_transitions(log: DataFrame, allowed: DataFrame, key: str, time: str) ->
     steps = log.withColumn("from_status", F.lag("status").over(w))
     ok = allowed.select(F.col("from_status").alias("_f"), F.col("to_status").alias("_t"))
     return steps.join(ok, steps["from_status"].eqNullSafe(ok["_f"]) & (steps["status"] == ok["_t"]), "left_anti")
+
+
+def registry_pairs(places: DataFrame, xref: DataFrame, level: int = 4) -> DataFrame:
+    """(places, listed, without_place, ok): places of the section level against sections listed, and those listed without a place."""
+    a = places.where(F.col("hierarchy_level") == level).agg(F.count("*").alias("places"))
+    b = xref.agg(F.count("*").alias("listed"), F.count_if(F.col("func_location_id").isNull()).alias("without_place"))
+    return a.join(F.broadcast(b)).withColumn("ok", (F.col("places") == F.col("listed")) & (F.col("without_place") == 0))  # a row each

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,17 +154,52 @@ def opened_warnings(current: DataFrame, logged: DataFrame, cut: Column, horizon_
 
 
 def spread(forecasts: DataFrame, weights: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """An object's probability over its sections by weight.
+    """An object's probability over its sections by weight: the mean of its sections, shared by their weights, which add up to one again.
 
-    Where an object's sections already differ they stay; sections without weight are dropped from a spread
-    object, and the weights of the others add up to one again.
+    Sections without weight are left out of everything.  Where the probabilities of an object's other sections
+    differ, they stay as they are.
     """
-    joined = forecasts.join(weights.select("section_id", "weight"), "section_id", "left")
+    joined = forecasts.join(weights.select("section_id", "weight").where("weight is not null"), "section_id")
     w = Window.partitionBy("object_id")
     distinct = F.max("probability").over(w) - F.min("probability").over(w) > tolerance
-    out = joined.withColumns({"_distinct": distinct, "_sum": F.sum("weight").over(w)})
-    share = F.when(F.col("_distinct"), F.col("probability")).otherwise(F.col("probability") * F.col("weight") / F.nullif("_sum", F.lit(0.0)))
-    return out.withColumn("spread", share).where(F.col("spread").isNotNull()).drop("_distinct", "_sum")
+    out = joined.withColumns({"_distinct": distinct, "_sum": F.sum("weight").over(w), "_mean": F.avg("probability").over(w)})
+    share = F.when(F.col("_distinct"), F.col("probability")).when(F.col("_sum") > 0, F.col("_mean") * F.col("weight") / F.col("_sum"))
+    return out.withColumn("spread", share).where(F.col("spread").isNotNull()).drop("_distinct", "_sum", "_mean")
+
+
+def scalar_setting(settings: DataFrame, key: str, default: float) -> DataFrame:
+    """One row with the value of a setting (column named like the key), or its default."""
+    return settings.agg(F.coalesce(F.max(F.when(F.col("key") == key, F.col("value"))), F.lit(default)).alias(key))
+
+
+def section_weight(sections: DataFrame, episodes: DataFrame, settings: DataFrame, first_day: Column, last_day: Column, alpha_key: str = "forecast_weight_alpha") -> DataFrame:
+    """Laplace-smoothed share of each section in the episodes of its object: (episodes + a) / (all + a * sections).
+
+    ``sections`` has section_id and object_id, ``episodes`` section_id and started_at; those outside the days
+    are counted as excluded.  The smoothing a is a setting, 1 where it is not set.
+    """
+    day = F.to_date("started_at")
+    inside = day.between(first_day, last_day)
+    n = episodes.where("section_id is not null").groupBy("section_id").agg(F.count_if(inside).alias("episodes_cnt"), F.count_if(~inside).alias("excluded_cnt"))
+    out = sections.join(n, "section_id", "left").join(F.broadcast(scalar_setting(settings, alpha_key, 1.0)))  # one row
+    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("episodes_cnt", "excluded_cnt")}
+    w = Window.partitionBy("object_id")
+    out = out.withColumns(zero).withColumns({"sections_cnt": F.count("*").over(w), "_all": F.sum("episodes_cnt").over(w)})
+    weight = (F.col("episodes_cnt") + F.col(alpha_key)) / (F.col("_all") + F.col(alpha_key) * F.col("sections_cnt"))
+    return out.withColumn("weight", weight).drop("_all", alpha_key)
+
+
+def alpha_sensitivity(counts: DataFrame, alphas: tuple[float, ...]) -> DataFrame:
+    """(alpha, max_share, min_share): the largest and smallest weight of a section under each smoothing; ``counts`` has object_id and episodes_cnt."""
+    each = counts.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
+    w = Window.partitionBy("alpha", "object_id")
+    weight = (F.col("episodes_cnt") + F.col("alpha")) / (F.sum("episodes_cnt").over(w) + F.col("alpha") * F.count("*").over(w))
+    return each.withColumn("weight", weight).groupBy("alpha").agg(F.max("weight").alias("max_share"), F.min("weight").alias("min_share"))
+
+
+def live_orders(orders: DataFrame, at: Column, statuses: tuple[str, ...] = ("OPEN", "IN_PROCESS")) -> DataFrame:
+    """Sections with an open order that is not due yet, of whatever origin; they silence new orders."""
+    return orders.where(F.col("status").isin(*statuses) & (F.col("due_at") > at) & F.col("section_id").isNotNull()).select("section_id").distinct()
 
 
 def risk_ranks(rows: DataFrame, run: list[str]) -> DataFrame:
@@ -176,38 +214,55 @@ def risk_ranks(rows: DataFrame, run: list[str]) -> DataFrame:
 
 
 POLICY = {"deadband": 0.02, "heartbeat_min": 60.0, "hysteresis": 0.02, "hold_min": 10.0, "threshold": 0.80}
-_STATE = "struct<cls:string,since:bigint,logged:double,logged_at:bigint,logged_cls:string,out:array<struct<t:bigint,p:double,cls:string,reason:string>>>"
 
 
-def write_policy(rows: DataFrame, key: str, time: str, probability: str, policy: dict | None = None) -> DataFrame:
-    """Class with hysteresis and hold, and why each row is logged: first, change, heartbeat, or null for skipped.
+def policy_rows(rows: Iterable[tuple[int, float, bool]], c: dict, full_log: bool = False) -> list[tuple[str, str | None]]:
+    """(class, reason) of each (microseconds, probability, wanted) of one key in order of time."""
+    cls = since = logged = logged_at = None
+    out = []
+    for t, p, wanted in rows:
+        new = "high" if p >= c["threshold"] + c["hysteresis"] else "normal" if p <= c["threshold"] - c["hysteresis"] else cls or "normal"
+        if cls is not None and new != cls and (t - since) / 6e7 < c["hold_min"]:
+            new = cls
+        changed = cls is not None and new != cls
+        if cls is None or changed:
+            since = t
+        if full_log:
+            why = "full"
+        elif logged_at is None:
+            why = "first"
+        elif abs(p - logged) >= c["deadband"] or changed:
+            why = "change"
+        elif (t - logged_at) / 6e7 >= c["heartbeat_min"]:
+            why = "heartbeat"
+        else:
+            why = "warning" if wanted else None
+        cls = new
+        if why:
+            logged, logged_at = p, t
+        out.append((cls, why))
+    return out
+
+
+def write_policy(rows: DataFrame, key: str, time: str, probability: str, policy: dict | None = None, *, full_log: bool = False, warned: str | None = None) -> DataFrame:
+    """Class with hysteresis and hold, and why each row is logged: full, first, change, heartbeat, warning, or null for skipped.
 
-    A fold over each key's rows in order of time; the dead band counts from the last row written.  A key's
-    rows are its decisions, a few hundred a day, and fit an array; the streaming twin keeps the state alone.
+    Reasons are tried in this order.  ``full_log`` logs every row; ``warned`` names a boolean column of rows that
+    an order of this run refers to, which are logged whatever the dead band says.  The dead band counts from the
+    last row written.  A key's rows are its decisions, a few hundred a day, and are gone through in order of
+    time; the streaming twin keeps the state alone.
     """
-    c = POLICY | (policy or {})
-    seq = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(probability).alias("p")))).alias("_s"))
-    start = F.from_json(F.lit('{"out":[]}'), _STATE)
-
-    def step(a, x):
-        t, p = x["t"], x["p"]
-        wanted = F.when(p >= c["threshold"] + c["hysteresis"], "high").when(p <= c["threshold"] - c["hysteresis"], "normal").otherwise(F.coalesce(a["cls"], F.lit("normal")))
-        held = a["cls"].isNotNull() & (wanted != a["cls"]) & ((t - a["since"]) / 6e7 < c["hold_min"])
-        cls = F.when(held, a["cls"]).otherwise(wanted)
-        since = F.when(a["cls"].isNull() | (cls != a["cls"]), t).otherwise(a["since"])
-        why = (
-            F.when(a["logged_at"].isNull(), "first")
-            .when((F.abs(p - a["logged"]) >= c["deadband"]) | (cls != a["cls"]), "change")
-            .when((t - a["logged_at"]) / 6e7 >= c["heartbeat_min"], "heartbeat")
-        )
-        put = why.isNotNull()
-        return F.struct(
-            cls.alias("cls"), since.alias("since"), F.when(put, p).otherwise(a["logged"]).alias("logged"), F.when(put, t).otherwise(a["logged_at"]).alias("logged_at"), F.when(put, cls).otherwise(a["logged_cls"]).alias("logged_cls"),
-            F.array_append(a["out"], F.struct(t.alias("t"), p.alias("p"), cls.alias("cls"), why.alias("reason"))).alias("out"),
-        )
-
-    folded = seq.select(key, F.explode(F.aggregate("_s", start, step, lambda a: a["out"])).alias("o"))
-    return folded.select(key, F.timestamp_micros("o.t").alias(time), F.col("o.p").alias(probability), F.col("o.cls").alias("risk_class"), F.col("o.reason").alias("reason"))
+    c, kinds = POLICY | (policy or {}), dict(rows.dtypes)
+    marked = F.coalesce(F.col(warned), F.lit(False)) if warned else F.lit(False)
+    each = rows.select(F.col(key), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(probability).cast("double").alias("p"), marked.alias("w"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["t", "p"], kind="stable")
+        got = policy_rows(zip(frame.t, frame.p, frame.w), c, full_log)
+        return frame.assign(cls=[x for x, _ in got], reason=[x for _, x in got])[[key, "t", "p", "cls", "reason"]]
+
+    out = each.groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, t bigint, p double, cls string, reason string")
+    return out.select(key, F.timestamp_micros("t").alias(time), F.col("p").alias(probability), F.col("cls").alias("risk_class"), "reason")
 
 
 def replace_snapshot(current: DataFrame, fresh: DataFrame, key: str) -> DataFrame:

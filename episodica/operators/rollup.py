@@ -89,10 +89,12 @@ def gap_statistics(journal: DataFrame, key: str = "channel_id", time: str = "rea
     recent = F.col(time) >= recent_from if recent_from is not None else F.lit(True)
     out = gaps.groupBy(key).agg(
         F.count("*").alias("gaps"), F.percentile("gap", F.lit(0.5)).alias("median_gap"), F.percentile("gap", F.lit(0.95)).alias("p95_gap"),
-        F.max(F.when(recent, F.col("gap"))).alias("max_gap"), F.collect_list("gap").alias("_all"),
+        F.max(F.when(recent, F.col("gap"))).alias("max_gap"),
     )
-    share = F.size(F.filter("_all", lambda g: g > F.col("p95_gap"))) / F.col("gaps")
-    return out.withColumn("long_share", F.when(F.col("gaps") >= least, share)).withColumn("median_gap", F.nullif("median_gap", F.lit(0.0))).drop("_all")
+    # the same partitioning by key serves both: long gaps are counted, not collected
+    long_ = gaps.join(out.select(key, "p95_gap"), key).groupBy(key).agg(F.count_if(F.col("gap") > F.col("p95_gap")).alias("_long"))
+    out = out.join(long_, key, "left").withColumn("long_share", F.when(F.col("gaps") >= least, F.col("_long") / F.col("gaps")))
+    return out.withColumn("median_gap", F.nullif("median_gap", F.lit(0.0))).drop("_long")
 
 
 def frozen(journal: DataFrame, key: str = "channel_id", time: str = "read_time", row_id: str = "journal_id", value: str = "value_num") -> DataFrame:

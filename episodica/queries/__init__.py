@@ -1,4 +1,4 @@
 """Every registered query outside the llm subpackage."""
 
-from . import checks, decisions, domain, journal, runs  # noqa: F401
+from . import checks, decisions, domain, journal, rules, runs  # noqa: F401
 from .base import REGISTRY  # noqa: F401

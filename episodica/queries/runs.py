@@ -253,9 +253,21 @@ def a23(spark, sf):
     return out.select("item_id", "notifications", us("last_repair").alias("last_repair"))
 
 
-@query("w8_ratios", "SELECT section_id, round(count(*) FILTER (is_alarm) / nullif(count(*) FILTER (value_text = 'error'), 0), 6) AS ratio FROM j GROUP BY 1")
+@query("w8_ratios", """
+, d AS (SELECT section_id, epoch_us(read_time) // 86400000000 AS day, count(*) AS n, count(DISTINCT channel_id) AS act FROM j GROUP BY 1, 2),
+t AS (SELECT section_id, count(DISTINCT channel_id) AS total FROM j GROUP BY 1),
+a AS (SELECT d.section_id, d.day, count(DISTINCT j.channel_id) AS a7 FROM d JOIN j ON j.section_id = d.section_id AND epoch_us(j.read_time) // 86400000000 BETWEEN d.day - 6 AND d.day GROUP BY 1, 2),
+s AS (SELECT *, sum(n) OVER (PARTITION BY section_id ORDER BY day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) AS n7, sum(n) OVER (PARTITION BY section_id ORDER BY day RANGE BETWEEN 27 PRECEDING AND CURRENT ROW) AS n28, sum(n) OVER (PARTITION BY section_id ORDER BY day RANGE BETWEEN 364 PRECEDING AND CURRENT ROW) AS n365 FROM d)
+SELECT section_id, day, round(act / total, 6) AS act_share_1d, round(a7 / total, 6) AS act_share_7d, round(52.0 * n7 / n365, 6) AS rate_7d, round(13.0 * n28 / n365, 6) AS rate_28d FROM s JOIN t USING (section_id) JOIN a USING (section_id, day)""")
 def w8(spark, sf):
-    return journal(spark, sf).groupBy("section_id").agg(F.round(F.count_if("is_alarm") / F.nullif(F.count_if(F.col("value_text") == "error"), F.lit(0)), 6).alias("ratio"))
+    rows = journal(spark, sf).withColumn("day", F.floor(us("read_time") / 86_400_000_000))
+    days = rows.groupBy("section_id", "day").agg(F.count("*").alias("n"), F.count_distinct("channel_id").alias("n_active_ch"))
+    total = rows.groupBy("section_id").agg(F.count_distinct("channel_id").alias("n_ch_total"))
+    seen = rows.select("section_id", "channel_id", F.explode(F.sequence("day", F.col("day") + 6)).alias("day")).groupBy("section_id", "day").agg(F.count_distinct("channel_id").alias("act_ch_7d"))
+    w = Window.partitionBy("section_id").orderBy("day")
+    days = days.withColumns({f"n_rows_{k}d": F.sum("n").over(w.rangeBetween(1 - k, 0)) for k in (7, 28, 365)})
+    out = FV.activity_ratios(days.join(total, "section_id").join(seen, ["section_id", "day"]))
+    return out.select("section_id", "day", *[F.round(c, 6).alias(c) for c in ("act_share_1d", "act_share_7d", "rate_7d", "rate_28d")])
 
 
 @query("w11_passport", "SELECT s_suppkey, least(2.0, (s_suppkey * 40) / 365.25 / nullif(s_suppkey % 6, 0)) AS life_share, ((s_suppkey % 200) / 90.0 > 1)::INT AS overdue FROM supplier")

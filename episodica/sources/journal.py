@@ -71,7 +71,7 @@ def reject_counts(validated: DataFrame) -> DataFrame:
 
 
 def read_years(spark: SparkSession, path: str, ts_from: str | None = None, ts_to: str | None = None, time: str = "ts") -> DataFrame:
-    """A Parquet journal partitioned by ``year``: bounds prune folders by year and rows by pushed-down filters."""
+    """A Parquet journal partitioned by ``year``: bounds, both inclusive, prune folders by year and rows by pushed-down filters."""
     out = spark.read.parquet(path)
     if ts_from:
         out = out.where((F.col("year") >= int(ts_from[:4])) & (F.col(time) >= F.lit(ts_from).cast("timestamp")))

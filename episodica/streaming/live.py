@@ -153,7 +153,7 @@ class ChangeState(StatefulProcessor):
         self.last = handle.getValueState("last", "status string, at_us bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("at_us")
+        batch = pd.concat(list(rows)).sort_values(["at_us", "status"], kind="stable")
         last, out = tuple(self.last.get()) if self.last.exists() else None, []
         for status, at in zip(batch.status, batch.at_us):
             if last != (status, int(at)):
