@@ -82,6 +82,8 @@ def _masked(text: Column, spans: Column) -> Column:
     return _stitched(text, spans, piece)
 
 
+#: Bytes up to which the telling terms are broadcast; more are joined by a shuffle.
+SMALL = 16_000_000
 #: Characters in which the rest of a word over a window's edge is looked for first.
 EDGE = 64
 
@@ -150,6 +152,9 @@ def disclosures(found: DataFrame, near: DataFrame, docs: DataFrame, text_col: st
 
 def _occurrences(docs: DataFrame, found: DataFrame, telling: DataFrame, text_col: str) -> DataFrame:
     """(text_hash, added): every place of a telling term outside base spans, in whatever text."""
+    # every word of the corpus meets the terms: these are sent to it where their measured size allows
+    size = telling.agg(F.coalesce(F.sum(F.octet_length("term") + 64), F.lit(0)).alias("bytes")).first()["bytes"]
+    telling = F.broadcast(telling) if size <= SMALL else telling
     texts = docs.select(text_or_empty(text_col).alias("t")).select(F.xxhash64("t").alias("text_hash"), "t")
     masked = found.where(F.size("base") > 0).select("text_hash", "m").dropDuplicates(["text_hash"])
     words = _words(texts, "t", F.col("text_hash")).unionByName(_words(masked, "m", F.col("text_hash")))
