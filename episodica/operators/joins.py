@@ -94,3 +94,13 @@ def registry(channels: DataFrame, sections: DataFrame, collectors: DataFrame) ->
     faults = repeated(channels, "channel_id", "repeated channel").unionByName(repeated(sections, "section_id", "repeated section"))
     faults = faults.unionByName(orphan(channels, sections, "section_id", "channel without section")).unionByName(orphan(sections, collectors, "collector_id", "section without collector"))
     return channels.join(sections, "section_id", "left").join(collectors, "collector_id", "left"), faults
+
+
+def tree_listing(channels: DataFrame, collector: str = "collector", node: str = "node", section: str = "section_id") -> DataFrame:
+    """(collector, node, channels, sections): channels of each node and its distinct sections in order; a section stands under every node where it has a channel."""
+    return channels.groupBy(collector, node).agg(F.count("*").alias("channels"), F.array_sort(F.collect_set(section)).alias("sections"))
+
+
+def fan_out(alerts: DataFrame, mapping: DataFrame, key: str, target: str) -> DataFrame:
+    """One row for each alert and each distinct ``target`` of its key; alerts whose key maps to nothing fall away."""
+    return alerts.join(mapping.select(key, target).where(F.col(target).isNotNull()).distinct(), key)

@@ -94,3 +94,87 @@ def equipment_card(items: DataFrame, notifications: DataFrame, repairs: DataFram
 def grouped_in_order(rows: DataFrame, group: str, key: str) -> DataFrame:
     """Groups in the order in which they first appear by key, with their keys in order."""
     return rows.groupBy(group).agg(F.min(key).alias("first_key"), F.array_sort(F.collect_list(key)).alias("keys"))
+
+
+def risk_card(current: DataFrame, runs: DataFrame, written: DataFrame, key: str = "section_id", columns: tuple[str, ...] = ("direction", "explanation")) -> DataFrame:
+    """Current risk with its run, and ``columns`` of the last forecast that was written for the entity.
+
+    A forecast is written where it changed, so its run may be older than the current one; entities without any keep nulls.
+    """
+    last = written.groupBy(key).agg(*[F.max_by(c, "run_id").alias(c) for c in columns])
+    return current.join(runs, "run_id").join(last, key, "left")
+
+
+def criticality_reasons(sections: DataFrame, channels: DataFrame, systems: dict[str, tuple[str, ...]], between: str = ", ") -> DataFrame:
+    """(section_id, criticality_reason): the section's distinct systems, in order, that its class names in ``systems``; null where there are none."""
+    named = F.lit(None).cast("array<string>")
+    for code, kinds in systems.items():
+        named = F.when(F.col("criticality") == code, F.array(*map(F.lit, kinds))).otherwise(named)
+    both = sections.select("section_id", named.alias("_k")).join(channels.select("section_id", "system_kind").distinct(), "section_id", "left")
+    kept = F.collect_set(F.when(F.array_contains("_k", F.col("system_kind")), F.col("system_kind")))
+    return both.groupBy("section_id").agg(F.nullif(F.array_join(F.array_sort(kept), between), F.lit("")).alias("criticality_reason"))
+
+
+def order_detail(orders: DataFrame, reasons: DataFrame, log: DataFrame, key: str = "order_id") -> DataFrame:
+    """Orders with their section's reason and ``history``: (at, status) in order of time; an order without log has an empty one."""
+    history = log.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "status"))).alias("history"))
+    return orders.join(reasons, "section_id", "left").join(history, key, "left").withColumn("history", F.coalesce("history", F.array()))
+
+
+def notifications(notices: DataFrame, forecasts: DataFrame, current: DataFrame, *, acked: bool | None = None, scope: DataFrame | None = None) -> DataFrame:
+    """Notices of forecasts: the probability that raised each and the section's current one (null where none), newest id first on a page.
+
+    ``acked`` keeps read or unread ones, ``scope`` those of its sections.
+    """
+    rows = notices.where("source_system = 'forecast'").withColumn("is_acked", F.col("acked_at").isNotNull())
+    if acked is not None:
+        rows = rows.where(F.col("is_acked") == acked)
+    if scope is not None:
+        rows = rows.join(scope.select("section_id").distinct(), "section_id", "left_semi")
+    rows = rows.join(forecasts.select("forecast_id", "probability"), "forecast_id")
+    return rows.join(current.select("section_id", F.col("probability").alias("current_probability")), "section_id", "left")
+
+
+def audit_log(actions: DataFrame, users: DataFrame, *, time_from: Column | None = None, time_to: Column | None = None, login: str | None = None) -> DataFrame:
+    """Actions with their user's login, null for unknown users; both bounds are inclusive, and filters that are None are not in the plan."""
+    rows = actions
+    if time_from is not None:
+        rows = rows.where(F.col("occurred_at") >= time_from)
+    if time_to is not None:
+        rows = rows.where(F.col("occurred_at") <= time_to)
+    rows = rows.join(users.select("user_id", "login"), "user_id", "left")
+    return rows.where(F.col("login") == login) if login is not None else rows
+
+
+def last_observation(rows: DataFrame, at: Column, columns: list[str], order: tuple[str, ...] = ("observed_at",), seconds_norm: float = 3600) -> DataFrame:
+    """One row: the latest observation that is no forecast, the last fetch of any row, and ``stale``: that fetch is older than the norm, or there is none."""
+    seen = F.when(~F.col("is_forecast"), F.struct(*order))
+    out = rows.agg(F.max("fetched_at").alias("fetched_at"), F.max_by(F.struct(*columns), seen).alias("_o"))
+    age = (F.unix_micros(at.cast("timestamp")) - F.unix_micros(F.col("fetched_at").cast("timestamp"))) / 1e6
+    return out.select(*[F.col(f"_o.{c}").alias(c) for c in columns], "fetched_at", F.coalesce(age > seconds_norm, F.lit(True)).alias("stale"))
+
+
+def data_status(edge: DataFrame, current: DataFrame, runs: DataFrame, sections: DataFrame) -> DataFrame:
+    """One row: data_edge, as_of, computed_at, lag_days, scored and total sections; ``edge`` holds the one value data_edge."""
+    last = current.join(runs.select("run_id", "as_of", "started_at"), "run_id", "left").agg(F.max("as_of").alias("as_of"), F.max("started_at").alias("computed_at"), F.count_if(~F.col("is_stale")).alias("scored"))
+    every = sections.agg(F.count("*").alias("total"))
+    lag = (F.unix_micros(F.col("as_of").cast("timestamp")) - F.unix_micros(F.col("data_edge").cast("timestamp"))) / 8.64e10
+    return edge.select("data_edge").join(F.broadcast(last)).join(F.broadcast(every)).withColumn("lag_days", lag)  # a row each
+
+
+def run_line(runs: DataFrame, readings: DataFrame, daily: DataFrame, sections: DataFrame, days: int = 365) -> DataFrame:
+    """One row for the last finished run: its seconds, readings and rollup rows of the ``days`` up to its moment, sections scored and in all.
+
+    A run over all sections goes before a later one over some; without a finished run there is no row.
+    """
+    every = sections.agg(F.count("*").alias("sections_total"))
+    done = runs.where("status = 'done' and finished_at is not null").join(F.broadcast(every))
+    order = F.struct(F.coalesce(F.col("objects_scored") == F.col("sections_total"), F.lit(False)), F.col("run_id"))
+    last = done.groupBy("sections_total").agg(F.max_by(F.struct("run_id", "as_of", "started_at", "finished_at", "objects_scored"), order).alias("r")).select("r.*", "sections_total")
+    at = F.unix_micros(F.col("as_of").cast("timestamp"))
+    t, day = F.unix_micros(F.col("read_time").cast("timestamp")), F.to_date("as_of")
+    one = F.broadcast(last.select("as_of"))  # a single row
+    inside = readings.select("read_time").join(one, (t <= at) & (t > at - days * 86_400_000_000)).agg(F.count("*").alias("readings"))
+    rolled = daily.select("day").join(one, (F.col("day") <= day) & (F.col("day") > F.date_sub(day, days))).agg(F.count("*").alias("rollup_rows"))
+    took = (F.unix_micros(F.col("finished_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6
+    return last.join(F.broadcast(inside)).join(F.broadcast(rolled)).withColumn("seconds", took)

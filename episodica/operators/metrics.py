@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,33 +23,51 @@ def match_alerts(alerts: DataFrame, failures: DataFrame, *, key: str = "object_i
     """One row per object: alerts, failures, tp, fn, fp, dup and the lead hours of its matches.
 
     Failures in order of time each take the latest unused alert whose lead is within [low, high].  Alerts in
-    no failure's window are false; those in one but unused are repeats.  Both sides of one object are folded
-    as sorted arrays; alerts and failures of one object are few, as both are raised per decision or episode.
+    no failure's window are false; those in one but unused are repeats.  One shuffle by object; a task goes
+    through its rows in order once and holds no more than the alerts that a later failure may still take.
+    Rows without object are left out.
     """
-    us = lambda df, c: df.groupBy(key).agg(F.array_sort(F.collect_list(F.unix_micros(F.col(time).cast("timestamp")))).alias(c))
-    both = us(alerts, "a").join(us(failures, "f"), key, "full_outer")
-    none = F.array().cast("array<bigint>")
-    both = both.select(key, F.coalesce("a", none).alias("a"), F.coalesce("f", none).alias("f"))
-    low = int(low_hours * 3.6e9)
-    fits = lambda t, x: (t - x >= low) & ((t - x <= int(high_hours * 3.6e9)) if high_hours else F.lit(True)) & (x <= t)
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<double>").alias("leads"))
-
-    def take(acc, t):
-        open_ = F.filter(F.sequence(F.lit(0), F.size("a") - 1), lambda i: fits(t, F.get("a", i)) & ~F.array_contains(acc["used"], i))
-        open_ = F.when(F.size("a") > 0, open_).otherwise(F.array().cast("array<int>"))
-        best = F.array_max(open_)
-        # of alerts at one time the first in order is taken
-        first = F.array_min(F.filter(open_, lambda i: F.get("a", i) == F.get("a", best)))
-        lead = (t - F.get("a", first)) / 3.6e9
-        return F.struct(
-            F.when(best.isNull(), acc["used"]).otherwise(F.array_append(acc["used"], first.cast("int"))).alias("used"),
-            F.when(best.isNull(), acc["leads"]).otherwise(F.array_append(acc["leads"], lead)).alias("leads"),
-        )
-
-    out = both.withColumn("_m", F.aggregate("f", start, take))
-    seen = F.size(F.filter("a", lambda x: F.exists("f", lambda t: fits(t, x))))
-    tp = F.size("_m.leads")
-    return out.select(key, F.size("a").alias("alerts"), F.size("f").alias("failures"), tp.alias("tp"), (F.size("f") - tp).alias("fn"), (F.size("a") - seen).alias("fp"), (seen - tp).alias("dup"), F.col("_m.leads").alias("leads"))
+    low = int(max(low_hours, 0) * 3.6e9)
+    span = int(high_hours * 3.6e9) - low if high_hours else None
+    # an alert counts from the moment on which its lead is long enough
+    rows = lambda df, shift, failure: df.where(F.col(key).isNotNull()).select(key, (F.unix_micros(F.col(time).cast("timestamp")) + shift).alias("at"), F.lit(failure).alias("failure"))
+    both = rows(alerts, low, False).unionByName(rows(failures, 0, True))
+    names = ["alerts", "failures", "tp", "fn", "fp", "dup", "leads"]
+
+    def match(frames):
+        held, n, ready, fresh = None, [], deque(), []
+
+        def row():
+            n_alerts, n_failures, false, leads = n
+            false += len(fresh)
+            return held, n_alerts, n_failures, len(leads), n_failures - len(leads), false, n_alerts - false - len(leads), leads
+
+        for frame in frames:
+            out = []
+            for k, at, failure in zip(frame[key], frame["at"], frame["failure"]):
+                if k != held:
+                    if held is not None:
+                        out.append(row())
+                    held, n, ready, fresh = k, [0, 0, 0, []], deque(), []
+                if not failure:
+                    n[0] += 1
+                    ready.append(at)
+                    fresh.append(at)
+                    continue
+                n[1] += 1
+                if span is not None:
+                    n[2] += sum(x < at - span for x in fresh)
+                    while ready and ready[0] < at - span:
+                        ready.popleft()
+                fresh = []
+                if ready:
+                    n[3].append((at - ready.pop() + low) / 3.6e9)
+            yield pd.DataFrame(out, columns=[key, *names])
+        if held is not None:
+            yield pd.DataFrame([row()], columns=[key, *names])
+
+    dealt = both.repartition(key).sortWithinPartitions(key, "at", "failure")
+    return dealt.mapInPandas(match, f"`{key}` {dict(both.dtypes)[key]}, " + ", ".join(f"{c} int" for c in names[:-1]) + ", leads array<double>")
 
 
 def summarise(matched: DataFrame, by: list[str] | None = None, object_days: float | None = None) -> DataFrame:
@@ -93,15 +114,39 @@ def precision_at(scores: DataFrame, ks: tuple[int, ...], label: str = "label", s
     return out.select("k", "selected", "positives", safe_ratio(F.col("positives"), F.col("selected")).alias("precision"), safe_ratio(F.col("positives"), F.col("all_positives")).alias("row_recall"))
 
 
+def _through(scores: DataFrame, score: str, label: str | None, parts: int = 256) -> DataFrame:
+    """(score, c, hit, through, hits, lower): rows and positives of each distinct score, from the highest down, and the next lower score.
+
+    Scores are dealt by quantiles; only the sums of at most ``parts`` + 1 ranges are put in one order.
+    """
+    hit = F.sum(F.col(label).cast("long")) if label else F.lit(0).cast("long")
+    counts = scores.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("c"), hit.alias("hit"))
+    edges = counts.agg(F.percentile_approx(score, [i / parts for i in range(1, parts)], 10 * parts).alias("_e"))  # one row
+    dealt = counts.join(F.broadcast(edges)).withColumn("_b", F.size(F.filter("_e", lambda e: e <= F.col(score)))).drop("_e")
+    order = Window.orderBy(F.col("_b").desc())  # the ranges alone
+    sums = dealt.groupBy("_b").agg(F.sum("c").alias("_c"), F.sum("hit").alias("_h"), F.max(score).alias("_m"))
+    sums = sums.select("_b", (F.sum("_c").over(order) - F.col("_c")).alias("_above"), (F.sum("_h").over(order) - F.col("_h")).alias("_hits"), F.lead("_m").over(order).alias("_below"))
+    down = Window.partitionBy("_b").orderBy(F.col(score).desc())
+    rows = dealt.join(F.broadcast(sums), "_b")
+    return rows.select(score, "c", "hit", (F.col("_above") + F.sum("c").over(down)).alias("through"), (F.col("_hits") + F.sum("hit").over(down)).alias("hits"), F.coalesce(F.lead(score).over(down), "_below").alias("lower"))
+
+
 def threshold_for(scores: DataFrame, n: int, score: str = "score") -> DataFrame:
     """The threshold that alerts about n rows without cutting a group of ties: the middle between the last kept and the next lower score."""
-    counts = scores.groupBy(score).agg(F.count("*").alias("c"))
-    up = Window.orderBy(F.col(score).desc())  # distinct scores only
-    ranked = counts.withColumn("through", F.sum("c").over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("lower", F.lead(score).over(up))
-    cut = ranked.where(F.col("through") >= n).orderBy("through").limit(1)
+    cut = _through(scores, score, None).where((F.col("through") >= n) & (F.col("through") - F.col("c") < n))
     return cut.select(F.coalesce((F.col(score) + F.col("lower")) / 2, F.col(score)).alias("threshold"), F.col("through").alias("alerts"))
 
 
+def threshold_curve(scores: DataFrame, wanted: tuple[int, ...], score: str = "score", label: str = "label") -> DataFrame:
+    """(wanted, threshold, alerts, tp, positives, precision, recall, f1) at the thresholds for several numbers of alerts, in one pass; a number beyond all rows gives no row."""
+    n = F.filter(F.array(*map(F.lit, wanted)), lambda x: (x <= F.col("through")) & (x > F.col("through") - F.col("c")))
+    cuts = _through(scores, score, label).withColumn("wanted", F.explode(n))
+    every = scores.agg(F.sum(F.col(label).cast("long")).alias("positives"))
+    out = cuts.join(F.broadcast(every)).select("wanted", F.coalesce((F.col(score) + F.col("lower")) / 2, F.col(score)).alias("threshold"), F.col("through").alias("alerts"), F.col("hits").alias("tp"), "positives")
+    out = out.withColumns({"precision": safe_ratio(F.col("tp"), F.col("alerts")), "recall": safe_ratio(F.col("tp"), F.col("positives"))})
+    return out.withColumn("f1", f_beta(F.col("precision"), F.col("recall")))
+
+
 def share_later(matched: DataFrame, hours: float) -> DataFrame:
     """Share of caught failures whose lead is strictly longer than the reaction time."""
     return matched.select(F.explode("leads").alias("lead")).agg(F.avg((F.col("lead") > hours).cast("double")).alias("share"))
@@ -121,3 +166,18 @@ def recall_ceiling(moments: DataFrame, failures: DataFrame, hours: float, key: s
     reached = F.coalesce(F.col("t") - F.max("m").over(before) <= int(hours * 3.6e9), F.lit(False))
     seen = both.withColumn("ok", reached).where("f = 1")
     return seen.agg(F.count("*").alias("failures"), F.count_if("ok").alias("reachable")).withColumn("ceiling", safe_ratio(F.col("reachable"), F.col("failures")))
+
+
+def definition_counters(failures: DataFrame, incidents: DataFrame, days: DataFrame, splits: DataFrame) -> DataFrame:
+    """(split, failures, incidents, days, positives, base_rate) of a failure definition.
+
+    ``splits`` holds (split, first_day, last_day), both whole, and lays its own days out; failures and incidents
+    start at ``t``, entity-days have ``day`` and the label ``y``.  A split without entity-days has no base rate.
+    """
+    calendar = splits.select("split", F.explode(F.sequence("first_day", "last_day")).alias("day"))
+    starts = lambda df, name: df.select(F.to_date("t").alias("day")).join(calendar, "day").groupBy("split").agg(F.count("*").alias(name))
+    rows = days.join(calendar, "day").groupBy("split").agg(F.count("*").alias("days"), F.sum(F.col("y").cast("long")).alias("positives"))
+    out = splits.select("split")
+    for part in (starts(failures, "failures"), starts(incidents, "incidents"), rows):
+        out = out.join(part, "split", "left")
+    return out.fillna(0, ["failures", "incidents", "days", "positives"]).withColumn("base_rate", F.col("positives") / F.nullif("days", F.lit(0)))

@@ -105,3 +105,18 @@ def registry_pairs(places: DataFrame, xref: DataFrame, level: int = 4) -> DataFr
     a = places.where(F.col("hierarchy_level") == level).agg(F.count("*").alias("places"))
     b = xref.agg(F.count("*").alias("listed"), F.count_if(F.col("func_location_id").isNull()).alias("without_place"))
     return a.join(F.broadcast(b)).withColumn("ok", (F.col("places") == F.col("listed")) & (F.col("without_place") == 0))  # a row each
+
+
+def completeness(orders: DataFrame, works: DataFrame, forecasts: DataFrame) -> DataFrame:
+    """One row of counts: orders, with object, due time, reason (not blank), work kind, a forecast that exists, and distinct forecasts; ``ok`` if none lacks any."""
+    rows = orders.join(works.select("order_id", F.lit(True).alias("_w")).distinct(), "order_id", "left")
+    rows = rows.join(forecasts.select("forecast_id", F.lit(True).alias("_f")).distinct(), "forecast_id", "left")
+    out = rows.agg(
+        F.count("*").alias("orders"), F.count("object_id").alias("with_object"), F.count("due_at").alias("with_due"), F.count_if(F.trim(F.coalesce("reason", F.lit(""))) != "").alias("with_reason"),
+        F.count("_w").alias("with_work"), F.count("_f").alias("linked"), F.count_distinct(F.when(F.col("_f"), F.col("forecast_id"))).alias("forecasts"),
+    )
+    full = [F.col(c) == F.col("orders") for c in ("with_object", "with_due", "with_reason", "with_work", "linked")]
+    ok = F.col("orders") > 0
+    for c in full:
+        ok = ok & c
+    return out.withColumn("ok", ok)

@@ -92,10 +92,8 @@ def q13(spark, sf):
 @query("t2_external_events", "SELECT min(event_id) AS source_id, event_type AS kind FROM events WHERE event_type IN ('error', 'signup') AND user_id % 20 < 15 GROUP BY event_id, event_type")
 def t2(spark, sf):
     """External events of two kinds whose section exists, once by source id."""
-    s = reading_stream(spark, sf).where(F.col("value_text").isin("error", "signup"))
-    s = s.withWatermark("read_time", "60 days").dropDuplicatesWithinWatermark(["journal_id"])
-    known = channels(spark, sf).where("section_id < 15").select("section_id").distinct()
-    return drain(s.join(known, "section_id", "left_semi").select(F.col("journal_id").alias("source_id"), F.col("value_text").alias("kind")))
+    s = reading_stream(spark, sf).select(F.col("journal_id").alias("source_id"), "section_id", "read_time", F.col("value_text").alias("kind"))
+    return drain(T.accept_external(s, channels(spark, sf).where("section_id < 15"), ("error", "signup"), "60 days").select("source_id", "kind"))
 
 
 @query("t4_new_alerts", "SELECT event_id AS journal_id FROM events WHERE event_type = 'signup' AND user_id % 20 IN (1, 2, 3)")

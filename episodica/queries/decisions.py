@@ -46,7 +46,7 @@ def j7(spark, sf):
 def j6(spark, sf):
     c, n, r = (table(spark, sf, t) for t in ("customer", "nation", "region"))
     rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.groupBy(F.col("r_name").alias("collector"), F.col("n_name").alias("node")).agg(F.count("*").alias("channels"), F.array_sort(F.collect_set("c_mktsegment")).alias("segments"))
+    return J.tree_listing(rows, "r_name", "n_name", "c_mktsegment").toDF("collector", "node", "channels", "segments")
 
 
 @query("j9_as_of_previous", "SELECT channel_id, epoch_us(max(read_time)) AS last_us, arg_max(value_text, (read_time, journal_id)) AS value_text FROM j WHERE read_time <= TIMESTAMP '2024-01-15' GROUP BY 1")

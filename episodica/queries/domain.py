@@ -380,15 +380,22 @@ def t9(spark, sf):
     return D.bad_transitions(log, spark.createDataFrame(allowed, "from_status string, to_status string"), "channel_id", "at").select("journal_id")
 
 
-def drain(stream, schema_mode: str = "append"):
-    """Run a stream over what there is and return what it wrote, from the shared checkpoint folder."""
-    spark = stream.sparkSession
+def shared_folder(spark) -> str:
+    """The cluster's checkpoint folder; a folder of this machine only where all tasks run on it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
         import tempfile
 
-        base = tempfile.mkdtemp(prefix="spark-stream-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+        base = tempfile.mkdtemp(prefix="spark-shared-")
+    return base.rstrip("/")
+
+
+def drain(stream, schema_mode: str = "append"):
+    """Run a stream over what there is and return what it wrote, from the shared checkpoint folder."""
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     if schema_mode == "append":

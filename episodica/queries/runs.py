@@ -217,16 +217,13 @@ def m7(spark, sf):
     return out
 
 
-@query("m15_threshold_curve")
+@query("m15_threshold_curve", f""", {SCORES}, g AS (SELECT score, count(*) AS c, sum(label) AS h FROM sc GROUP BY 1), t AS (SELECT score, c, sum(c) OVER o AS through, sum(h) OVER o AS hits, sum(h) OVER () AS p FROM g WINDOW o AS (ORDER BY score DESC)),
+x AS (SELECT n, through, hits, p, hits / through AS pr, hits / p AS rc FROM t, (VALUES (25), (50), (100), (200), (400)) v(n) WHERE n <= through AND n > through - c)
+SELECT n AS wanted, through::BIGINT AS alerts, hits::BIGINT AS tp, p::BIGINT AS positives, round(pr, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN pr + rc = 0 THEN 0 ELSE 2 * pr * rc / (pr + rc) END, 6) AS f1 FROM x""")
 def m15(spark, sf):
     """precision, recall and F1 at the thresholds of a geometric grid of alert counts."""
-    s, out = scores(spark, sf).select("channel_id", "score", "label"), None
-    for n in (25, 50, 100, 200, 400):
-        t = M.threshold_for(s, n)
-        row = s.join(F.broadcast(t)).agg(F.lit(n).alias("wanted"), F.count_if(F.col("score") >= F.col("threshold")).alias("alerts"), F.count_if((F.col("score") >= F.col("threshold")) & (F.col("label") == 1)).alias("tp"), F.sum("label").alias("positives"))
-        out = row if out is None else out.unionByName(row)
-    p, r = M.safe_ratio(F.col("tp"), F.col("alerts")), M.safe_ratio(F.col("tp"), F.col("positives"))
-    return out.withColumns({"precision": p, "recall": r}).withColumn("f1", M.f_beta(F.col("precision"), F.col("recall")))
+    out = M.threshold_curve(scores(spark, sf), (25, 50, 100, 200, 400))
+    return out.select("wanted", "alerts", "tp", "positives", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query("m16_share_later")
@@ -328,7 +325,9 @@ def j18(spark, sf):
 
 @query("j20_alert_fan_out", "SELECT 'col' || (user_id % 5) AS collector, count(*) AS alerts FROM events WHERE event_type = 'signup' GROUP BY 1")
 def j20(spark, sf):
-    a = journal(spark, sf).where("is_alarm").join(channels(spark, sf).select("channel_id", "collector"), "channel_id")
+    from ..operators import joins as J
+
+    a = J.fan_out(journal(spark, sf).where("is_alarm"), channels(spark, sf), "channel_id", "collector")
     return a.groupBy("collector").agg(F.count("*").alias("alerts"))
 
 

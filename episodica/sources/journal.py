@@ -112,6 +112,12 @@ def load_report(validated: DataFrame) -> DataFrame:
     return by
 
 
+def invalid_channels(validated: DataFrame, reasons: tuple[str, ...] = ("time not parsed", "flag not parsed")) -> DataFrame:
+    """(file, channel_id, reject, rows) of rows that a channel wrote badly; rows without a channel number are in the file's report alone."""
+    bad = validated.where(F.col("channel_id").isNotNull() & F.col("reject").isin(*reasons))
+    return bad.groupBy("file", "channel_id", "reject").agg(F.count("*").alias("rows"))
+
+
 def write_sorted(df: DataFrame, path: str, by: list[str], fmt: str = "parquet", files: int | None = None) -> None:
     """Range-partitioned and sorted files, so that readers can skip by min and max."""
     dealt = df.repartitionByRange(files, *by) if files else df.repartitionByRange(*by)

@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 
 # state processors travel with their code, so executors need no copy of this package
@@ -22,27 +23,35 @@ def accept_readings(stream: DataFrame, channels: DataFrame, late: str = "2 days"
     return once.join(channels.select("channel_id", F.lit(True).alias("known")), "channel_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
+def accept_external(stream: DataFrame, sections: DataFrame, kinds: tuple[str, ...], late: str = "2 days", key: str = "source_id") -> DataFrame:
+    """External events of the known kinds whose section exists, once each by ``key`` within the watermark."""
+    once = stream.where(F.col("kind").isin(*kinds)).withWatermark("read_time", late).dropDuplicatesWithinWatermark([key])
+    return once.join(sections.select("section_id").distinct(), "section_id", "left_semi")
+
+
 def ingest_batches(channels: DataFrame, target: str, report: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: append fresh known readings, and one row of counters per batch.
 
-    It is idempotent: a batch that is run again replaces its own partition.
+    It is idempotent: a batch that is run again replaces its own partitions.  The target is partitioned by day
+    and batch, and a batch reads only the days between its own first and last.
     """
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.join(channels.select("channel_id", F.lit(True).alias("known")), "channel_id", "left")
-        once = rows.where("known").drop("known").dropDuplicates(["journal_id", "read_time"])
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(target).where(F.col("batch_id") != batch_id).select("journal_id", "read_time")
-            once = once.join(old, ["journal_id", "read_time"], "left_anti")
-        except Exception as e:  # the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        write = lambda df, path: df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
-        write(once, target)
-        accepted = spark.read.parquet(target).where(F.col("batch_id") == batch_id).agg(F.count("*").alias("accepted"))
+        rows = batch.join(channels.select("channel_id", F.lit(True).alias("known")), "channel_id", "left")
+        once = rows.where("known").drop("known").dropDuplicates(["journal_id", "read_time"]).withColumn("day", F.to_date("read_time"))
+        folder = spark._jvm.org.apache.hadoop.fs.Path(target)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            first, last = once.agg(F.min("day"), F.max("day")).first()
+            old = spark.read.schema(StructType([*once.schema.fields, StructField("batch_id", LongType())])).parquet(target)
+            old = old.where(F.col("day").between(F.lit(first), F.lit(last)) & (F.col("batch_id") != batch_id))
+            once = once.join(old.select("journal_id", "read_time"), ["journal_id", "read_time"], "left_anti")
+        write = lambda df, path, *by: df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch_id").parquet(path)
+        write(once, target, "day")
+        accepted = spark.read.schema(StructType([StructField("day", DateType()), StructField("batch_id", LongType())])).parquet(target).where(F.col("batch_id") == batch_id)
         counts = rows.agg(F.count("*").alias("received"), F.count_if(F.col("known").isNull()).alias("unknown"))
-        write(counts.join(accepted).withColumn("duplicates", F.col("received") - F.col("unknown") - F.col("accepted")), report)
+        counts = counts.join(accepted.agg(F.count("*").alias("accepted")))  # a row each
+        write(counts.withColumn("duplicates", F.col("received") - F.col("unknown") - F.col("accepted")), report)
 
     return put
 
