@@ -39,8 +39,8 @@ def weibull(lives: DataFrame, group: str = "grp", rounds: int = 60, low: float =
     """(group, n, failures, beta, eta, mean_life): censored maximum likelihood, by bisection on beta for every group jointly.
 
     Lives are compressed to counts by (group, t, failed).  The bisection is a fold over rounds inside a group's
-    row of distinct lives, so there is one job however many rounds; a group with a very long list of distinct
-    lives is bucketed by the compression.  Groups with fewer than two failures get null.
+    row of distinct lives, so there is one job however many rounds; that row grows with the distinct lives of a
+    group, which whole hours or days keep few.  Groups with fewer than two failures get null.
     """
     counted = lives.groupBy(group, "ttf").agg(F.count("*").alias("n"), F.sum("failed").alias("d"))
     packed = counted.groupBy(group).agg(F.collect_list(F.struct(F.col("ttf").alias("t"), F.col("n").cast("double").alias("n"), F.col("d").cast("double").alias("d"))).alias("_x"), F.sum("n").alias("n"), F.sum("d").alias("failures"), F.max("ttf").alias("_max"))

@@ -180,7 +180,7 @@ def s3(spark, sf):
     path = f"{shared_folder(spark)}/years-{uuid.uuid4().hex}"
     o = table(spark, sf, "orders").select(F.col("o_orderdate").cast("timestamp").alias("ts"), "o_orderkey").withColumn("year", F.year("ts"))
     o.repartition("year").write.partitionBy("year").parquet(path)
-    return S.read_years(spark, path, "1995-03-01", "1997-06-30").groupBy("year").agg(F.count("*").alias("n"))
+    return S.read_years(spark, path, "1995-03-01", "1997-06-30").groupBy(F.col("year").cast("long").alias("year")).agg(F.count("*").alias("n"))
 
 
 @query("s6_sorted_sink", "SELECT o_custkey, o_orderkey FROM orders")
