@@ -90,8 +90,8 @@ def _midpoints(rows: DataFrame) -> DataFrame:
     """
     one = [0] + [1 << i for i in range(SEGMENT)]
     two = [(1 << i) | (1 << j) for i in range(SEGMENT) for j in range(i + 1, SEGMENT)]
-    near = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(1).alias("r")) for m in one])
-    far = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(2).alias("r")) for m in two])
+    # as SQL text, for hundreds of column objects take the driver many seconds
+    near, far = (F.expr("array(" + ", ".join(f"named_struct('m', {m}L, 'r', {r})" for m in masks) + ")") for r, masks in ((1, one), (2, two)))
     low, high = _segments()
     rest = F.when(F.col("part") == 0, high).otherwise(low)
     spread = rows.select(*KEY, "fp", rest.alias("rest"), F.explode(F.when(F.col("wild") < 0, F.concat(near, far)).otherwise(near)).alias("f"))

@@ -3,7 +3,7 @@
 This is the part of the near-duplicate operator (see ``simhash``) that fingerprint bits are too coarse for: a
 similarity of 0.8 is some ten of 64 bits, and segments short enough to find that distance hold most of the corpus.
 Besides the pairs that fingerprints propose, a set of five-word shingles gets ``BANDS`` keys of ``ROWS``
-minima each; a pair of similarity s shares a key with probability 1 - (1 - s^ROWS)^BANDS, 0.9993 at 0.8 and
+minima each; a pair of similarity s shares a key with probability 1 - (1 - s^ROWS)^BANDS, 0.99994 at 0.8 and
 more above.  Every proposed pair is verified by its exact similarity before it links.
 
 Buckets are not squared.  Equal sets are collapsed first.  A bucket's members are held against its smallest
@@ -25,9 +25,9 @@ from .common import cut, text_or_empty
 from .components import connected_components
 from .shingles import SEED, majority_bits, shingle_hashes
 
-BANDS, ROWS = 24, 6
+BANDS, ROWS = 32, 6
 #: Shingles whose minima are taken at once.
-CHUNK = 1024
+CHUNK = 256
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -41,13 +41,22 @@ def _node(found: np.ndarray) -> int:
 
 
 def _keyed(found: np.ndarray, masks: np.ndarray, odd: np.ndarray) -> np.ndarray:
-    """The keys of a set: a hash of ``ROWS`` minima and the band's number."""
-    least = np.full(len(masks), 2**64 - 1, np.uint64)
-    for i in range(0, len(found), CHUNK):
-        h = (found[i : i + CHUNK, None] ^ masks) * odd
-        least = np.minimum(least, (h ^ (h >> np.uint64(32))).min(axis=0))
+    """The keys of a set: a hash of ``ROWS`` minima and the band's number.
+
+    Minima are taken over 32 mixed bits of each hash: words of that size fill vector registers.  Two shingles that
+    agree in them by chance can only propose a pair more.
+    """
+    short = (found >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(masks), 2**32 - 1, np.uint32)
+    room = np.empty((CHUNK, len(masks)), np.uint32)
+    for i in range(0, len(short), CHUNK):
+        part = short[i : i + CHUNK, None]
+        h = room[: len(part)]
+        np.bitwise_xor(part, masks, out=h)
+        np.multiply(h, odd, out=h)
+        np.minimum(least, h.min(axis=0), out=least)
     key = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
+    for column in least.astype(np.uint64).reshape(BANDS, ROWS).T:
         key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
     return key
@@ -58,8 +67,8 @@ def _sketches(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(SEED)
-        masks = rng.integers(0, 2**64, BANDS * ROWS, np.uint64)
-        odd = rng.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
+        masks = rng.integers(0, 2**32, BANDS * ROWS, np.uint32)
+        odd = rng.integers(0, 2**32, BANDS * ROWS, np.uint32) | np.uint32(1)
         for b in batches:
             nodes, fps, sizes, keys = np.zeros(len(b), np.uint64), np.zeros(len(b), np.uint64), np.zeros(len(b), np.int32), np.zeros((len(b), BANDS), np.uint64)
             for i, t in enumerate(b.column(2)):
