@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from . import pii
 from .common import table
+from .conversations import damage, repair_digests
 from .decontam import find_leaks
 from .embeddings import near_vectors
+from .fingerprints import compare_with_next, fingerprint_text
 from .langid import identify_languages
 from .mixing import mix_sources
+from .negatives import mine_hard_negatives
 from .pii import find_personal
 from .quality import score_quality
 from .secrets import scan_secrets
@@ -79,8 +82,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compare_with_next(table(spark, sf_dir, "documents"))
+    texts = [fingerprint_text(F.col(c)).alias(name) for c, name in (("sketch", "fingerprint"), ("edited_sketch", "edited_fingerprint"))]
+    return found.select("doc_id", "n_chars", "edited_sha256", *texts, "near_edited", "near_next")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return repair_digests(damage(given), given)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(given.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mixing, op2_urls, op3_secrets, op4_simhash, op5_langid, op6_pii, op7_decontam, op8_embeddings, op9_toxicity, op10_quality)
+    found = (op1_mixing, op2_urls, op3_secrets, op4_simhash, op5_langid, op6_pii, op7_decontam, op8_embeddings, op9_toxicity, op10_quality, op11_fingerprints, op12_conversations, op13_hard_negatives)
     return {f.__name__: f for f in found}
 
 
