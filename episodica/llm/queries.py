@@ -160,5 +160,82 @@ FROM r
 """
 
 
+
+def _op12_sql() -> str:
+    """The least (cost, letters, lines) from every row and state on, found from a conversation's last row back."""
+
+    def grown(cost: str, letter: str, line: str, of: str) -> str:
+        return f"{{'c': {of}.c + {cost}, 'a': '{letter}' || {of}.a, 't': {line}{of}.t}}"
+
+    def put_in(role: str, of: str) -> str:
+        return grown("2", "I", f"'{role}:' || chr(10) || ", of)
+
+    role_after, state_after = {"z": "user", "s": "user", "u": "assistant", "a": "user"}, {"z": "u", "s": "u", "u": "a", "a": "u"}
+    may_keep = {"z": "su", "s": "u", "u": "a", "a": "u"}
+
+    def own(state: str) -> str:
+        kept = "role || ':' || text || chr(10) || "
+        options = [grown("3", "D", "", f"b.{state}")]
+        for initial in may_keep[state]:
+            options.append(grown(f"CASE WHEN fault < 2 AND left(role, 1) = '{initial}' THEN fault ELSE 1000000 END", "K", kept, f"b.{initial}"))
+        options.append(grown("CASE WHEN fault < 2 THEN 2 + fault ELSE 1000000 END", "R", f"'{role_after[state]}:' || text || chr(10) || ", f"b.{state_after[state]}"))
+        return f"list_min([{', '.join(options)}])"
+
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_concat([4294967295]::BIGINT[], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)),
+             lambda c, x: list_reduce(list_concat([xor(c, x)]::BIGINT[], range(8)), lambda k, i: xor(k >> 1, 3988292384 * (k & 1)))), 4294967295) % 20 AS lot
+  FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN lot = 1 THEN '' WHEN lot = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM w, unnest(range(CASE WHEN lot = 3 THEN 2 ELSE 1 END)) WHERE lot <> 0),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, unhex(md5(text))) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM d),
+f AS (
+  SELECT *, regexp_extract(text, '(?s)([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last,
+         left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS pair,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS copy
+  FROM n),
+r AS (
+  SELECT *, CASE WHEN last = '' THEN 2 WHEN copy > 1 THEN 3 WHEN last IN ('.', '!', '?') THEN 0 ELSE 1 END AS fault FROM f),
+b AS (
+  SELECT conv_id, max(n) + 1 AS i, {{'c': 0, 'a': '', 't': ''}} AS z, {{'c': 4, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)}} AS s,
+         {{'c': 2, 'a': 'I', 't': 'assistant:' || chr(10)}} AS u, {{'c': 0, 'a': '', 't': ''}} AS a
+  FROM n GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, list_min([z, {put_in("user", "nu")}]), list_min([s, {put_in("user", "nu")}]), nu, na
+  FROM (SELECT *, list_min([u, {put_in("assistant", "a")}]) AS nu, list_min([a, {put_in("user", "u")}]) AS na
+        FROM (SELECT r.conv_id, r.i, {own("z")} AS z, {own("s")} AS s, {own("u")} AS u, {own("a")} AS a
+              FROM b JOIN r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i - 1))),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 2) AS blank, count(*) FILTER (fault = 3) AS duplicate,
+         count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.z.c, 0)::BIGINT AS cost, coalesce(b.z.a, '') AS audit, sha256(coalesce(left(b.z.t, greatest(length(b.z.t) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM o.conv_id AND b.i = 1
+"""
+
+
+OP13_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM r a JOIN r c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v)),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM s JOIN p USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op2_urls": OP2_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_urls": OP2_SQL, "op12_conversations": _op12_sql(), "op13_hard_negatives": OP13_SQL}
