@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -392,16 +393,28 @@ def shared_folder(spark) -> str:
     return base.rstrip("/")
 
 
+@contextmanager
+def rocksdb(spark):
+    """State that transformWithState asks for, for the streams started inside; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    had = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, had) if had else spark.conf.unset(name)
+
+
 def drain(stream, schema_mode: str = "append"):
     """Run a stream over what there is and return what it wrote, from the shared checkpoint folder."""
     spark = stream.sparkSession
     path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
-    if schema_mode == "append":
-        writer.outputMode("append").format("parquet").option("path", f"{path}/out").start().awaitTermination()
-    else:
-        writer.outputMode(schema_mode).foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{path}/out")).start().awaitTermination()
+    with rocksdb(spark):
+        if schema_mode == "append":
+            writer.outputMode("append").format("parquet").option("path", f"{path}/out").start().awaitTermination()
+        else:
+            writer.outputMode(schema_mode).foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{path}/out")).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
