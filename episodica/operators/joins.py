@@ -34,18 +34,36 @@ def tree_paths(tree: DataFrame, key: str = "object_id", parent: str = "parent_id
     raise ValueError(f"the tree is deeper than {depth} levels or has a cycle")
 
 
-def next_event(left: DataFrame, right: DataFrame, key: str, time: str, row_id: str, within_us: int | None = None) -> DataFrame:
-    """For each left row the first right row of its key strictly later: left columns, next_time, next_id.
+def recursive_paths(tree: DataFrame, key: str = "object_id", parent: str = "parent_id", name: str = "name", depth: int = 16) -> DataFrame:
+    """``tree_paths`` as one recursive query: no job runs while the plan is built, and each level is computed once.
+
+    A tree deeper than ``depth``, or one with a cycle below a root, is an error when the plan runs.  Rows that no
+    root leads to (a cycle without a root, an unknown parent) have no path and no row.
+    """
+    q = lambda c: f"`{c}`"
+    return tree.sparkSession.sql(
+        f"""WITH RECURSIVE up ({q(key)}, path, level) AS (
+          SELECT {q(key)}, CAST({q(name)} AS STRING), 1 FROM {{tree}} WHERE {q(parent)} IS NULL
+          UNION ALL
+          SELECT t.{q(key)}, CASE WHEN up.level < {int(depth)} THEN concat_ws('/', up.path, t.{q(name)}) ELSE raise_error('the tree is deeper than {int(depth)} levels or has a cycle') END, up.level + 1
+          FROM {{tree}} t JOIN up ON t.{q(parent)} = up.{q(key)})
+        SELECT * FROM up""",
+        tree=tree.select(key, parent, name),
+    )
+
+
+def next_event(left: DataFrame, right: DataFrame, key: str, time: str, row_id: str, within_us: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """For each left row the first right row of its key strictly later: left columns, next_time, next_id and next_ of ``carry``.
 
     One shuffle by key: both sides are stacked and a range frame over microseconds looks ahead; of equal
     times the smallest id.  Nothing is joined by inequality.
     """
-    both = left.withColumn("_left", F.lit(True)).unionByName(right.select(key, time, row_id).withColumn("_left", F.lit(False)), allowMissingColumns=True)
+    found = right.select(key, time, F.struct(time, row_id, *carry).alias("_r"), F.lit(False).alias("_left"))
+    both = left.withColumn("_left", F.lit(True)).unionByName(found, allowMissingColumns=True)
     both = both.withColumn("_us", F.unix_micros(F.col(time).cast("timestamp")))
     ahead = Window.partitionBy(key).orderBy("_us").rangeBetween(1, within_us or Window.unboundedFollowing)
-    found = F.min(F.when(~F.col("_left"), F.struct(time, row_id))).over(ahead)
-    out = both.withColumn("_n", found).where("_left")
-    return out.select(*left.columns, F.col(f"_n.{time}").alias("next_time"), F.col(f"_n.{row_id}").alias("next_id"))
+    out = both.withColumn("_n", F.min("_r").over(ahead)).where("_left")
+    return out.select(*left.columns, F.col(f"_n.{time}").alias("next_time"), F.col(f"_n.{row_id}").alias("next_id"), *[F.col(f"_n.{c}").alias(f"next_{c}") for c in carry])
 
 
 def latest_before(left: DataFrame, right: DataFrame, key: str, time: str, columns: list[str], prefix: str = "prev_") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import between
 from .joins import in_scope, next_event
 
 
@@ -27,28 +29,57 @@ def last_n(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
+#: Days that a bounded listing of technical events may span.
+MOST_DAYS = 31
+
+
 def technical_events(
     journal: DataFrame, external: DataFrame, *, alarm: Column, normal: Column, within_days: int = 31, kinds: list[str] | None = None, kind: str | None = None,
     text: str | None = None, section_id: int | None = None, scope: DataFrame | None = None, tree: DataFrame | None = None,
+    first: str | None = None, last: str | None = None, time: str = "read_time", partition: str | None = None,
 ) -> DataFrame:
     """Alarms, the first normal reading after each, and external events: (at, kind, source_id, channel_id, section_id, text), filtered.
 
-    Filters that are None are not in the plan at all.
+    ``first`` and ``last`` (moments as text, the end excluded, at most ``MOST_DAYS`` apart) bound all three sources: the
+    journal is read from that range alone, by literal ranges on its time and on ``partition``, its day column, and a
+    normal reading counts if it comes before ``last``.  ``section_id`` filters alarms before the look-ahead; normal
+    readings are then those of the channels with such alarms (a normal reading is of its alarm's channel, whatever
+    section stands on it).  Kinds that are not asked for are not looked up, and filters that are None are not in the
+    plan at all.
     """
-    alarms = journal.where(alarm)
-    after = next_event(alarms.select("channel_id", "section_id", "read_time", "journal_id"), journal.where(normal), "channel_id", "read_time", "journal_id", within_days * 86400 * 1_000_000)
-    after = after.where("next_id is not null").select(F.col("next_time").alias("at"), F.lit("normal").alias("kind"), F.col("next_id").alias("source_id"), "channel_id", "section_id").distinct()
-    words = journal.select(F.col("journal_id").alias("source_id"), F.col("value_text").alias("text"))
-    rows = alarms.select(F.col("read_time").alias("at"), F.lit("alarm").alias("kind"), F.col("journal_id").alias("source_id"), "channel_id", "section_id", F.col("value_text").alias("text"))
-    rows = rows.unionByName(after.join(words, "source_id")).unionByName(external.withColumn("kind", F.lit("external")), allowMissingColumns=True)
-    if kinds:
-        rows = rows.where(F.col("kind").isin(*kinds))
-    if kind:
-        rows = rows.where(F.col("kind") == kind)
+    if (first is None) != (last is None):
+        raise ValueError("first and last go together")
+    rows = journal
+    if first is not None:
+        low, high = (F.lit(m).cast("timestamp") for m in (first, last))
+        days = (pd.Timestamp(last) - pd.Timestamp(first)).total_seconds() / 86400
+        if not 0 < days <= MOST_DAYS:
+            raise ValueError(f"the range must be of at most {MOST_DAYS} days and not empty")
+        rows = rows.where(between(time, low, high, partition))
+        external = external.where((F.col("at") >= low) & (F.col("at") < high))
+    alarms = rows.where(alarm)
+    if section_id is not None:
+        alarms, external = (df.where(F.col("section_id") == section_id) if "section_id" in df.columns else df.where(F.lit(False)) for df in (alarms, external))
+    wanted = {k for k in ("alarm", "normal", "external") if (not kinds or k in kinds) and kind in (None, k)}
+    parts = []
+    if "alarm" in wanted:
+        parts.append(alarms.select(F.col(time).alias("at"), F.lit("alarm").alias("kind"), F.col("journal_id").alias("source_id"), "channel_id", "section_id", F.col("value_text").alias("text")))
+    if "normal" in wanted:
+        calm = rows.where(normal)
+        if section_id is not None:
+            calm = calm.join(alarms.select("channel_id").distinct(), "channel_id", "left_semi")
+        after = next_event(alarms.select("channel_id", "section_id", time, "journal_id"), calm, "channel_id", time, "journal_id", within_days * 86400 * 1_000_000, ("value_text",))
+        after = after.where("next_id is not null").select(F.col("next_time").alias("at"), F.lit("normal").alias("kind"), F.col("next_id").alias("source_id"), "channel_id", "section_id", F.col("next_value_text").alias("text"))
+        parts.append(after.distinct())
+    if "external" in wanted:
+        parts.append(external.withColumn("kind", F.lit("external")))
+    if not parts:
+        raise ValueError("no kind of event is asked for")
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
     if text:
         rows = rows.where(F.col("text").ilike(f"%{text}%"))
-    if section_id is not None:
-        rows = rows.where(F.col("section_id") == section_id)
     return in_scope(rows, scope, tree) if scope is not None else rows
 
 

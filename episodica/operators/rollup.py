@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import on_days
 from ..functions.scalar import seconds
 
 
@@ -65,19 +66,19 @@ def window_counts(days: DataFrame, key: str, at: Column, value: str, spans: tupl
     return days.where(age >= 0).groupBy(key).agg(*sums, F.max("day").alias("last_day"))
 
 
-def exact_counts(days: DataFrame, journal: DataFrame, key: str, at: Column, spans: tuple[int, ...], time: str = "read_time", value: str = "total") -> DataFrame:
+def exact_counts(days: DataFrame, journal: DataFrame, key: str, at: Column, spans: tuple[int, ...], time: str = "read_time", value: str = "total", partition: str | None = None) -> DataFrame:
     """Rows in (at - n days, at] for each n: whole days from the rollup, the cut days at both ends from raw rows.
 
-    ``at`` is a timestamp literal.  Only the boundary days of the journal are read: with a table partitioned
-    by day the filter prunes all others.
+    ``at`` is a timestamp literal.  Of the journal only the cut days are read: they are literal ranges on ``time``,
+    which the files' statistics answer, and on ``partition``, the journal's day column, where there is one.
     """
     edge = lambda n: F.to_timestamp(at - F.expr(f"INTERVAL {n} DAYS"))
     whole = [F.sum(F.when((F.col("day") > F.to_date(edge(n))) & (F.col("day") < F.to_date(at)), F.col(value)).otherwise(0)).alias(f"last_{n}") for n in spans]
-    from_days = days.groupBy(key).agg(*whole)
-    moment, day = F.col(time).cast("timestamp"), F.to_date(time)
-    cut_days = [F.to_date(at), *[F.to_date(edge(n)) for n in spans]]
-    raw = journal.where(F.reduce(F.array(*cut_days), F.lit(False), lambda a, d: a | (d == day)))
-    parts = [F.count_if((moment > edge(n)) & (moment <= at) & ((day == F.to_date(edge(n))) | (day == F.to_date(at)))).alias(f"last_{n}") for n in spans]
+    from_days = days.where((F.col("day") > F.to_date(edge(max(spans)))) & (F.col("day") < F.to_date(at))).groupBy(key).agg(*whole)
+    moment = F.col(time)
+    raw = journal.where(on_days(time, [F.to_date(at), *[F.to_date(edge(n)) for n in spans]], partition))
+    own = lambda n: on_days(time, [F.to_date(edge(n)), F.to_date(at)])
+    parts = [F.count_if((moment > edge(n)) & (moment <= at) & own(n)).alias(f"last_{n}") for n in spans]
     from_rows = raw.groupBy(key).agg(*parts)
     return from_days.unionByName(from_rows).groupBy(key).agg(*[F.sum(f"last_{n}").alias(f"last_{n}") for n in spans])
 

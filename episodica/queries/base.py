@@ -30,6 +30,18 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def query_like(name: str, other: str):
+    """Register another way to the rows of a query: it must return what the other query's SQL returns."""
+
+    def put(run):
+        if name in REGISTRY:
+            raise ValueError(f"query {name} is registered twice")
+        REGISTRY[name] = Query(run, REGISTRY[other].sql)
+        return run
+
+    return put
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -39,7 +39,7 @@ def j7(spark, sf):
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
     tree = r.select((F.col("r_regionkey") + 1000).cast("long").alias("object_id"), F.lit(None).cast("long").alias("parent_id"), F.col("r_name").alias("name"))
     tree = tree.unionByName(n.select(F.col("n_nationkey").cast("long").alias("object_id"), (F.col("n_regionkey") + 1000).cast("long").alias("parent_id"), F.col("n_name").alias("name")))
-    return J.tree_paths(tree).select("path", "level")
+    return J.recursive_paths(tree).select("path", "level")
 
 
 @query("j6_tree_listing", "SELECT r_name AS collector, n_name AS node, count(*) AS channels, list_sort(list(DISTINCT c_mktsegment)) AS segments FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
