@@ -1,11 +1,12 @@
-"""Censored lifetimes: Kaplan-Meier, Weibull fits for all groups at once, predictability."""
+"""Censored lifetimes: Kaplan-Meier, Weibull fits for all groups at once by distributed Newton steps, predictability."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import gamma
+from ..functions.steps import cut
 
 
 def lifetimes(failures: DataFrame, key: str, start: str, data_end) -> DataFrame:
@@ -35,35 +36,67 @@ def survival_at(curve: DataFrame, moments: DataFrame, group: str = "grp") -> Dat
     return both.withColumn("survival", F.coalesce(F.min("_s").over(w), F.lit(1.0))).where("_ask").select(group, "t", "survival")
 
 
-def weibull(lives: DataFrame, group: str = "grp", rounds: int = 60, low: float = 0.05, high: float = 20.0) -> DataFrame:
-    """(group, n, failures, beta, eta, mean_life): censored maximum likelihood, by bisection on beta for every group jointly.
+#: Groups whose parameters are few enough to travel to every task; more are joined by shuffle.
+FEW_GROUPS = 100_000
+#: Betas that one pass asks for while the bracket is wide, and passes that do so.
+GRID, GRIDS = 24, 2
 
-    Lives are compressed to counts by (group, t, failed).  The bisection is a fold over rounds inside a group's
-    row of distinct lives, so there is one job however many rounds; that row grows with the distinct lives of a
-    group, which whole hours or days keep few.  Groups with fewer than two failures get null.
+
+def weibull(lives: DataFrame, group: str = "grp", rounds: int = 60, low: float = 0.05, high: float = 20.0, close: float = 1e-6) -> DataFrame:
+    """(group, n, failures, beta, eta, mean_life): censored maximum likelihood, by Newton's steps on beta for every group jointly.
+
+    Lives are compressed to counts by (group, t).  A round is one aggregate over them with the small table of current
+    betas joined in: partial sums by task, so a group of any size costs a row a task.  The first rounds ask at many
+    betas at once, which brackets the answer; then come Newton's steps, and a step that leaves the bracket becomes its
+    middle.  A group is done when a step is below ``close`` of its beta, which leaves an error of the square's order.
+    Betas end at ``low`` or ``high`` where the likelihood still rises there (equal lives).
+    Groups with fewer than two failures, or with null or non-positive lives alone, get null.
     """
-    counted = lives.groupBy(group, "ttf").agg(F.count("*").alias("n"), F.sum("failed").alias("d"))
-    packed = counted.groupBy(group).agg(F.collect_list(F.struct(F.col("ttf").alias("t"), F.col("n").cast("double").alias("n"), F.col("d").cast("double").alias("d"))).alias("_x"), F.sum("n").alias("n"), F.sum("d").alias("failures"), F.max("ttf").alias("_max"))
-    mean_log = F.aggregate("_x", F.lit(0.0), lambda a, x: a + x["d"] * F.log(x["t"] / F.col("_max"))) / F.col("failures")
-    packed = packed.withColumn("_ml", mean_log)
-
-    def slope(b):
-        # derivative of the profile likelihood: sum t^b ln t / sum t^b - 1/b - mean ln t of failures, with t over its maximum
-        top = F.aggregate("_x", F.lit(0.0), lambda a, x: a + x["n"] * F.pow(x["t"] / F.col("_max"), b) * F.log(x["t"] / F.col("_max")))
-        bottom = F.aggregate("_x", F.lit(0.0), lambda a, x: a + x["n"] * F.pow(x["t"] / F.col("_max"), b))
-        return top / bottom - 1 / b - F.col("_ml")
-
-    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
-
-    def halve(a, _):
-        mid = (a["lo"] + a["hi"]) / 2
-        up = slope(mid) < 0
-        return F.struct(F.when(up, mid).otherwise(a["lo"]).alias("lo"), F.when(up, a["hi"]).otherwise(mid).alias("hi"))
-
-    found = packed.withColumn("_b", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve, lambda a: (a["lo"] + a["hi"]) / 2))
-    found = found.withColumn("beta", F.when(F.col("failures") >= 2, F.col("_b")))
-    total = F.aggregate("_x", F.lit(0.0), lambda a, x: a + x["n"] * F.pow(x["t"] / F.col("_max"), F.col("beta")))
-    found = found.withColumn("eta", F.col("_max") * F.pow(total / F.col("failures"), 1 / F.col("beta")))
+    named = {"_group": F.coalesce(F.col(group).cast("string"), F.lit("")), "_null": F.col(group).isNull()}
+    key = list(named)
+    kept = cut(lives.where((F.col("ttf") > 0) & F.col("failed").isNotNull()).groupBy(group, "ttf").agg(F.count("*").alias("n"), F.sum("failed").alias("d")).withColumns(named))
+    names = kept.groupBy(group, *key).agg(F.sum("n").alias("n"), F.sum("d").alias("failures"), F.max("ttf").alias("_max"), F.sum(F.col("d") * F.log("ttf")).alias("_logs"))
+    names = cut(names.withColumn("_ml", F.col("_logs") / F.nullif("failures", F.lit(0)) - F.log("_max")))
+    few = names.count() <= FEW_GROUPS
+    given = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    # t over its group's maximum keeps powers in range
+    counted = kept.join(given(names.where("failures >= 2").select(*key, "_max")), key).select(*key, F.log(F.col("ttf") / F.col("_max")).alias("l"), F.col("n").cast("double").alias("n"))
+    state = names.where("failures >= 2").select(*key, "_ml", F.lit(low).alias("lo"), F.lit(high).alias("hi"), F.lit(1.0).alias("b"), F.lit(False).alias("done"))
+
+    def slope_of(b: Column, s0: Column, s1: Column) -> Column:
+        """Of the profile likelihood, negated, it rises in b: sum t^b ln t / sum t^b - 1/b - mean ln t of failures."""
+        return s1 / s0 - 1 / b - F.col("_ml")
+
+    def bracketed(now: DataFrame) -> DataFrame:
+        """The two neighbours of GRID betas between which the slope changes its sign."""
+        points = F.transform(F.sequence(F.lit(0), F.lit(GRID - 1)), lambda k: F.col("lo") * F.pow(F.col("hi") / F.col("lo"), k / (GRID - 1)))
+        asked = now.where("not done").select(*key, "_ml", F.explode(points).alias("b"))
+        power = F.col("n") * F.exp(F.col("b") * F.col("l"))
+        by = counted.join(given(asked), key).groupBy(*key, "_ml", "b").agg(F.sum(power).alias("s0"), F.sum(power * F.col("l")).alias("s1"))
+        g = slope_of(F.col("b"), F.col("s0"), F.col("s1"))
+        both = now.join(by.groupBy(*key).agg(F.max(F.when(g < 0, F.col("b"))).alias("_below"), F.min(F.when(g >= 0, F.col("b"))).alias("_above")), key, "left")
+        below, above = F.col("_below"), F.col("_above")
+        ends = F.col("done") | below.isNull() | above.isNull()
+        b = F.when(F.col("done"), F.col("b")).when(below.isNull(), F.col("lo")).when(above.isNull(), F.col("hi")).otherwise(F.sqrt(below * above))
+        return both.select(*key, "_ml", *[F.when(ends, F.col(c)).otherwise(v).alias(c) for c, v in (("lo", below), ("hi", above))], b.alias("b"), ends.alias("done"))
+
+    def stepped(now: DataFrame) -> DataFrame:
+        power = F.col("n") * F.exp(F.col("b") * F.col("l"))
+        by = counted.join(given(now.where("not done").select(*key, "b")), key).groupBy(*key).agg(F.sum(power).alias("s0"), F.sum(power * F.col("l")).alias("s1"), F.sum(power * F.col("l") * F.col("l")).alias("s2"))
+        both = now.join(by, key, "left").withColumn("g", slope_of(F.col("b"), F.col("s0"), F.col("s1")))
+        rise = F.col("s2") / F.col("s0") - F.pow(F.col("s1") / F.col("s0"), 2) + 1 / F.pow("b", 2)
+        lo, hi, step = F.when(F.col("g") < 0, F.col("b")).otherwise(F.col("lo")), F.when(F.col("g") >= 0, F.col("b")).otherwise(F.col("hi")), F.col("b") - F.col("g") / rise
+        both = both.withColumns({"_lo": lo, "_hi": hi, "_step": step})
+        new = F.when((F.col("_step") >= F.col("_lo")) & (F.col("_step") <= F.col("_hi")), F.col("_step")).otherwise((F.col("_lo") + F.col("_hi")) / 2)
+        moved = {"lo": F.col("_lo"), "hi": F.col("_hi"), "b": new, "done": F.abs(new - F.col("b")) <= close * F.col("b")}
+        return both.select(*key, "_ml", *[F.when(F.col("done"), F.col(c)).otherwise(v).alias(c) for c, v in moved.items()])
+
+    for number in range(rounds):
+        state = cut((bracketed if number < GRIDS else stepped)(state))
+        if number >= GRIDS and state.where("not done").isEmpty():
+            break
+    total = counted.join(given(state.select(*key, "b")), key).groupBy(*key, "b").agg(F.sum(F.col("n") * F.exp(F.col("b") * F.col("l"))).alias("_total"))
+    found = names.join(total, key, "left").withColumn("beta", F.col("b")).withColumn("eta", F.col("_max") * F.pow(F.col("_total") / F.col("failures"), 1 / F.col("beta")))
     # gamma(1 + 1/b) = gamma(2 + 1/b) / (1 + 1/b) keeps the argument away from small values
     mean = F.col("eta") * gamma(2 + 1 / F.col("beta")) / (1 + 1 / F.col("beta"))
     return found.select(group, "n", "failures", "beta", "eta", mean.alias("mean_life"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -221,32 +221,26 @@ def risk_ranks(rows: DataFrame, run: list[str]) -> DataFrame:
 POLICY = {"deadband": 0.02, "heartbeat_min": 60.0, "hysteresis": 0.02, "hold_min": 10.0, "threshold": 0.80}
 
 
-def policy_rows(rows: Iterable[tuple[int, float, bool]], c: dict, full_log: bool = False) -> list[tuple[str, str | None]]:
-    """(class, reason) of each (microseconds, probability, wanted) of one key in order of time."""
-    cls = since = logged = logged_at = None
-    out = []
-    for t, p, wanted in rows:
-        new = "high" if p >= c["threshold"] + c["hysteresis"] else "normal" if p <= c["threshold"] - c["hysteresis"] else cls or "normal"
-        if cls is not None and new != cls and (t - since) / 6e7 < c["hold_min"]:
-            new = cls
-        changed = cls is not None and new != cls
-        if cls is None or changed:
-            since = t
-        if full_log:
-            why = "full"
-        elif logged_at is None:
-            why = "first"
-        elif abs(p - logged) >= c["deadband"] or changed:
-            why = "change"
-        elif (t - logged_at) / 6e7 >= c["heartbeat_min"]:
-            why = "heartbeat"
-        else:
-            why = "warning" if wanted else None
-        cls = new
-        if why:
-            logged, logged_at = p, t
-        out.append((cls, why))
-    return out
+def policy_row(state: tuple | None, t: float, p: float, wanted: bool, c: dict, full_log: bool = False) -> tuple[tuple, str, str | None]:
+    """One decision of a key: state is (class, since, logged probability, logged at); returns it with the class and the reason to log."""
+    cls, since, logged, logged_at = state or (None, None, None, None)
+    new = "high" if p >= c["threshold"] + c["hysteresis"] else "normal" if p <= c["threshold"] - c["hysteresis"] else cls or "normal"
+    if cls is not None and new != cls and (t - since) / 6e7 < c["hold_min"]:
+        new = cls
+    changed = cls is not None and new != cls
+    if cls is None or changed:
+        since = t
+    if full_log:
+        why = "full"
+    elif logged_at is None:
+        why = "first"
+    elif abs(p - logged) >= c["deadband"] or changed:
+        why = "change"
+    elif (t - logged_at) / 6e7 >= c["heartbeat_min"]:
+        why = "heartbeat"
+    else:
+        why = "warning" if wanted else None
+    return (new, since, p if why else logged, t if why else logged_at), new, why
 
 
 def write_policy(rows: DataFrame, key: str, time: str, probability: str, policy: dict | None = None, *, full_log: bool = False, warned: str | None = None) -> DataFrame:
@@ -254,19 +248,27 @@ def write_policy(rows: DataFrame, key: str, time: str, probability: str, policy:
 
     Reasons are tried in this order.  ``full_log`` logs every row; ``warned`` names a boolean column of rows that
     an order of this run refers to, which are logged whatever the dead band says.  The dead band counts from the
-    last row written.  A key's rows are its decisions, a few hundred a day, and are gone through in order of
-    time; the streaming twin keeps the state alone.
+    last row written.  Rows are dealt by key and sorted in their partitions; a task goes through them once and holds
+    the state of one key, four values, however many rows the key has.  The streaming twin keeps the same state.
     """
     c, kinds = POLICY | (policy or {}), dict(rows.dtypes)
     marked = F.coalesce(F.col(warned), F.lit(False)) if warned else F.lit(False)
     each = rows.select(F.col(key), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(probability).cast("double").alias("p"), marked.alias("w"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t", "p"], kind="stable")
-        got = policy_rows(zip(frame.t, frame.p, frame.w), c, full_log)
-        return frame.assign(cls=[x for x, _ in got], reason=[x for _, x in got])[[key, "t", "p", "cls", "reason"]]
-
-    out = each.groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, t bigint, p double, cls string, reason string")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held, state, none = None, None, float("nan")
+        for batch in batches:
+            out = []
+            for k, t, p, w in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                if k != held:
+                    held, state = k, None
+                state, cls, why = policy_row(state, none if t is None else t, none if p is None else p, w, c, full_log)
+                out.append((cls, why))
+            added = [pa.array(x, pa.string()) for x in (zip(*out, strict=True) if out else ([], []))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *added], names=[*batch.schema.names[:3], "cls", "reason"])
+
+    dealt = each.repartition(key).sortWithinPartitions(key, F.col("t").asc_nulls_last(), F.col("p").asc_nulls_last())
+    out = dealt.mapInArrow(run, f"`{key}` {kinds[key]}, t bigint, p double, cls string, reason string")
     return out.select(key, F.timestamp_micros("t").alias(time), F.col("p").alias(probability), F.col("cls").alias("risk_class"), "reason")
 
 

@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import areas
 from ..operators import episodes as E
 from ..operators import listing as Q
 from ..operators import rollup as A
 from ..operators import summaries as S
+from ..plans import table_functions
 from .base import END, channels, journal, query, query_like, stamp, table, us
-from .domain import shared_folder
+from .domain import shared_folder, spots
 from .journal import shown
 
 
@@ -88,3 +90,45 @@ def q2_bounded(spark, sf):
         section_id=7, first="2024-01-10 00:00:00", last="2024-01-20 00:00:00", partition="day",
     )
     return out.select(us("at").alias("at"), "kind", "source_id", "channel_id", "section_id", "text")
+
+
+def hexagons(spark, sf):
+    """A six-sided area around every tenth supplier's place."""
+    s = spots(spark, sf).where("object_id % 10 = 0")
+    corners = [(1.0, 0.0), (0.5, 0.9), (-0.5, 0.8), (-1.1, 0.1), (-0.4, -0.7), (0.6, -0.8)]
+    size = 0.002 + (F.col("object_id") % 7) * 0.004
+    ring = F.array(*[F.struct((F.col("lon") + x * size).alias("lon"), (F.col("lat") + y * size).alias("lat")) for x, y in corners])
+    return s.select(F.col("object_id").alias("area_id"), ring.alias("ring"))
+
+
+HEX = """
+o AS (SELECT s_suppkey AS object_id, 37.0 + (s_suppkey * 37 % 1000) / 5000 AS lon, 55.0 + (s_suppkey * 91 % 1000) / 9000 AS lat, 'k' || (s_suppkey % 3) AS kind, s_suppkey % 4 = 0 AS high, s_suppkey * 1.5 AS length_m FROM supplier),
+p AS (SELECT object_id AS area_id, lon, lat, 0.002 + (object_id % 7) * 0.004 AS size FROM o WHERE object_id % 10 = 0),
+k AS (SELECT * FROM (VALUES (0, 1.0, 0.0, 0.5, 0.9), (1, 0.5, 0.9, -0.5, 0.8), (2, -0.5, 0.8, -1.1, 0.1), (3, -1.1, 0.1, -0.4, -0.7), (4, -0.4, -0.7, 0.6, -0.8), (5, 0.6, -0.8, 1.0, 0.0)) t(i, ax, ay, ex, ey)),
+e AS (SELECT area_id, lon + ax * size AS alon, lat + ay * size AS alat, lon + ex * size AS blon, lat + ey * size AS blat FROM p, k),
+h AS (SELECT area_id, object_id FROM o JOIN e ON abs(o.lat - e.alat) < 0.1 AND ((alat > o.lat) <> (blat > o.lat)) AND o.lon < alon + (o.lat - alat) / (blat - alat) * (blon - alon) GROUP BY 1, 2 HAVING count(*) % 2 = 1)"""
+
+
+@query("x3_many_areas", f""", {HEX}
+SELECT area_id, kind, count(*) AS objects, sum(length_m)::DOUBLE AS length_m, count(*) FILTER (high) AS high FROM h JOIN o USING (object_id) GROUP BY 1, 2""")
+def x3_many(spark, sf):
+    return areas.areas_summary(spots(spark, sf), hexagons(spark, sf))
+
+
+@query_like("u2_episodes_function", "u2_episodes_by_sql_text")
+def u2_function(spark, sf):
+    """The same episodes by a table function over a whole table."""
+    table_functions.register_functions(spark)
+    view = f"journal_{uuid.uuid4().hex}"
+    journal(spark, sf).createOrReplaceTempView(view)
+    out = spark.sql(f"SELECT * FROM episodes(TABLE({view}), array('error'))")
+    return out.select("channel_id", us("started_at").alias("started"), us("ended_at").alias("ended"), "rows_cnt", "closed_by")
+
+
+@query("u2_section_rows", "SELECT journal_id, epoch_us(read_time) AS at, channel_id, value_text FROM j WHERE section_id = 3 AND read_time >= TIMESTAMP '2024-01-05' AND read_time < TIMESTAMP '2024-01-12'")
+def u2_section(spark, sf):
+    """A SQL function of a section and a range, inlined into the query that calls it."""
+    view = f"journal_{uuid.uuid4().hex}"
+    journal(spark, sf).createOrReplaceTempView(view)
+    table_functions.register_functions(spark, view)
+    return spark.sql("SELECT journal_id, unix_micros(read_time) AS at, channel_id, value_text FROM section_rows(3, TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-12')")

@@ -130,3 +130,27 @@ def test_recursive_paths_build_without_a_job(spark):
     cycle = spark.createDataFrame([(1, None, "r"), (2, 1, "a"), (2, 3, "a"), (3, 2, "b")], "object_id long, parent_id long, name string")
     with pytest.raises(Exception, match="deeper than 5 levels or has a cycle"):
         J.recursive_paths(cycle, depth=5).collect()
+
+
+def test_weibull_by_newton_equals_plain(spark):
+    """Many groups at once, a group with most lives, a null group, equal lives, too few failures, odd rows."""
+    import numpy as np
+
+    from episodica.operators import reliability as B
+
+    rng = np.random.default_rng(4)
+    made = [("hot", float(t), int(f)) for t, f in zip(rng.weibull(1.3, 3000) * 9, rng.random(3000) < 0.6)]
+    made += [(g, float(t), int(f)) for g, beta in (("a", 0.4), ("b", 6.0), (None, 2.0), ("", 3.0)) for t, f in zip(rng.weibull(beta, 200) * 5 + 1e-6, rng.random(200) < 0.8)]
+    made += [("same", 2.0, 1)] * 5 + [("one", 3.0, 1), ("one", 4.0, 0), ("none", 5.0, 0), ("a", 0.0, 1), ("a", None, 1), ("a", -1.0, 1)]
+    got = {r.grp: r for r in B.weibull(spark.createDataFrame(made, "grp string, ttf double, failed int").repartition(4)).collect()}
+    assert set(got) == {"hot", "a", "b", None, "", "same", "one", "none"}
+    for g in ("hot", "a", "b", None, ""):
+        t, f = (np.array(x) for x in zip(*[(t, f) for k, t, f in made if k == g and t is not None and t > 0]))
+        logs, b = np.log(t / t.max()), 1.0
+        slope = lambda b: (np.exp(b * logs) * logs).sum() / np.exp(b * logs).sum() - 1 / b - logs[f == 1].mean()  # noqa: B023, E731
+        lo, hi = 0.01, 50.0
+        for _ in range(100):
+            lo, hi = (b, hi) if slope(b := (lo + hi) / 2) < 0 else (lo, b)
+        eta = t.max() * (np.exp(b * logs).sum() / f.sum()) ** (1 / b)
+        assert got[g].beta == pytest.approx(b, rel=1e-9) and got[g].eta == pytest.approx(eta, rel=1e-9) and (got[g].n, got[g].failures) == (len(t), f.sum())
+    assert got["same"].beta == 20.0 and got["one"].beta is None and got["none"].eta is None and got["none"].failures == 0
