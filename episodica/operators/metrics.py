@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections import deque
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,6 +149,93 @@ def threshold_curve(scores: DataFrame, wanted: tuple[int, ...], score: str = "sc
     return out.withColumn("f1", f_beta(F.col("precision"), F.col("recall")))
 
 
+def alert_counts(n: int, steps: int = 60, least: int = 20, most: int = 400_000) -> tuple[int, ...]:
+    """Numbers of alerts, geometrically spaced from ``least`` to ``most`` or all rows."""
+    top = min(n, most)
+    if top < 1:
+        return ()
+    low = min(least, top)
+    return tuple(sorted({int(low * (top / low) ** (i / (steps - 1)) + 1e-9) for i in range(steps)} | {top}))
+
+
+def matched_curve(scores: DataFrame, failures: DataFrame, *, key: str = "channel_id", time: str = "t", score: str = "score", low_seconds: float = 1, high_hours: float = 168, wanted: tuple[int, ...] | None = None) -> DataFrame:
+    """(threshold, alerts, tp, fn, fp, dup, precision, recall, f1) of alerts matched to failures, at thresholds for several numbers of alerts.
+
+    A row is an alert at a threshold that its score reaches; matching is ``match_alerts``, each threshold for itself.
+    Thresholds are few, so one pass over an object's rows in order does all of them: an alert that no failure has
+    taken carries a bit for each threshold that still may use it, and a failure takes, from the latest alert back,
+    the bits that it lacks.  An alert's window does not hang on the threshold, so false alerts add up by level.
+    A task puts out sums, a row a threshold.  Ties of a score are never cut.
+    """
+    scored = scores.where(F.col(key).isNotNull() & F.col(time).isNotNull() & F.col(score).isNotNull())
+    wanted = alert_counts(scored.count()) if wanted is None else wanted
+    cuts = threshold_for_each(scored, wanted, score)
+    levels = sorted({r["threshold"] for r in cuts.collect()}, reverse=True)  # as many as numbers wanted
+    low, span = int(low_seconds * 1e6), int(high_hours * 3.6e9) - int(low_seconds * 1e6)
+    rows = lambda df, shift, level: df.select(key, (F.unix_micros(F.col(time).cast("timestamp")) + shift).alias("at"), level.alias("level"))
+    level = F.size(F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<double>"), lambda x: x > F.col(score)))
+    alerts = rows(scored, low, level).where(F.col("level") < len(levels))
+    both = alerts.unionByName(rows(failures.where(F.col(key).isNotNull() & F.col(time).isNotNull()), 0, F.lit(-1)))
+    every = (1 << len(levels)) - 1
+
+    def match(batches):
+        held, ready, fresh, n_failures = None, [], [], 0
+        alerts, false, taken = [0] * len(levels), [0] * len(levels), {}
+        for batch in batches:
+            for k, at, of in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if k != held:
+                    for _, x in fresh:
+                        false[x] += 1
+                    held, ready, fresh = k, [], []
+                if of >= 0:
+                    alerts[of] += 1
+                    ready.append([at, every >> of << of])  # thresholds at and below the alert's own
+                    fresh.append((at, of))
+                    continue
+                n_failures += 1
+                for x, y in fresh:
+                    false[y] += x < at - span
+                fresh, need = [], every
+                ready = [a for a in ready if a[0] >= at - span and a[1]]
+                for a in reversed(ready):
+                    got = need & a[1]
+                    a[1] ^= got
+                    need ^= got
+                    if not need:
+                        break
+                if got := every ^ need:
+                    taken[got] = taken.get(got, 0) + 1
+        for _, x in fresh:
+            false[x] += 1
+        hits = [sum(n for bits, n in taken.items() if bits >> i & 1) for i in range(len(levels))]
+        columns = [list(range(len(levels))), list(accumulate(alerts)), list(accumulate(false)), hits, [n_failures] * len(levels)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["place", "alerts", "fp", "tp", "failures"])
+
+    if not levels:
+        levels, every = [0.0], 1  # no alerts: the empty threshold's row alone
+    dealt = both.repartition(key).sortWithinPartitions(key, "at", F.col("level") == -1)
+    sums = dealt.mapInArrow(match, "place bigint, alerts bigint, fp bigint, tp bigint, failures bigint").groupBy("place").agg(*[F.sum(c).alias(c) for c in ("alerts", "fp", "tp", "failures")])
+    out = sums.withColumn("threshold", F.get(F.array(*[F.lit(x) for x in levels]).cast("array<double>"), F.col("place")))
+    out = out.withColumns({"fn": F.col("failures") - F.col("tp"), "dup": F.col("alerts") - F.col("fp") - F.col("tp")})
+    out = out.withColumns({"precision": safe_ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": safe_ratio(F.col("tp"), F.col("failures"))})
+    return out.withColumn("f1", f_beta(F.col("precision"), F.col("recall"))).select("threshold", "alerts", "tp", "fn", "fp", "dup", "precision", "recall", "f1")
+
+
+def threshold_for_each(scores: DataFrame, wanted: tuple[int, ...], score: str = "score") -> DataFrame:
+    """``threshold_for`` for several numbers of alerts at once: (wanted, threshold, alerts)."""
+    n = F.filter(F.array(*map(F.lit, wanted)).cast("array<long>"), lambda x: (x <= F.col("through")) & (x > F.col("through") - F.col("c")))
+    cuts = _through(scores, score, None).withColumn("wanted", F.explode(n))
+    return cuts.select("wanted", F.coalesce((F.col(score) + F.col("lower")) / 2, F.col(score)).cast("double").alias("threshold"), F.col("through").alias("alerts"))
+
+
+def choose_thresholds(curve: DataFrame, times: int = 10) -> DataFrame:
+    """(high, watch) of a matched curve: best F1 (then precision, then fewer alerts, then the higher threshold), and among thresholds no higher the one whose alerts come closest to ``times`` as many (the higher of equals)."""
+    best = F.struct("f1", "precision", -F.col("alerts"), "threshold")
+    high = curve.agg(F.max_by("threshold", best).alias("high"), F.max_by("alerts", best).alias("_n"))
+    rest = curve.join(F.broadcast(high)).where(F.col("threshold") <= F.col("high"))  # one row
+    return rest.groupBy("high").agg(F.min_by("threshold", F.struct(F.abs(F.col("alerts") - times * F.col("_n")), -F.col("threshold"))).alias("watch"))
+
+
 def share_later(matched: DataFrame, hours: float) -> DataFrame:
     """Share of caught failures whose lead is strictly longer than the reaction time."""
     return matched.select(F.explode("leads").alias("lead")).agg(F.avg((F.col("lead") > hours).cast("double")).alias("share"))

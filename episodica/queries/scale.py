@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from ..operators import areas
 from ..operators import episodes as E
 from ..operators import listing as Q
+from ..operators import metrics as M
 from ..operators import rollup as A
 from ..operators import summaries as S
 from ..plans import table_functions
 from .base import END, channels, journal, query, query_like, stamp, table, us
+from .decisions import SCORES, scores
 from .domain import shared_folder, spots
-from .journal import shown
+from .journal import rule_episodes, shown
 
 
 def rule_episodes_by_pieces(spark, sf):
@@ -132,3 +134,28 @@ def u2_section(spark, sf):
     journal(spark, sf).createOrReplaceTempView(view)
     table_functions.register_functions(spark, view)
     return spark.sql("SELECT journal_id, unix_micros(read_time) AS at, channel_id, value_text FROM section_rows(3, TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-12')")
+
+
+def alert_rows(spark, sf):
+    """Channel-days as alerts at the day's end, and the failures that they should foretell."""
+    rows = scores(spark, sf).select("channel_id", F.timestamp_add("DAY", F.lit(1), F.col("day").cast("timestamp")).alias("t"), "score")
+    return rows, rule_episodes(spark, sf).select("channel_id", F.col("started_at").alias("t"))
+
+
+@query("m15_matched_curve", f""", {SCORES},
+n AS (SELECT count(*) AS n FROM sc),
+w AS (SELECT DISTINCT floor(least(20, n) * pow(n / least(20, n), i / 59.0) + 1e-9)::BIGINT AS wanted FROM n, range(60) r(i) UNION SELECT n FROM n),
+g AS (SELECT score, count(*) AS c FROM sc GROUP BY 1), t AS (SELECT score, c, sum(c) OVER (ORDER BY score DESC) AS through FROM g),
+x AS (SELECT DISTINCT score, through FROM t JOIN w ON wanted <= through AND wanted > through - c),
+k AS (SELECT sc.score, EXISTS (SELECT 1 FROM ep WHERE ep.channel_id = sc.channel_id AND epoch_us(started_at) - epoch_us((day + 1)::TIMESTAMP) BETWEEN 1000000 AND 604800000000) AS near FROM sc)
+SELECT through::BIGINT AS alerts, (SELECT count(*) FROM k WHERE k.score >= x.score AND NOT near) AS fp, (SELECT count(*) FROM ep) AS failures FROM x""")
+def m15_matched(spark, sf):
+    """Alerts, false ones and failures at sixty numbers of alerts; what the matching takes is tested against matching anew."""
+    rows, failures = alert_rows(spark, sf)
+    return M.matched_curve(rows, failures).select("alerts", "fp", (F.col("tp") + F.col("fn")).alias("failures"))
+
+
+@query("m15_chosen_levels")
+def m15_chosen(spark, sf):
+    """High by best F1 of the matching, watch by ten times its alerts."""
+    return M.choose_thresholds(M.matched_curve(*alert_rows(spark, sf)))
