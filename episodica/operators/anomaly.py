@@ -125,6 +125,20 @@ def risk_zone(pof: Column, cof: Column, red: float = 12.0, yellow: float = 6.0)
     return F.when(pof * cof >= red, "red").when(pof * cof >= yellow, "yellow").otherwise("green")
 
 
+def risk_matrix(rows: DataFrame, pof: str = "pof", cof: str = "cof", base_months: float = 36, min_months: float = 1, max_months: float = 60) -> DataFrame:
+    """Add ``risk`` (probability x consequence, 1 to 16), ``rank`` and ``zone`` by quarters of its range, and ``inspect_months``.
+
+    The interval is the base over the risk, to a tenth of a month (halves to the even digit), within its bounds; null or
+    zero risk has none.
+    """
+    risk = F.col(pof) * F.col(cof)
+    rank = F.when(F.col("risk") > 12, 4).when(F.col("risk") > 8, 3).when(F.col("risk") > 4, 2).when(F.col("risk").isNotNull(), 1)
+    months = F.greatest(F.lit(float(min_months)), F.least(F.lit(float(max_months)), F.bround(F.lit(float(base_months)) / F.nullif(F.col("risk"), F.lit(0.0)), 1)))
+    out = rows.withColumn("risk", risk.cast("double")).withColumn("rank", rank)
+    zones = F.array(*map(F.lit, ("green", "yellow", "orange", "red")))
+    return out.withColumn("zone", F.get(zones, F.col("rank") - 1)).withColumn("inspect_months", F.when(F.col("risk") != 0, months))
+
+
 def group_scoring(marks: DataFrame, by: list[str]) -> DataFrame:
     """Sum of priority x significance x mark, its ceiling, coverage rounded up to 0.01 and the failed mandatory criteria."""
     weight = F.col("priority") * F.col("significance")

@@ -92,6 +92,24 @@ def order_counts(warnings: DataFrame, orders: DataFrame, top: int) -> DataFrame:
     return out.where((F.col("orders") < 1) | (F.col("orders") > top))
 
 
+def works_not_one(orders: DataFrame, works: DataFrame, key: str = "source_key") -> DataFrame:
+    """Orders whose number of works is not exactly one: (key, works); one without any was put in, but never given out."""
+    n = works.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("works"))
+    out = orders.select(key).join(n, key, "left").withColumn("works", F.coalesce("works", F.lit(0)))
+    return out.where(F.col("works") != 1)
+
+
+def collectors_without_order(warnings: DataFrame, bridge: DataFrame, orders: DataFrame) -> DataFrame:
+    """Collectors under a warning (prefix, opened_at) without an order (collector, created_at) since it was opened.
+
+    ``bridge`` maps prefix to collector; a warning whose prefix it lacks stands under a null collector.  Only the last
+    order of a collector counts, so each side is one row a key before they meet.
+    """
+    last = orders.groupBy("collector").agg(F.max("created_at").alias("_last"))
+    placed = warnings.join(bridge.select("prefix", "collector").distinct(), "prefix", "left").join(last, "collector", "left")
+    return placed.where(F.col("_last").isNull() | (F.col("_last") < F.col("opened_at"))).select("collector").distinct()
+
+
 def bad_transitions(log: DataFrame, allowed: DataFrame, key: str, time: str) -> DataFrame:
     """Status changes that the transition table does not hold; the first status of a key starts from null."""
     w = Window.partitionBy(key).orderBy(time)

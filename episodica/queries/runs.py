@@ -92,7 +92,8 @@ def r2(spark, sf):
     return out.select("channel_id", F.round("score_synth", 6).alias("score_synth"), "level_full")
 
 
-@query("r3_reasons")
+@query("r3_reasons", f""", {RECENCY} SELECT channel_id, 'last failure ' || printf('%.0f', hours) || ' h ago' AS text, score AS weight, 'real' AS kind FROM rs WHERE hours IS NOT NULL
+UNION ALL SELECT channel_id, 'planned work', 0.0, 'plan' FROM rs WHERE plan""")
 def r3(spark, sf):
     return recency(spark, sf).select("channel_id", F.explode("reasons").alias("r")).select("channel_id", "r.text", "r.weight", "r.kind")
 
@@ -140,7 +141,9 @@ def r11(spark, sf):
     return out.select("event_id", F.round("probability", 6).alias("probability"))
 
 
-@query("r12_top_factors")
+@query("r12_top_factors", """
+, w AS (SELECT channel_id, value_text AS text, round(value_num - 50, 3) AS weight FROM j), r AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY abs(weight) DESC, text, weight) AS place FROM w)
+SELECT channel_id, text, weight FROM r WHERE place <= 3""")
 def r12(spark, sf):
     f = F.array_sort(F.collect_list(F.struct(F.col("value_text").alias("text"), F.round(F.col("value_num") - 50, 3).alias("weight"), F.lit("x").alias("kind"))))
     return journal(spark, sf).groupBy("channel_id").agg(f.alias("f")).select("channel_id", F.explode(R.top_factors(F.col("f"), 3)).alias("t")).select("channel_id", "t.text", "t.weight")

@@ -6,10 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import anomaly as N
 from ..operators import areas
 from ..operators import episodes as E
 from ..operators import listing as Q
 from ..operators import metrics as M
+from ..operators import quality as D
+from ..operators import reliability as B
+from ..operators import risk as R
 from ..operators import rollup as A
 from ..operators import summaries as S
 from ..plans import table_functions
@@ -159,3 +163,53 @@ def m15_matched(spark, sf):
 def m15_chosen(spark, sf):
     """High by best F1 of the matching, watch by ten times its alerts."""
     return M.choose_thresholds(M.matched_curve(*alert_rows(spark, sf)))
+
+
+@query("d15_works_not_one", "SELECT o_orderkey, count(l_orderkey) AS works FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' GROUP BY 1 HAVING count(l_orderkey) <> 1")
+def d15_works(spark, sf):
+    """Orders with other than one returned line, as works of an order."""
+    works = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("source_key"))
+    return D.works_not_one(table(spark, sf, "orders").select(F.col("o_orderkey").alias("source_key")), works).select(F.col("source_key").alias("o_orderkey"), "works")
+
+
+@query("d15_collectors_without_order", """
+, w AS (SELECT user_id % 40 AS prefix, max(ts) AS opened_at FROM events WHERE event_type = 'signup' GROUP BY 1), b AS (SELECT DISTINCT user_id % 40 AS prefix, user_id % 8 AS collector FROM events),
+o AS (SELECT user_id % 8 AS collector, max(ts) AS last FROM events WHERE event_type = 'purchase' AND user_id % 8 <> 3 GROUP BY 1)
+SELECT DISTINCT collector FROM w LEFT JOIN b USING (prefix) LEFT JOIN o USING (collector) WHERE last IS NULL OR last < opened_at""")
+def d15_collectors(spark, sf):
+    j = journal(spark, sf)
+    prefix, collector = (F.col("channel_id") % 40).alias("prefix"), (F.col("channel_id") % 8).alias("collector")
+    warnings = j.where("is_alarm").groupBy(prefix).agg(F.max("read_time").alias("opened_at"))
+    orders = j.where("value_text = 'purchase'").select(collector, F.col("read_time").alias("created_at")).where("collector <> 3")
+    return D.collectors_without_order(warnings, j.select(prefix, collector), orders)
+
+
+@query("r32_risk_matrix", """
+, x AS (SELECT p_partkey, 1 + p_partkey % 31 / 10.0 AS pof, 1 + p_partkey % 7 / 2.0 AS cof FROM part), r AS (SELECT *, (pof * cof)::DOUBLE AS risk FROM x)
+SELECT p_partkey, round(risk, 6) AS risk, CASE WHEN risk > 12 THEN 4 WHEN risk > 8 THEN 3 WHEN risk > 4 THEN 2 ELSE 1 END AS rank, CASE WHEN risk > 12 THEN 'red' WHEN risk > 8 THEN 'orange' WHEN risk > 4 THEN 'yellow' ELSE 'green' END AS zone,
+greatest(1.0, least(60.0, round_even(36 / risk, 1)))::DOUBLE AS inspect_months FROM r""")
+def r32_matrix(spark, sf):
+    parts = table(spark, sf, "part").select("p_partkey", (1 + F.col("p_partkey") % 31 / 10.0).alias("pof"), (1 + F.col("p_partkey") % 7 / 2.0).alias("cof"))
+    return N.risk_matrix(parts).select("p_partkey", F.round("risk", 6).alias("risk"), "rank", "zone", "inspect_months")
+
+
+@query("r28_explained", """
+, w AS (SELECT channel_id AS entity, value_text, value_num, CASE value_text WHEN 'view' THEN 'views' ELSE 'faults' END AS family, CASE value_text WHEN 'error' THEN 'faults' WHEN 'purchase' THEN 'losses' ELSE 'few views' END AS word
+        FROM j WHERE value_text IN ('error', 'purchase') AND value_num > 50 OR value_text = 'view' AND value_num < 50),
+b AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY entity, family ORDER BY abs(value_num - 50) DESC, value_text) = 1),
+t AS (SELECT entity, list(word ORDER BY abs(value_num - 50) DESC, value_text) AS words FROM b GROUP BY 1)
+SELECT e.entity, coalesce(array_to_string(words, '; '), 'no notable factor') AS words FROM (SELECT DISTINCT channel_id AS entity FROM j) e LEFT JOIN t USING (entity)""")
+def r28_explained(spark, sf):
+    """Which factors explain a channel, in order, without their numbers."""
+    f = F.collect_list(F.struct(F.col("value_text").alias("factor"), F.col("value_num").alias("value"), (F.col("value_num") - 50).alias("weight")))
+    rows = journal(spark, sf).groupBy(F.col("channel_id").alias("entity")).agg(f.alias("factors"))
+    families = spark.createDataFrame([("error", "faults", 1.0, "faults"), ("purchase", "faults", 1.0, "losses"), ("view", "views", -1.0, "few views")], "factor string, family string, danger double, template string")
+    return R.explain(rows, "factors", families).select("entity", F.array_join("texts", "; ").alias("words"))
+
+
+@query("b6_verdict_of_fits", """
+SELECT s_suppkey AS grp, CASE WHEN s_suppkey % 11 / 5.0 - 1 < 0 THEN 'chatter' WHEN s_suppkey % 23 / 10.0 < 0.9 THEN 'early' WHEN s_suppkey % 23 / 10.0 <= 1.1 THEN 'random' ELSE 'wear' END AS verdict,
+       s_suppkey % 11 / 5.0 - 1 >= 0.5 AND s_suppkey % 23 / 10.0 > 1.1 AS by_age FROM supplier""")
+def b6_given(spark, sf):
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("grp"), (F.col("s_suppkey") % 23 / 10.0).alias("beta"), (F.col("s_suppkey") % 11 / 5.0 - 1).alias("k"))
+    return B.life_verdict(s.select("grp", "beta"), s.select("grp", "k")).select("grp", "verdict", "by_age")

@@ -154,3 +154,26 @@ def test_weibull_by_newton_equals_plain(spark):
         eta = t.max() * (np.exp(b * logs).sum() / f.sum()) ** (1 / b)
         assert got[g].beta == pytest.approx(b, rel=1e-9) and got[g].eta == pytest.approx(eta, rel=1e-9) and (got[g].n, got[g].failures) == (len(t), f.sum())
     assert got["same"].beta == 20.0 and got["one"].beta is None and got["none"].eta is None and got["none"].failures == 0
+
+
+def test_orders_against_works_and_collectors(spark):
+    from episodica.operators import quality as D
+
+    orders = spark.createDataFrame([("w:1",), ("w:2",), ("w:3",), (None,)], "source_key string")
+    works = spark.createDataFrame([("w:1",), ("w:3",), ("w:3",), (None,), ("w:9",)], "source_key string")
+    assert {tuple(r) for r in D.works_not_one(orders, works).collect()} == {("w:2", 0), ("w:3", 2), (None, 0)}
+    at = lambda d: f"2024-01-{d:02d} 00:00:00"
+    stamped = lambda rows, c: spark.createDataFrame(rows, f"k string, t string").select(F.col("k").alias(c[0]), F.col("t").cast("timestamp").alias(c[1]))  # noqa: E731, F541
+    warnings = stamped([("p1", at(5)), ("p2", at(5)), ("p3", at(5)), ("p4", at(5)), ("lost", at(5))], ("prefix", "opened_at"))
+    bridge = spark.createDataFrame([("p1", "a"), ("p1", "a"), ("p2", "b"), ("p3", "c"), ("p4", "d")], "prefix string, collector string")
+    made = stamped([("a", at(1)), ("a", at(5)), ("b", at(4)), ("d", at(9))], ("collector", "created_at"))
+    assert {r.collector for r in D.collectors_without_order(warnings, bridge, made).collect()} == {"b", "c", None}
+
+
+def test_risk_matrix(spark):
+    from episodica.operators import anomaly as N
+
+    rows = spark.createDataFrame([(1.0, 1.0), (4.0, 4.0), (2.0, 2.0), (3.0, 3.0), (4.0, 2.0), (None, 2.0), (0.0, 1.0), (0.5, 0.5)], "pof double, cof double")
+    got = [(r.risk, r["rank"], r.zone, r.inspect_months) for r in N.risk_matrix(rows).collect()]
+    # 36 / 16 = 2.25: halves go to the even digit
+    assert got == [(1.0, 1, "green", 36.0), (16.0, 4, "red", 2.2), (4.0, 1, "green", 9.0), (9.0, 3, "orange", 4.0), (8.0, 2, "yellow", 4.5), (None, None, None, None), (0.0, 1, "green", None), (0.25, 1, "green", 60.0)]
