@@ -49,8 +49,10 @@ def episodes_by_pieces(
     rows = rows.withColumns({"_next": F.lead(F.struct(F.col(time).alias("at"), F.col(value).alias("value"))).over(w), "_place": F.row_number().over(w)} | {f"_s_{n}": F.col(f"_b_{n}") & ~F.coalesce(F.lag(f"_b_{n}").over(w), F.lit(False)) for n in names})
 
     at = F.struct(time, row_id)
-    flags = [F.min_by(f"_b_{n}", at).alias(f"_head_{n}") for n in names] + [F.max_by(f"_b_{n}", at).alias(f"_tail_{n}") for n in names]
-    sums = rows.groupBy(channel, "_piece").agg(F.min_by(F.struct(F.col(time).alias("at"), F.col(value).alias("value")), at).alias("_first"), *flags)
+    # a piece's first and last row say all that its neighbours ask
+    head, tail = F.col("_place") == 1, F.col("_next").isNull()
+    flags = [F.bool_or(head & F.col(f"_b_{n}")).alias(f"_head_{n}") for n in names] + [F.bool_or(tail & F.col(f"_b_{n}")).alias(f"_tail_{n}") for n in names]
+    sums = rows.where(head | tail).groupBy(channel, "_piece").agg(F.max(F.when(head, F.struct(F.col(time).alias("at"), F.col(value).alias("value")))).alias("_first"), *flags)
     beside = Window.partitionBy(channel).orderBy("_piece")
     sums = sums.select(
         F.col(channel).alias("_c"), F.col("_piece").alias("_p"), F.lead("_first").over(beside).alias("_after"),
