@@ -55,7 +55,7 @@ def test_urls(spark, url, host, path, rule, verdict):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_its_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got, want = queries.queries()[name](spark, sf).toPandas(), con.execute(queries.oracle_sql()[name]).df()
     key = lambda df: sorted(tuple("" if x is None or x != x else round(float(x), 5) if not isinstance(x, str) else x for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
