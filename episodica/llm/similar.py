@@ -6,9 +6,11 @@ Besides the pairs that fingerprints propose, a set of five-word shingles gets ``
 minima each; a pair of similarity s shares a key with probability 1 - (1 - s^ROWS)^BANDS, 0.99994 at 0.8 and
 more above.  Every proposed pair is verified by its exact similarity before it links.
 
-Buckets are not squared.  Equal sets are collapsed first.  A bucket's members are held against its smallest
-one, and what this links is one component; then only pairs of different components are left open, and each of
-those has an end outside the bucket's largest component.  Components are those of all verified pairs.
+Equal sets are collapsed first.  A bucket's members are held against its smallest one, and what this links is one
+component; then only pairs of different components are left open, and each of those has an end outside the bucket's
+largest component.  Components are those of all verified pairs.  Known limit: members of a bucket that resemble each
+other below the similarity (pages of one site template at 0.7) stay apart, so such a bucket is joined with itself and
+its pairs grow with the square of its size.
 """
 
 from __future__ import annotations
