@@ -1,14 +1,15 @@
 """Rows that share an id, clashing columns, empty tables, and plain Python references of the models and windows."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from episodica.llm import decontam, langid, quality, toxicity
-from episodica.llm.decontam import find_leaks, template
+from episodica.llm import langid, quality, toxicity
+from episodica.llm.decontam import find_leaks
 from episodica.llm.mixing import mix_sources
 from episodica.llm.urls import CUT, Automaton, Rule
 
@@ -32,78 +33,151 @@ def test_slot_dense_items(spark, text, held):
     assert (r["items"], r.contaminated) == (([5], True) if held else ([], False))
 
 
-def plain_windows(tokens, view):
-    """(position, template, slots) of each window of a token list, by the definition."""
-    out = []
-    for s in range(len(tokens)):
-        for e in range(s + decontam.WINDOW, min(len(tokens), s + (decontam.STRETCH if view else decontam.WINDOW)) + 1):
-            form = tuple(t[view] for t in tokens[s:e])
-            literal = [t[view] == t[0] for t in tokens[s:e]]
-            if not view or sum(literal) >= decontam.LITERALS:
-                out.append((s, form, tuple("" if x else t[0] for x, t in zip(literal, tokens[s:e]))))
-                break
+def plain_places(text, small, view):
+    """(form, value) of each place of a text: tokens by regular expressions, runs of numbers or names as one."""
+    out, opens = [], True
+    for token in (text or "").split():
+        core = re.sub(r"^[\W_]+|[\W_]+$", "", token)
+        if not core:
+            continue
+        low, form = core.lower(), core.lower()
+        if view and (re.search(r"\d", low) or low in ("two", "seven", "twelve", "twenty-one")):
+            form = "<num>"
+        elif view and low in ("kg", "km", "hours"):
+            form = "<unit>"
+        elif view == 2 and (low not in small or not opens and re.fullmatch(r"[A-Z]([a-z].*)?", core)):
+            form = "<name>"
+        opens = bool(re.search(r"[.!?:]$", token))
+        if out and form in ("<num>", "<name>") and out[-1][0] == form:
+            out[-1] = (form, out[-1][1] + " " + low)
+        else:
+            out.append((form, low))
     return out
 
 
-def plain_holds(text, item, least=0.8):
-    split = lambda t: [x for x in map(template, (t or "").split()) if x]
-    doc, own = split(text), split(item)
-    if not own:
-        return False
-    if len(own) < decontam.WINDOW:
-        return any([t[0] for t in doc[i : i + len(own)]] == [t[0] for t in own] for i in range(len(doc)))
-    starts = len(own) - decontam.WINDOW + 1
+def plain_windows(places, slotted):
+    """position -> forms of the window that starts there."""
+    found = {}
+    for s in range(len(places) - 4):
+        forms = [f for f, _ in places[s:]]
+        ends = [e for e in range(5, len(forms) + 1) if not slotted or sum(f[0] != "<" for f in forms[:e]) >= 2]
+        if ends:
+            found[s] = tuple(forms[: ends[0]])
+    return found
+
+
+def plain_holds(text, item, small, least=0.8):
     for view in range(3):
+        own, doc = plain_places(item, small, view), plain_places(text, small, view)
+        if view == 0 and 0 < len(own) < 5:
+            return any(doc[i : i + len(own)] == own for i in range(len(doc)))
         mine, theirs = plain_windows(own, view), plain_windows(doc, view)
+        if not mine:
+            continue
         if view == 0:
-            forms = {f for _, f, _ in mine}
-            if len(forms & {f for _, f, _ in theirs}) >= least * len(forms):
+            if len(set(mine.values()) & set(theirs.values())) >= least * len(set(mine.values())):
                 return True
             continue
-        if 2 * len(mine) < starts:
-            continue
-        shifts = {}
-        for s, form, slots in mine:
-            for t, other, values in theirs:
-                if form == other:
-                    shifts.setdefault(t - s, []).append((s, slots, values))
-        covered = set()
-        for hits in shifts.values():
-            meant = {}
-            for _, slots, values in hits:
-                for a, b in zip(slots, values):
-                    if a:
-                        meant.setdefault(a, set()).add(b)
-            if all(len(v) == 1 for v in meant.values()):
-                covered |= {s for s, _, _ in hits}
-        if len(covered) >= least * len(mine):
+        shifts, sound = {}, set()
+        for s, form in mine.items():
+            for t in [t for t, other in theirs.items() if other == form]:
+                shifts.setdefault(t - s, []).append(s)
+        for shift, places in shifts.items():
+            said = {}
+            for s in places:
+                for u in range(s, s + 5):
+                    form, value = own[u]
+                    if form[0] == "<":
+                        slot = (form, value, own[u + 1][1] if form == "<num>" and u + 1 < len(own) else None)
+                        said.setdefault(slot, []).append((s, doc[u + shift][1]))
+            usual = {k: max(Counter(x for _, x in v).items(), key=lambda kv: (kv[1], kv[0]))[0] for k, v in said.items()}
+            if any(k[0] == "<name>" and not set(x.split()) & set(usual[k].split()) for k, v in said.items() for _, x in v):
+                continue
+            sound |= set(places) - {s for k, v in said.items() if k[0] != "<name>" for s, x in v if x != usual[k]}
+        if len(sound) >= least * (len(own) - 4):
             return True
     return False
 
 
+def small_words(items):
+    cores = {re.sub(r"^[\W_]+|[\W_]+$", "", x) for i in items for x in (i or "").split()}
+    return {c.lower() for c in cores if c and not re.fullmatch(r"[A-Z]([a-z].*)?", c)}
+
+
 def test_all_readings_equal_brute_force(spark):
     rng = random.Random(8)
-    names, words, units = ["Ann", "Bob", "Cal", "Dora", "Eve"], ["has", "and", "walks", "buys", "old", "red", "to"], ["kg", "km", "hours"]
+    names, words, units = ["Ann", "Bob", "Cal", "Dora", "Eve", "Will"], ["has", "and", "walks", "buys", "old", "red", "to", "will", "the"], ["kg", "km", "hours"]
 
     def piece(n):
-        return " ".join(rng.choice([rng.choice(names), str(rng.randrange(9)), rng.choice(units), rng.choice(words), rng.choice(words)]) for _ in range(n))
+        return " ".join(rng.choice([rng.choice(names), str(rng.randrange(9)), rng.choice(units), rng.choice(words), rng.choice(words) + rng.choice(["", "", "."])]) for _ in range(n))
 
     items = [piece(rng.randrange(2, 30)) for _ in range(25)] + [None, "", "7 8 9 1 2 3 4", "Ann Bob Cal Dora Eve Ann Bob"]
     texts = [None, "", "3 4 5 6 7 8 9", "has " * 300]
     for item in [i for i in items if i]:
         for _ in range(4):
-            new = item.split()
-            mapping = {x: rng.choice(names) if x in names else str(rng.randrange(10, 99)) if x.isdigit() else x for x in new}
-            changed = [mapping[x] for x in new]
-            if rng.random() < 0.4:
-                changed[rng.randrange(len(changed))] = rng.choice(words + names)
-            texts.append(piece(rng.randrange(5)) + " " + " ".join(changed) + " " + piece(rng.randrange(5)))
+            mapping = {x: rng.choice(names + ["Mary Ann"]) if x in names else rng.choice(["1 200", "seven", "31"]) if x.isdigit() else x for x in item.split()}
+            changed = [mapping[x] for x in item.split()]
+            if rng.random() < 0.5:
+                changed[rng.randrange(len(changed))] = rng.choice(words + names + ["9"])
+            changed = " ".join(changed)
+            texts.append(piece(rng.randrange(5)) + " " + (changed.lower() if rng.random() < 0.3 else changed) + " " + piece(rng.randrange(5)))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
-    want = {i: [k for k, item in enumerate(items) if plain_holds(t, item)] for i, t in enumerate(texts)}
+    small = small_words(items)
+    want = {i: [k for k, item in enumerate(items) if plain_holds(t, item, small)] for i, t in enumerate(texts)}
     assert {r.doc_id: r["items"] for r in find_leaks(docs, bench).collect()} == want and sum(map(bool, want.values())) > 40
 
 
+QUESTION = "Anton buys 3 pens, 3 books and 3 coins from the shop near the old bridge. Then Anton sells 12 of them to the teacher for 40 cents. How many things does Anton keep?"
+
+
+@pytest.mark.parametrize("text,held", [
+    (QUESTION.replace("Anton", "Mary Ann"), True), (QUESTION.replace("12", "1 200").replace("40", "seven"), True), (QUESTION.replace("Anton", "Mary").lower(), True),
+    (QUESTION.replace("3 pens", "5 pens").replace("3 books", "8 books").replace("3 coins", "2 coins"), True),
+    (QUESTION.replace("12", "15").replace("Anton", "Mary", 1).replace("Anton", "Bob", 1).replace("Anton", "Cal", 1).replace("3", "4").replace("40", "50"), False),
+    (QUESTION.replace("buys", "paints").replace("sells", "shows").replace("shop", "river").replace("keep", "lose"), False),
+])
+def test_reparameterised_questions(spark, text, held):
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(5, QUESTION), (6, "A train leaves Paris at 5 and the driver counts all of the people in it.")], "item_id bigint, text string")
+    assert find_leaks(docs, bench).first()["items"] == ([5] if held else [])
+
+
+STEMS = [
+    "{a} has {x} apples and gives {y} of them to {b}. Later {b} buys {z} more at the market. How many apples does {b} have now?",
+    "A train leaves {p} at {x} in the morning and reaches {q} after {y} hours. How fast does the train go if {p} and {q} are {z} km apart?",
+    "{a} reads {x} pages of a book every day for {y} days. The book has {z} pages. How many pages are left for {a} to read?",
+    "In the garden of {a} there are {x} red flowers and {y} white flowers. If {b} takes {z} flowers away, how many flowers can {a} still count?",
+    "{a} and {b} share a cake that weighs {x} kg. {a} eats {y} percent of it and then {b} eats {z} percent of the rest. How much cake is left?",
+    "A shop in {p} sells {x} chairs for {y} dollars each. What does {a} pay for {z} chairs if the owner takes ten percent off the price?",
+]
+
+
+def questions(rng, n):
+    """(item, the same stem with other names and numbers in other forms, a question that differs in a third of its words)."""
+    people, other, places = ["Anton", "Berta", "Carl", "Dora"], ["Mary Ann", "Jose Maria Lopez", "Kim", "Oleg", "Priya"], ["Leeds", "York", "Bonn", "New Delhi", "Sao Paulo", "Kiel"]
+    for _ in range(n):
+        stem = rng.choice(STEMS)
+        (a, b), (c, d), (p, q, r, s) = rng.sample(people, 2), rng.sample(other, 2), rng.sample(places, 4)
+        numbers = lambda: [rng.choice([str(rng.randrange(2, 99)), f"{rng.randrange(1, 9)} {rng.randrange(100, 999)}", rng.choice(["seven", "twelve", "twenty-one"])]) for _ in range(3)]
+        x, y = dict(zip("xyz", numbers())), dict(zip("xyz", numbers()))
+        new = stem.format(a=c, b=d, p=r, q=s, **y)
+        words = new.split()
+        for i in rng.sample(range(len(words)), len(words) // 3):
+            words[i] = "the" if words[i] != "the" else "and"
+        yield stem.format(a=a, b=b, p=p, q=q, **x), new.lower() if rng.random() < 0.3 else new, " ".join(words)
+
+
+def test_recall_of_generated_questions(spark):
+    made = list(questions(random.Random(3), 300))
+    bench = spark.createDataFrame([(i, m[0]) for i, m in enumerate(made)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(k * 1000 + i, "Some words before it. " + m[k] + " And some after it.") for i, m in enumerate(made) for k in (1, 2)], "doc_id bigint, text string")
+    got = {r.doc_id: r["items"] for r in find_leaks(docs, bench).collect()}
+    found, wrong = sum(i in got[1000 + i] for i in range(300)), sum(i in got[2000 + i] for i in range(300))
+    print("found", found, "wrong", wrong)
+    assert found >= 270 and wrong == 0
+
+
 def test_long_runs_of_numbers_are_read(spark):
     docs = spark.createDataFrame([(1, "7 " * 60_000 + DENSE), (2, "Ann " * 60_000)], "doc_id bigint, text string")
     bench = spark.createDataFrame([(5, DENSE), (6, "3 " * 500 + "of all words here")], "item_id bigint, text string")
