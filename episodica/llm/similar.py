@@ -8,19 +8,22 @@ more above.  Every proposed pair is verified by its exact similarity before it l
 
 Equal sets are collapsed first.  A bucket's members are held against its smallest one, and what this links is one
 component; then only pairs of different components are left open, and each of those has an end outside the bucket's
-largest component.  Components are those of all verified pairs.  Known limit: members of a bucket that resemble each
-other below the similarity (pages of one site template at 0.7) stay apart, so such a bucket is joined with itself and
-its pairs grow with the square of its size.
+largest component.  Components are those of all verified pairs.  Where over ``FEW`` members of a bucket stay outside
+(pages of one site template resemble each other at 0.7), its members meet by prefixes instead: their shingles are put
+in order of how many of these sets hold them, and two sets as similar as asked share a shingle among the first ones
+of both.  Shingles of the template stand last in that order, so such pages meet only where they share more than
+the template.  Both ways lose no pair of the bucket.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty
@@ -30,6 +33,8 @@ from .shingles import SEED, majority_bits, shingle_hashes
 BANDS, ROWS = 32, 6
 #: Shingles whose minima are taken at once.
 CHUNK = 256
+#: Members outside a bucket's largest component that are held against all its members.
+FEW = 64
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -94,6 +99,36 @@ def _sets(width: int):
     return run
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: (node, set) -> (node, shingle), a row for each shingle."""
+    for b in batches:
+        for i, x in enumerate(b.column(1)):
+            found = pa.array(np.frombuffer(x.as_py(), np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), b.column(0)[i].as_py(), np.int64)), found], ["node", "shingle"])
+
+
+def prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, na, b, nb) of ``members`` (node, n, root) of different roots; every pair of that similarity is among them.
+
+    Two sets of sizes m <= n that similar share s*n shingles and 2s/(1+s)*m, so the least frequent one they share
+    stands among the first n - s*n + 1 of the greater and the first m - 2s/(1+s)*m + 1 of the smaller one.  Sizes are
+    compared by equality of their classes, each a factor s wide.
+    """
+    each = sets.join(members.select("node"), "node", "left_semi").select("node", "set").mapInArrow(_shingles, "node bigint, shingle bigint")
+    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
+    placed = each.join(often, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")))
+    placed = placed.where("often > 1").join(members, "node")
+
+    def first(share: float) -> DataFrame:
+        return placed.where(F.col("place") <= F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1)
+
+    width = F.floor(F.log("n") / -math.log(similarity))
+    small = first(2 * similarity / (1 + similarity)).select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), width.alias("width"))
+    great = first(similarity).select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.explode(F.array(width - 2, width - 1, width)).alias("width"))
+    ordered = F.struct("na", "a") < F.struct("nb", "b")
+    return small.join(great, ["shingle", "width"]).where(ordered & (F.col("ra") != F.col("rb"))).select("a", "na", "b", "nb").distinct()
+
+
 def _verified(similarity: float):
     """mapInArrow: (a, b, x, y) -> the pairs (a, b) whose sets x and y are similar."""
 
@@ -146,8 +181,13 @@ def similar_components(docs: DataFrame, id_col: str, text_col: str, width: int,
     most = shares.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("held", "root")).alias("most")).where("roots > 1").drop("roots")
     placed = cut(placed.join(most, "key"))
     few = placed.where("root <> most").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    wide = cut(few.groupBy("key").agg(F.count("*").alias("outside")).where(F.col("outside") > FEW).select("key"))
+    few = few.join(wide, "key", "left_anti")
     every = placed.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
     across = few.join(every, "key").where("ra <> rb")
-    across = links(across.select(*[F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("b", "a"), ("nb", "na"))]))
+    across = across.select(*[F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("b", "a"), ("nb", "na"))])
+    if not wide.isEmpty():
+        across = across.unionByName(prefix_pairs(placed.join(wide, "key", "left_semi").select("node", "n", "root").distinct(), sets, similarity))
+    across = links(across)
     member = cut(connected_components(stars.unionByName(across)))
     return rows.join(member, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("component"))
