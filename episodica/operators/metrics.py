@@ -149,18 +149,20 @@ def threshold_curve(scores: DataFrame, wanted: tuple[int, ...], score: str = "sc
     return out.withColumn("f1", f_beta(F.col("precision"), F.col("recall")))
 
 
-def alert_counts(n: int, steps: int = 60, least: int = 20, most: int = 400_000) -> tuple[int, ...]:
-    """Numbers of alerts, geometrically spaced from ``least`` to ``most`` or all rows."""
-    top = min(n, most)
+def alert_counts(n: int, steps: int = 60, least: int = 20, most: int | None = 400_000) -> tuple[int, ...]:
+    """Numbers of alerts, geometrically spaced from ``least`` to ``most`` or all rows; without ``most`` to all rows."""
+    top = n if most is None else min(n, most)
     if top < 1:
         return ()
     low = min(least, top)
     return tuple(sorted({int(low * (top / low) ** (i / (steps - 1)) + 1e-9) for i in range(steps)} | {top}))
 
 
-def matched_curve(scores: DataFrame, failures: DataFrame, *, key: str = "channel_id", time: str = "t", score: str = "score", low_seconds: float = 1, high_hours: float = 168, wanted: tuple[int, ...] | None = None) -> DataFrame:
+def matched_curve(scores: DataFrame, failures: DataFrame, *, key: str = "channel_id", time: str = "t", score: str = "score", low_seconds: float = 1, high_hours: float = 168, wanted: tuple[int, ...] | None = None, most: int | None = 400_000) -> DataFrame:
     """(threshold, alerts, tp, fn, fp, dup, precision, recall, f1) of alerts matched to failures, at thresholds for several numbers of alerts.
 
+    Without ``wanted`` the numbers are those of ``alert_counts``, up to ``most``; without that, up to all rows.
+
     A row is an alert at a threshold that its score reaches; matching is ``match_alerts``, each threshold for itself.
     Thresholds are few, so one pass over an object's rows in order does all of them: an alert that no failure has
     taken carries a bit for each threshold that still may use it, and a failure takes, from the latest alert back,
@@ -168,7 +170,7 @@ def matched_curve(scores: DataFrame, failures: DataFrame, *, key: str = "channel
     A task puts out sums, a row a threshold.  Ties of a score are never cut.
     """
     scored = scores.where(F.col(key).isNotNull() & F.col(time).isNotNull() & F.col(score).isNotNull())
-    wanted = alert_counts(scored.count()) if wanted is None else wanted
+    wanted = alert_counts(scored.count(), most=most) if wanted is None else wanted
     cuts = threshold_for_each(scored, wanted, score)
     levels = sorted({r["threshold"] for r in cuts.collect()}, reverse=True)  # as many as numbers wanted
     low, span = int(low_seconds * 1e6), int(high_hours * 3.6e9) - int(low_seconds * 1e6)
