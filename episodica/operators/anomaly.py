@@ -86,6 +86,7 @@ def fuse_signals(signals: DataFrame, weights: DataFrame, auto: float = 0.4, leas
     """The top class of each entity from its sources' class probabilities (entity, class, source, p), with its verdict.
 
     Mass of a class is the weighted sum over sources; the class of most mass is the top one, the first of equals.
+    Masses, and the limit of ``auto``, are compared at nine decimals, as the order of a sum shows beyond them.
     ``confidence`` is its mass, ``score`` its mass over the weight of the sources present (``coverage``),
     ``agreement`` the number of sources whose own best class it is, ``missing`` the sources without a signal.
     """
@@ -94,10 +95,10 @@ def fuse_signals(signals: DataFrame, weights: DataFrame, auto: float = 0.4, leas
     own = rows.groupBy("entity", "source").agg(F.max("weight").alias("weight"), F.min_by("class", F.struct(-F.col("p"), "class")).alias("best"))
     cover = own.groupBy("entity").agg(F.sum("weight").alias("coverage"), F.array_sort(F.collect_set("source")).alias("have"))
     mass = rows.groupBy("entity", "class").agg(F.sum(F.col("p") * F.col("weight")).alias("mass"))
-    top = mass.groupBy("entity").agg(F.min_by("class", F.struct(-F.col("mass"), "class")).alias("class"), F.max("mass").alias("confidence"))
+    top = mass.groupBy("entity").agg(F.min_by("class", F.struct(F.round(-F.col("mass"), 9), "class")).alias("class"), F.max("mass").alias("confidence"))
     agreed = own.join(top.select("entity", "class"), "entity").groupBy("entity").agg(F.count_if(F.col("best") == F.col("class")).alias("agreement"))
     out = top.join(cover, "entity").join(agreed, "entity").join(F.broadcast(sources))  # one row
-    verdict = F.when(F.col("confidence") < auto, "human_review").when(F.col("agreement") < least, "low_confidence").otherwise("auto")
+    verdict = F.when(F.round("confidence", 9) < auto, "human_review").when(F.col("agreement") < least, "low_confidence").otherwise("auto")
     return out.select("entity", "class", (F.col("confidence") / F.col("coverage")).alias("score"), "confidence", "agreement", "coverage", F.array_except("sources", "have").alias("missing"), verdict.alias("verdict"))
 
 

@@ -244,16 +244,20 @@ def r37(spark, sf):
 
 
 @query("r30_signal_fusion", """
-, s AS (SELECT l_suppkey::VARCHAR AS entity, l_returnflag AS class, 's' || l_linenumber AS source, 1.0::DOUBLE / min(l_linenumber) AS weight, round(avg(l_discount) * 10, 4) AS p FROM lineitem GROUP BY 1, 2, 3),
+, s AS (SELECT l_suppkey::VARCHAR AS entity, l_returnflag AS class, 's' || l_linenumber AS source, 1.0::DOUBLE / min(l_linenumber) AS weight,
+              (20 * (sum(l_discount::DECIMAL(18, 4)) * 10000)::BIGINT + count(l_discount)) // (2 * count(l_discount)) / 10000::DOUBLE AS p FROM lineitem GROUP BY 1, 2, 3),
 own AS (SELECT entity, source, max(weight) AS weight, arg_min(class, (-p, class)) AS best FROM s GROUP BY 1, 2),
 m AS (SELECT entity, class, sum(weight * p) AS mass FROM s GROUP BY 1, 2),
 t AS (SELECT entity, arg_min(class, (round(-mass, 9), class)) AS class, max(mass) AS confidence FROM m GROUP BY 1),
 o AS (SELECT t.entity, t.class, t.confidence, sum(own.weight) AS coverage, count(*) FILTER (own.best = t.class) AS agreement, 7 - count(*) AS n_missing FROM t JOIN own USING (entity) GROUP BY 1, 2, 3)
 SELECT entity, class, round(confidence / coverage, 6) AS score, round(confidence, 6) AS confidence, agreement, round(coverage, 6) AS coverage, n_missing,
-       CASE WHEN confidence < 1.2 THEN 'human_review' WHEN agreement < 3 THEN 'low_confidence' ELSE 'auto' END AS verdict FROM o""")
+       CASE WHEN round(confidence, 9) < 1.2 THEN 'human_review' WHEN agreement < 3 THEN 'low_confidence' ELSE 'auto' END AS verdict FROM o""")
 def r30(spark, sf):
+    """p is ten times the mean discount to four decimals, half up, from exact sums: averages of doubles end by the order of their rows."""
     n = F.col("l_linenumber")
-    s = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("entity"), F.col("l_returnflag").alias("class"), F.concat(F.lit("s"), n).alias("source")).agg(F.round(F.avg("l_discount") * 10, 4).cast("double").alias("p"))
+    s = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("entity"), F.col("l_returnflag").alias("class"), F.concat(F.lit("s"), n).alias("source"))
+    s = s.agg((F.sum(F.col("l_discount").cast("decimal(18,4)")) * 10_000).cast("long").alias("total"), F.count("l_discount").alias("rows"))
+    s = s.select("entity", "class", "source", (F.expr("(20 * total + `rows`) div (2 * `rows`)") / 10_000.0).alias("p"))
     w = table(spark, sf, "lineitem").select("l_linenumber").distinct().select(F.concat(F.lit("s"), n).alias("source"), (1.0 / n).alias("weight"))
     r = lambda c: F.round(c, 6).alias(c)
     return N.fuse_signals(s, w, auto=1.2, least=3).select("entity", "class", r("score"), r("confidence"), "agreement", r("coverage"), F.size("missing").cast("long").alias("n_missing"), "verdict")
