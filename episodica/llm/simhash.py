@@ -1,8 +1,8 @@
 """SimHash near-duplicates through deletion-variant signatures.
 
-A 64-bit fingerprint is cut into two 32-bit segments.  Fingerprints that differ in at most three bits
-agree in one segment up to one bit, so each fingerprint is indexed under both segments as they are and
-under each of their 32 one-wildcard variants; equal keys are joined and verified.
+A 64-bit fingerprint is cut into six blocks.  Fingerprints that differ in at most three bits agree in three
+blocks at least, so each fingerprint is indexed under its twenty choices of three blocks (the variants that
+delete the other three); equal keys are joined and verified.
 
 Buckets are not expanded blindly.  Exact copies share a fingerprint and are collapsed before indexing.
 A bucket of at most ``light`` fingerprints is joined pair by pair.  The rows of a larger one meet at
@@ -18,6 +18,7 @@ minhash bands propose the rest (see ``similar``; figures in the README).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -46,56 +47,42 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprint_batches(width), f"doc_id {kind}, fp bigint")
 
 
-SEGMENT = 32
+#: A fingerprint's 64 bits in six blocks; a key leaves three of them out.
+BLOCKS = [(1 << width) - 1 << start for start, width in ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))]
+#: The bits that each of the twenty keys keeps.
+KEPT = [x | y | z for x, y, z in combinations(BLOCKS, 3)]
 #: Fingerprints that one task spreads into index rows.
 TASK_ROWS = 8192
-KEY = ["part", "wild", "key"]
+KEY = ["part", "key"]
 
 
-def _segments() -> list:
-    return [F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.call_function("shiftrightunsigned", F.col("fp"), F.lit(SEGMENT))]
+def _long(mask: int) -> str:
+    return f"{mask - (1 << 64) if mask >> 63 else mask}L".replace("-9223372036854775808L", "(-9223372036854775807L - 1L)")
 
 
-def _bit(value, i):
-    return F.call_function("shiftright", value, i).bitwiseAND(F.lit(1)).cast("int")
-
-
-def _variants(value):
-    """Index entries of one segment: its value (wild -1), and each one-wildcard variant with the bit left out as side."""
-    wild = F.transform(
-        F.sequence(F.lit(0), F.lit(SEGMENT - 1)),
-        lambda i: F.struct(
-            i.alias("wild"),
-            value.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), i))).alias("key"),
-            _bit(value, i).alias("side"),
-        ),
-    )
-    return F.concat(F.array(F.struct(F.lit(-1).alias("wild"), value.alias("key"), F.lit(0).alias("side"))), wild)
+def _array(values) -> str:
+    """SQL text of an array, for hundreds of column objects take the driver many seconds."""
+    return "array(" + ", ".join(values) + ")"
 
 
 def _index(distinct: DataFrame) -> DataFrame:
-    """66 rows a fingerprint: two segments, each as it is and under 32 wildcards."""
+    """20 rows a fingerprint: what three of its six blocks hold."""
     # fingerprints are few bytes and come in few partitions; their index rows are many
     distinct = distinct.repartition(max(8, -(-distinct.count() // TASK_ROWS)), "fp")
-    rows = distinct.select("fp", F.posexplode(F.array(*_segments())).alias("part", "value"))
-    return rows.select("fp", "part", F.explode(_variants(F.col("value"))).alias("k")).select("fp", "part", "k.*")
+    return distinct.select("fp", F.posexplode(F.expr(_array(f"fp & {_long(m)}" for m in KEPT))).alias("part", "key"))
 
 
 def _midpoints(rows: DataFrame) -> DataFrame:
-    """Star links of crowded buckets, over the segment that the bucket leaves open.
+    """Star links of crowded buckets, over the blocks that the bucket leaves open.
 
-    In a bucket of equal segments the rest may differ in three bits: radius one meets radius two.  Across
-    a wildcard, where one bit differs already, it may differ in two: radius one meets radius one.  Whoever
-    meets a radius-one value at a midpoint is within three bits of it, so every link here is a true one.
+    In a bucket the open bits may differ in three: radius one meets radius two.  Whoever meets a radius-one value at
+    a midpoint is within three bits of it, so every link here is a true one.
     """
-    one = [0] + [1 << i for i in range(SEGMENT)]
-    two = [(1 << i) | (1 << j) for i in range(SEGMENT) for j in range(i + 1, SEGMENT)]
-    # as SQL text, for hundreds of column objects take the driver many seconds
-    near, far = (F.expr("array(" + ", ".join(f"named_struct('m', {m}L, 'r', {r})" for m in masks) + ")") for r, masks in ((1, one), (2, two)))
-    low, high = _segments()
-    rest = F.when(F.col("part") == 0, high).otherwise(low)
-    spread = rows.select(*KEY, "fp", rest.alias("rest"), F.explode(F.when(F.col("wild") < 0, F.concat(near, far)).otherwise(near)).alias("f"))
-    met = spread.select(*KEY, "fp", F.col("rest").bitwiseXOR(F.col("f.m")).alias("z"), F.col("f.r").alias("r"))
+    open_bits = F.expr(_array(_array(_long(1 << i) for i in range(64) if not m >> i & 1) for m in KEPT))
+    marked = rows.select(*KEY, "fp", F.get(open_bits, F.col("part")).alias("bits"))
+    ball = F.expr("""concat(array(named_struct('m', 0L, 'r', 1)), transform(bits, x -> named_struct('m', x, 'r', 1)),
+        flatten(transform(bits, (x, i) -> transform(slice(bits, 1, i), y -> named_struct('m', x | y, 'r', 2)))))""")
+    met = marked.select(*KEY, "fp", F.explode(ball).alias("f")).select(*KEY, "fp", F.col("fp").bitwiseXOR(F.col("f.m")).alias("z"), F.col("f.r").alias("r"))
     hubs = met.groupBy(*KEY, "z").agg(F.min(F.when(F.col("r") == 1, F.col("fp"))).alias("hub"), F.count("*").alias("n"))
     return met.join(hubs.where("hub is not null and n > 1"), [*KEY, "z"]).where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
 
@@ -107,17 +94,14 @@ def near_links(distinct: DataFrame, light: int = 256) -> DataFrame:
     connectivity.  The choice is one of cost alone.
     """
     index = _index(distinct)
-    sizes = index.groupBy(*KEY).agg(F.count("*").alias("n"), F.sum("side").alias("n1"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-    # only buckets that can hold a new link: two equal segments, or both sides of a wildcard
-    sizes = cut(sizes.where("n > 1 and (wild < 0 or (n1 > 0 and n1 < n))"))
+    sizes = index.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+    sizes = cut(sizes.where("n > 1"))  # only these can hold a link
     twos = sizes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    rows = cut(index.join(sizes.where("n > 2").select(*KEY, "n"), KEY).select(*KEY, "fp", "side", "n"))
+    rows = cut(index.join(sizes.where("n > 2").select(*KEY, "n"), KEY).select(*KEY, "fp", "n"))
     small = rows.where(F.col("n") <= light)
-    left = small.select(*KEY, F.col("fp").alias("a"), F.col("side").alias("sa"))
-    right = small.select(*KEY, F.col("fp").alias("b"), F.col("side").alias("sb"))
-    pairs = left.join(right, KEY).where("(wild < 0 and a < b) or (wild >= 0 and sa < sb)")
-    checked = twos.unionByName(pairs.select("a", "b")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3)
-    return checked.unionByName(_midpoints(rows.where(F.col("n") > light)))
+    pairs = small.select(*KEY, F.col("fp").alias("a")).join(small.select(*KEY, F.col("fp").alias("b")), KEY).where("a < b")
+    found = twos.unionByName(pairs.select("a", "b")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3)
+    return found.select("a", "b").distinct().unionByName(_midpoints(rows.where(F.col("n") > light)))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, light: int = 256) -> DataFrame:
