@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,22 +44,34 @@ def inside(lon: Column, lat: Column, ring: Column) -> Column:
     return F.aggregate(edges, F.lit(False), lambda s, e: s != crosses(e))
 
 
-def snap(points: DataFrame, objects: DataFrame, radius_m: float, key: str = "point_id") -> DataFrame:
-    """Nearest object in service within the radius of each point.
+def snap(points: DataFrame, objects: DataFrame, radius_m: float, key: str = "point_id", crowd: int = 16) -> DataFrame:
+    """Nearest object in service within the radius of each point, the smallest id of equals.
 
-    Space is cut into cells no smaller than the radius; an object is laid into its 3 x 3 cells and the join is
-    on the cell.  Longitude cells widen with latitude, up to 80 degrees.
+    Points of one place are asked once, objects of one place are its smallest id.  Space is cut into cells no smaller
+    than a step; an object is laid into its 3 x 3 cells and the join is on the cell, so every object within the step
+    is met.  Steps double from one at which a cell holds some ``crowd`` places up to the radius, and a place that has
+    found its object within a step is not asked again.  Longitude cells widen with latitude, up to 80 degrees.
     """
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    cells = lambda lon, lat, s: (F.floor(F.col(lon) / (s / 0.1736)), F.floor(F.col(lat) / s))  # noqa: E731  cos 80
+    spots = objects.where("in_service and lon is not null and lat is not null").groupBy(F.col("lon").alias("olon"), F.col("lat").alias("olat")).agg(F.min("object_id").alias("object_id"))
     step = radius_m / 111_195.0
-    wide = step / 0.1736  # cos 80
-    cell = lambda c, s: F.floor(F.col(c) / s)
-    spots = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    laid = objects.where("in_service").select("object_id", F.col("lon").alias("olon"), F.col("lat").alias("olat"), spots.alias("s"))
-    laid = laid.select("object_id", "olon", "olat", (F.floor(F.col("olon") / wide) + F.col("s.i")).alias("cx"), (F.floor(F.col("olat") / step) + F.col("s.j")).alias("cy"))
-    met = points.withColumns({"cx": cell("lon", wide), "cy": cell("lat", step)}).join(laid, ["cx", "cy"])
-    met = met.withColumn("metres", haversine(F.col("lon"), F.col("lat"), F.col("olon"), F.col("olat"))).where(F.col("metres") <= radius_m)
-    best = met.groupBy(key).agg(F.min_by("object_id", F.struct("metres", "object_id")).alias("object_id"), F.min("metres").alias("metres"))
-    return points.join(best, key, "left")
+    held = spots.groupBy(*cells("olon", "olat", step)).count().agg(F.max("count")).first()[0] or 0
+    halvings = min(20, max(0, math.ceil(math.log(max(held, 1) / crowd, 4))))
+    asked = points.select("lon", "lat").where("lon is not null and lat is not null").distinct().withColumn("found", F.lit(None).cast("struct<metres:double,object_id:" + dict(spots.dtypes)["object_id"] + ">"))
+    for k in reversed(range(halvings + 1)):
+        part, reach = step / 2**k, radius_m / 2**k
+        cx, cy = cells("olon", "olat", part)
+        laid = spots.select("*", cx.alias("x"), cy.alias("y"), around.alias("s")).select("olon", "olat", "object_id", (F.col("x") + F.col("s.i")).alias("cx"), (F.col("y") + F.col("s.j")).alias("cy"))
+        cx, cy = cells("lon", "lat", part)
+        # places that are settled go on under keys of their own, which no cell has
+        done, apart = F.col("found").isNotNull(), F.xxhash64("lon", "lat")
+        now = asked.select("*", F.when(done, apart).otherwise(cx).alias("cx"), F.when(done, F.lit(2**62)).otherwise(cy).alias("cy")).join(laid, ["cx", "cy"], "left")
+        metres = haversine(F.col("lon"), F.col("lat"), F.col("olon"), F.col("olat"))
+        met = F.when(metres <= reach, F.struct(metres.alias("metres"), F.col("object_id").alias("object_id")))
+        asked = now.groupBy("lon", "lat").agg(F.min(F.coalesce("found", met)).alias("found"))
+    best = asked.where("found is not null").select("lon", "lat", F.col("found.object_id").alias("object_id"), F.col("found.metres").alias("metres"))
+    return points.join(best, ["lon", "lat"], "left").select(*points.columns, "object_id", "metres")
 
 
 def area_summary(objects: DataFrame, ring: Column) -> DataFrame:
