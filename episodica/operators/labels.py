@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.running import running
 from ..functions.scalar import hash_uniform, seconds
 
 
@@ -40,13 +41,25 @@ def horizon_labels(moments_: DataFrame, events: DataFrame, key: str, event_time:
     return stacked.withColumn("label", F.coalesce(F.max("_event").over(w), F.lit(0))).where("_event is null").drop("_event", "_us")
 
 
+def counts_at(pairs: DataFrame, events: DataFrame, key: str, event_time: str, days: dict[str, int]) -> DataFrame:
+    """(key, _t, counts) of distinct (key, _t in microseconds): events of the key in (_t - n days, _t], the running count at _t less that at _t - n days."""
+    spans = {name: int(n * 86400e6) for name, n in days.items()}
+    asked = pairs.select(key, "_t", F.explode(F.array(*[F.lit(x).cast("long") for x in sorted({0, *spans.values()})])).alias("_span")).withColumn("_us", F.col("_t") - F.col("_span"))
+    marks = events.where(F.col(key).isNotNull() & F.col(event_time).isNotNull()).select(key, F.unix_micros(F.col(event_time).cast("timestamp")).alias("_us"), F.lit(1).alias("_n"))
+    found = asked.join(running(asked.select(key, "_us").distinct(), marks, key, ("_n",)), [key, "_us"])
+    at = lambda span: F.max(F.when(F.col("_span") == span, F.col("_n")))
+    return found.groupBy(key, "_t").agg(*[(at(0) - at(x)).alias(name) for name, x in spans.items()])
+
+
+def _pairs(rows: DataFrame, key: str) -> DataFrame:
+    return rows.where(F.col(key).isNotNull() & F.col("_t").isNotNull()).select(key, "_t").distinct()
+
+
 def trailing_counts(rows: DataFrame, events: DataFrame, key: str, time: str, event_time: str, days: dict[str, int]) -> DataFrame:
-    """Events of the key in (t - n days, t] for each n, by stacked range frames; one shuffle."""
-    stacked = rows.withColumn("_us", F.unix_micros(F.col(time).cast("timestamp"))).withColumn("_event", F.lit(None).cast("int"))
-    stacked = stacked.unionByName(events.select(key, F.unix_micros(F.col(event_time).cast("timestamp")).alias("_us"), F.lit(1).alias("_event")), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_us")
-    counts = {name: F.coalesce(F.sum("_event").over(w.rangeBetween(-int(n * 86400e6) + 1, 0)), F.lit(0)) for name, n in days.items()}
-    return stacked.withColumns(counts).where("_event is null").drop("_event", "_us")
+    """Events of the key in (t - n days, t] for each n; each (key, t) is asked once, however many rows have it."""
+    known = rows.withColumn("_t", F.unix_micros(F.col(time).cast("timestamp")))
+    out = known.join(counts_at(_pairs(known, key), events, key, event_time, days), [key, "_t"], "left")
+    return out.select(*rows.columns, *[F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in days])
 
 
 def last_event_hours(rows: DataFrame, events: DataFrame, key: str, time: str, event_time: str, into: str = "hours") -> DataFrame:
@@ -64,20 +77,24 @@ def history_features(rows: DataFrame, failures: DataFrame, near: DataFrame, *, k
 
     ``near`` has (channel_id, picket, collector).
     """
-    out = last_event_hours(rows, failures, key, time, start, "_hours")
-    out = trailing_counts(out, failures, key, time, start, {"_n7": 7, "_n30": 30, "_n90": 90})
-    out = out.join(near, key, "left")
-    placed = failures.select(key, F.col(start)).join(near, key)
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    known = rows.withColumn("_t", at)
+    counts = counts_at(_pairs(known, key), failures, key, start, {"_n7": 7, "_n30": 30, "_n90": 90})
+    out = last_event_hours(rows, failures, key, time, start, "_hours").withColumn("_t", at).join(counts, [key, "_t"], "left").join(near, key, "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("_n7", "_n30", "_n90")})
     for group in ("picket", "collector"):
-        out = trailing_counts(out, placed.where(F.col(group).isNotNull()).select(group, start), group, time, start, {f"_{group}": 7})
-        out = out.withColumn(f"near_{group}_7d", F.when(F.col(group).isNull(), 0).otherwise(F.col(f"_{group}") - F.col("_n7"))).drop(f"_{group}")
+        # a neighbourhood is asked once for each moment, however many channels it has
+        there = near.select(key, group)
+        around = counts_at(_pairs(known.join(there, key), group), failures.select(key, start).join(there, key), group, start, {f"_{group}": 7})
+        out = out.join(around, [group, "_t"], "left")
+        out = out.withColumn(f"near_{group}_7d", F.when(F.col(group).isNull(), 0).otherwise(F.coalesce(f"_{group}", F.lit(0)) - F.col("_n7"))).drop(f"_{group}")
     days = F.col("_hours") / 24
     out = out.withColumns({
         "fresh": F.coalesce((F.col("_hours") < 24).cast("int"), F.lit(0)),
         "decay_1": F.coalesce(F.exp(-days), F.lit(0.0)), "decay_30": F.coalesce(F.exp(-days / 30), F.lit(0.0)),
         "log_7": F.log1p("_n7"), "log_30": F.log1p("_n30"), "log_90": F.log1p("_n90"),
     })
-    return out.drop("_hours", "_n7", "_n30", "_n90")
+    return out.drop("_t", "_hours", "_n7", "_n30", "_n90")
 
 
 def passport_features(rows: DataFrame, at: str, in_service: str, life_years: str, last_check: str, check_days: int) -> DataFrame:
