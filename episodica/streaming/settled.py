@@ -1,6 +1,7 @@
 """Keyed streams whose rows come late and out of order: rows wait in state until the watermark passes them.
 
-``Settled`` keeps a key's unsettled rows in a list state and one event-time timer.  Once the watermark has passed
+``Settled`` keeps unsettled rows in a list state and one event-time timer.  Keys share a state by ``BUCKETS`` of
+their hash, as every access to state is a call between Python and the JVM that costs far more than a key's rows.  Once the watermark has passed
 rows, no earlier ones can come, so they are handed on in order of (time, id); what a key must do although nothing
 comes (a heartbeat, an alert of silence, forgetting a dead key) is a deadline that stands in the same order.  Results
 so depend on the rows and the last watermark alone, not on how rows were cut into batches.
@@ -26,6 +27,10 @@ from .live import policy_step
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+#: Buckets of keys: a batch costs some calls for each of them that has rows or a due moment.
+BUCKETS = 1024
+
+
 class Settled(StatefulProcessor):
     """Base of processors over settled rows.  ``payload`` are (name, SQL type) of what a row carries besides time and id."""
 
@@ -34,14 +39,17 @@ class Settled(StatefulProcessor):
     #: SQL columns of the key's own state.
     kept: str = ""
 
+    #: SQL type of the key.
+    key: str = "string"
+
     def __init__(self, payload: list[tuple[str, str]]):
         self.payload = payload
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", ", ".join(["at_us bigint", "row_id bigint", *(f"{n} {k}" for n, k in self.payload)]))
+        self.waiting = handle.getListState("waiting", f"key {self.key}, at_us bigint, row_id bigint, " + ", ".join(f"{n} {k}" for n, k in self.payload))
+        self.states = handle.getListState("states", f"key {self.key}, {self.kept}")
         self.timer = handle.getValueState("timer", "at_ms bigint")
-        self.state = handle.getValueState("state", self.kept)
 
     # what a subclass says
 
@@ -59,24 +67,46 @@ class Settled(StatefulProcessor):
     # the machinery
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = ["at_us", "row_id", *(n for n, _ in self.payload)]
-        batch = pd.concat(list(rows))[names].astype(object)
-        # a column with a null comes as floats, which a bigint state would take for null
-        whole = {n for n, k in [("at_us", "bigint"), ("row_id", "bigint"), *self.payload] if k == "bigint"}
-        fresh = [tuple(None if pd.isna(v) else int(v) if n in whole else v for n, v in zip(names, r)) for r in batch.itertuples(index=False, name=None)]
-        yield from self._settle(key, fresh, timerValues)
+        names = ["key", "at_us", "row_id", *(n for n, _ in self.payload)]
+        kinds = [self.key, "bigint", "bigint", *(k for _, k in self.payload)]
+        columns = []
+        batch = pd.concat(list(rows))
+        for name, kind in zip(names, kinds):
+            column = batch[name]
+            # a column with a null comes as floats, which a bigint state would take for null
+            columns.append([None if gone else int(v) if kind == "bigint" else v for v, gone in zip(column.tolist(), column.isna().tolist())])
+        yield from self._settle(list(zip(*columns)), timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.timer.clear()
-        yield from self._settle(key, [], timerValues)
+        yield from self._settle([], timerValues)
 
-    def _settle(self, key, fresh: list[tuple], timers) -> Iterator[pd.DataFrame]:
+    def _settle(self, fresh: list[tuple], timers) -> Iterator[pd.DataFrame]:
         mark = timers.getCurrentWatermarkInMs() * 1000
-        had = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        rows = sorted({r[:2]: r for r in [*had, *fresh]}.values(), key=lambda r: r[:2])
-        due, rest = [r for r in rows if r[0] <= mark], [r for r in rows if r[0] > mark]
-        before = tuple(self.state.get()) if self.state.exists() else None
-        state, out = before, []
+        states = {r[0]: tuple(r[1:]) for r in self.states.get()}
+        before, rows = dict(states), {}
+        for r in [*map(tuple, self.waiting.get()), *fresh]:
+            rows.setdefault(r[0], {})[r[1:3]] = r
+        out, rest = [], []
+        for key in rows.keys() | states.keys():
+            own = sorted(rows[key].values(), key=lambda r: r[1:3]) if key in rows else []
+            state, made = self._settle_key(states.get(key), [r for r in own if r[1] <= mark], mark)
+            rest += (r for r in own if r[1] > mark)
+            out += ((key, *o) for o in made)
+            if state is None:
+                states.pop(key, None)
+            else:
+                states[key] = state
+        if states != before:
+            self.states.put([(k, *s) for k, s in states.items()]) if states else self.states.clear()
+        if rows:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        self._arm(min((r[1] for r in rest), default=None), *map(self.deadline, states.values()))
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def _settle_key(self, state: tuple | None, due: list[tuple], mark: int) -> tuple[tuple | None, list[tuple]]:
+        out = []
 
         def act(until: int, rows_first: bool) -> None:
             nonlocal state
@@ -84,21 +114,15 @@ class Settled(StatefulProcessor):
                 state, made = self.on_deadline(state, at)
                 out.extend(made)
 
-        for at, _, *row in due:
+        for _, at, _, *row in due:
             act(at, True)
             state, made = self.on_row(state, at, tuple(row))
             out.extend(made)
         act(mark, False)
-        if state != before:
-            self.state.clear() if state is None else self.state.update(state)
-        if due or fresh:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        self._arm(rest[0][0] if rest else None, self.deadline(state))
-        if out:
-            yield pd.DataFrame([(*key, *o) for o in out], columns=self.columns)
+        return state, out
 
     def _arm(self, *moments: int | None) -> None:
-        """One timer a key, at the first of these moments."""
+        """One timer a bucket, at the first of these moments."""
         wanted = min((-(-m // 1000) for m in moments if m is not None), default=None)
         old = self.timer.get()[0] if self.timer.exists() else None
         if old == wanted:
@@ -120,6 +144,7 @@ class LateEpisodes(Settled):
 
     columns = ["channel_id", "started_us", "ended_us", "rows_cnt", "fault_value", "closed_by"]
     kept = "started_us bigint, rows_cnt bigint, fault_value string"
+    key = "bigint"
 
     def __init__(self, fault_words: tuple[str, ...]):
         super().__init__([("value", "string")])
@@ -194,11 +219,11 @@ class Silences(Settled):
         return (last, norm, True), [("silent", at, last)]
 
 
-def _settle(stream: DataFrame, key: Column, name: str, time: str, row_id: Column, payload: dict[str, Column], late: str, processor: Settled, shape: str) -> DataFrame:
+def _settle(stream: DataFrame, key: Column, time: str, row_id: Column, payload: dict[str, Column], late: str, processor: Settled, shape: str) -> DataFrame:
     # the time column stays beside the microseconds: it carries the watermark
     marked = stream.withWatermark(time, late)
-    rows = marked.select(key.alias(name), F.col(time), F.unix_micros(F.col(time)).alias("at_us"), row_id.cast("long").alias("row_id"), *[c.alias(n) for n, c in payload.items()])
-    return rows.groupBy(name).transformWithStateInPandas(processor, shape, "Append", "EventTime")
+    rows = marked.select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket"), key.alias("key"), F.col(time), F.unix_micros(F.col(time)).alias("at_us"), row_id.cast("long").alias("row_id"), *[c.alias(n) for n, c in payload.items()])
+    return rows.groupBy("bucket").transformWithStateInPandas(processor, shape, "Append", "EventTime")
 
 
 EPISODE = "channel_id bigint, started_us bigint, ended_us bigint, rows_cnt bigint, fault_value string, closed_by string"
@@ -206,13 +231,13 @@ EPISODE = "channel_id bigint, started_us bigint, ended_us bigint, rows_cnt bigin
 
 def late_episodes(stream: DataFrame, fault_words: tuple[str, ...], late: str = "2 days") -> DataFrame:
     """Closed episodes of a reading stream whose rows come in any order, up to ``late``: those of the ordered batch operator that close by the watermark."""
-    return _settle(stream, F.col("channel_id").cast("long"), "channel_id", "read_time", F.col("journal_id"), {"value": F.col("value_text")}, late, LateEpisodes(tuple(fault_words)), EPISODE)
+    return _settle(stream, F.col("channel_id").cast("long"), "read_time", F.col("journal_id"), {"value": F.col("value_text")}, late, LateEpisodes(tuple(fault_words)), EPISODE)
 
 
 def live_heartbeats(stream: DataFrame, policy: dict, late: str = "2 days", forget_min: float = 30 * 1440.0, time: str = "read_time", row_id: str = "journal_id") -> DataFrame:
     """Decisions of a stream of (key, time, id, probability), logged or not, and heartbeats of keys whose rows stay away."""
     shape = "key string, t_us bigint, probability double, risk_class string, reason string"
-    return _settle(stream, F.col("key").cast("string"), "key", time, F.col(row_id), {"probability": F.col("probability").cast("double")}, late, Heartbeats(policy, forget_min), shape)
+    return _settle(stream, F.col("key").cast("string"), time, F.col(row_id), {"probability": F.col("probability").cast("double")}, late, Heartbeats(policy, forget_min), shape)
 
 
 def silence_alerts(stream: DataFrame, source: str, norms: DataFrame, late: str = "2 days", forget: str = "365 days", time: str = "read_time", row_id: str = "journal_id") -> DataFrame:
@@ -224,4 +249,4 @@ def silence_alerts(stream: DataFrame, source: str, norms: DataFrame, late: str =
     micros = int(pd.Timedelta(forget).total_seconds() * 1_000_000)
     payload = {"norm_us": F.col("norm_seconds").cast("long") * 1_000_000}
     shape = "source string, event string, at_us bigint, last_us bigint"
-    return _settle(known, F.col(source).cast("string"), "source", time, F.col(row_id), payload, late, Silences(micros), shape)
+    return _settle(known, F.col(source).cast("string"), time, F.col(row_id), payload, late, Silences(micros), shape)
