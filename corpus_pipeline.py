@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.llm.common import ensure_checkpoint_dir, table
+from episodica.llm.common import cut, ensure_checkpoint_dir, table
 from episodica.llm.decontam import find_leaks
 from episodica.llm.mixing import mix_sources
 from episodica.llm.pii import find_personal, redact
@@ -68,7 +68,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = _packed(docs)
     keyed = rows.select(F.struct("doc_id", "hash").alias("doc_id"), "text")
-    leaks = find_leaks(keyed, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id.*").distinct()
+    leaks = cut(find_leaks(keyed, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id.*").distinct())
     return rows.join(leaks, _same_row(rows, leaks), "left_anti").select("doc.*")
 
 

@@ -342,20 +342,22 @@ def find_leaks(
     shares = met.groupBy("row", "item", "view").agg(F.sum("places").alias("places")).join(totals, ["item", "view"])
     shares = cut(shares.select("row", "item", "view", "total", (F.col("places") / F.col("total")).alias("share")))
     asked = shares.where(slotted & (F.col("share") >= least)).select("row", "item", "view", "total")
+    # in one plan, what follows would have the driver plan some thirty exchanges anew after each of them: it goes by steps
     pairs = hits.where("view > 0").drop("starts").join(asked, ["row", "view"]).join(windows.drop("item_id", "starts"), ["item", "view", "hash"])
-    pairs = pairs.withColumn("shift", F.col("pos") - F.col("item_pos"))
+    pairs = cut(pairs.withColumn("shift", F.col("pos") - F.col("item_pos")))
     alignment = ["row", "item", "view", "shift"]
     slots = pairs.select(*alignment, "item_pos", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).where("s.item_slots <> ''")
     slots = slots.select(*alignment, "item_pos", F.col("s.item_slots").alias("slot"), F.col("s.slots").alias("value"))
     counted = slots.groupBy(*alignment, "slot", "value").agg(F.count("*").alias("times"))
     usual = counted.groupBy(*alignment, "slot").agg(F.max_by("value", F.struct("times", "value")).alias("usual"), F.count("*").alias("values")).where("values > 1").drop("values")
-    other = slots.join(usual, [*alignment, "slot"]).where("value <> usual")
     name, alike = F.col("slot").startswith("n:"), F.arrays_overlap(F.split("value", " "), F.split("usual", " "))
-    broken = other.where(name & ~alike).select(*alignment).distinct()
-    odd = other.where(~name).select(*alignment, "item_pos").distinct()
+    other = slots.join(usual, [*alignment, "slot"]).where((F.col("value") != F.col("usual")) & ~(name & alike))
+    other = cut(other.select(*alignment, "item_pos", name.alias("name")))
+    broken = other.where("name").select(*alignment).distinct()
+    odd = other.where("not name").select(*alignment, "item_pos").distinct()
     sound = pairs.join(broken, alignment, "left_anti").join(odd, [*alignment, "item_pos"], "left_anti")
     sound = sound.groupBy("row", "item", "view", "total").agg(F.count_distinct("item_pos").alias("n"))
-    sound = sound.select("row", "item", (F.col("n") / F.col("total")).alias("share"))
+    sound = cut(sound.select("row", "item", (F.col("n") / F.col("total")).alias("share")))
     plain = shares.where(exact | (F.col("share") < least)).select("row", "item", "share")
     best = plain.unionByName(sound).groupBy("row", "item").agg(F.max("share").alias("share"))
     named = best.join(windows.select("item", "item_id").distinct(), "item")

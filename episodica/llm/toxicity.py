@@ -60,22 +60,25 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 300) -> np.ndarray:
-    """Weights and, last, the bias of an L2 logistic model, by accelerated gradient steps."""
-    n, m = x.shape
-    w, v, rate = np.zeros(m + 1, np.float32), np.zeros(m + 1, np.float32), np.float32(min(0.9, (y.mean() * 0.98 + 0.01)))
+def fit_logistic(x: np.ndarray, y: np.ndarray, inside: np.ndarray, l2: float = 1e-4, rounds: int = 300) -> np.ndarray:
+    """Weights and, last, the bias of an L2 logistic model, by accelerated gradient steps.
+
+    ``inside`` is 1 for the rows to learn from and 0 for the others, which count for nothing; so no fold copies ``x``.
+    """
+    n, m = float(inside.sum()), x.shape[1]
+    w, v, rate = np.zeros(m + 1, np.float32), np.zeros(m + 1, np.float32), np.float32(min(0.9, (float(y @ inside) / n * 0.98 + 0.01)))
     w[-1] = v[-1] = np.log(rate / (1 - rate))
     # the curvature is at most a quarter of the largest eigenvalue of X'X / n, found by a few power steps
     u = np.ones(m, np.float32)
     for _ in range(8):
-        u = x.T @ (x @ u)
+        u = x.T @ (x @ u * inside)
         u /= max(float(np.linalg.norm(u)), 1e-12)
-    top = float(np.linalg.norm(x @ u) ** 2) / n
+    top = float(np.linalg.norm(x @ u * inside) ** 2) / n
     step = np.float32(1 / (0.25 * (top + 1) * 1.1 + l2))
     t = 1.0
     for _ in range(rounds):
-        e = _sigmoid(x @ v[:-1] + v[-1]) - y
-        g = np.append(x.T @ e / n + l2 * v[:-1], e.mean()).astype(np.float32)
+        e = (_sigmoid(x @ v[:-1] + v[-1]) - y) * inside
+        g = np.append(x.T @ e / n + l2 * v[:-1], e.sum() / n).astype(np.float32)
         new, t2 = v - step * g, (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + np.float32((t - 1) / t2) * (new - w), new, t2
     return w
@@ -150,18 +153,23 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray, names: list[str],
     if not len(labels):
         chain.weights = [np.append(np.zeros(len(best) + k, np.float32), np.float32(-5)) for k in range(len(names))]
         return chain
-    x = _dense([np.searchsorted(best, f[np.isin(f, best)]) for f in features], len(best))
-    fold, earlier = np.arange(len(x)) % folds, np.zeros((len(x), 0), np.float32)
+    # one matrix: the features' columns, then what each category adds for the later ones
+    x = np.zeros((len(features), len(best) + len(names)), np.float32)
+    column = np.full(BUCKETS, -1, np.int32)
+    column[best] = np.arange(len(best))
+    for i, f in enumerate(features):
+        at = column[f]
+        x[i, at[at >= 0]] = 1
+    fold, held = np.arange(len(x)) % folds, np.zeros(len(x), np.float32)
     for k in range(len(names)):
-        y, xs = labels[:, k].astype(np.float32), np.concatenate([x, earlier - 0.5], axis=1) if k else x
-        held = np.zeros(len(x), np.float32)
+        y, xs = labels[:, k].astype(np.float32), x[:, : len(best) + k]
         for f in range(folds):
-            inside = fold != f
-            w = fit_logistic(xs[inside], y[inside]) if inside.any() else np.zeros(xs.shape[1] + 1, np.float32)
-            held[~inside] = _sigmoid(xs[~inside] @ w[:-1] + w[-1])
-        chain.weights.append(fit_logistic(xs, y))
-        earlier = np.concatenate([earlier, held[:, None]], axis=1)
-    chain.threshold = best_threshold(earlier[:, -1], labels[:, -1])
+            inside = (fold != f).astype(np.float32)
+            w = fit_logistic(xs, y, inside) if inside.any() else np.zeros(xs.shape[1] + 1, np.float32)
+            held[fold == f] = _sigmoid(xs @ w[:-1] + w[-1])[fold == f]
+        chain.weights.append(fit_logistic(xs, y, np.ones(len(x), np.float32)))
+        x[:, len(best) + k] = held - 0.5
+    chain.threshold = best_threshold(held, labels[:, -1])
     return chain
 
 
@@ -190,10 +198,12 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample_rows: int, id_c
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.binary())], ["doc_id", "h", "toxic", "f"])
 
     rows = rows.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "toxic", "t")
-    got = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, h bigint, toxic int, f binary").collect()
-    got.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.h))
-    features = [np.frombuffer(r.f, np.int32) for r in got]
-    return features, toxic_kinds(features, np.array([r.toxic for r in got], np.float32)), [*(f"kind_{k + 1}" for k in range(KINDS)), "toxic"]
+    # as Arrow: neither the JVM nor Python then holds a row's features as an object of its own
+    got = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, h bigint, toxic int, f binary").toArrow()
+    ids, hashes = got["doc_id"].to_pylist(), got["h"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i], hashes[i]))
+    features = [np.frombuffer(got["f"][i].as_buffer(), np.int32) for i in order]
+    return features, toxic_kinds(features, got["toxic"].to_numpy()[order].astype(np.float32)), [*(f"kind_{k + 1}" for k in range(KINDS)), "toxic"]
 
 
 def score_chain(docs: DataFrame, chain: Chain, keep: list[str], *, text_col: str = "text", block: int = 256) -> DataFrame:
