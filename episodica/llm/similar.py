@@ -12,18 +12,22 @@ largest component.  Components are those of all verified pairs.  Where over ``FE
 (pages of one site template resemble each other at 0.7), its members meet by prefixes instead: their shingles are put
 in order of how many of these sets hold them, and two sets as similar as asked share a shingle among the first ones
 of both.  Shingles of the template stand last in that order, so such pages meet only where they share more than
-the template.  Both ways lose no pair of the bucket.
+the template.  Both ways lose no pair of the bucket.  Where pairs are made there, both sets' bits are compared at once:
+each of ``BITS`` bits says whether an odd number of shingles falls on it, so sets differ in as many shingles as bits
+at least, and pairs that differ in more than the similarity allows are not made.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty
@@ -35,6 +39,8 @@ BANDS, ROWS = 32, 6
 CHUNK = 256
 #: Members outside a bucket's largest component that are held against all its members.
 FEW = 64
+#: Bits of a set that are compared before the set itself.
+BITS = 256
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -89,12 +95,25 @@ def _sketches(width: int):
     return run
 
 
+def set_bits(found: np.ndarray) -> np.ndarray:
+    """``BITS`` parities of a set's hashes, as longs."""
+    odd = np.bincount((found % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_resemble(x: str, y: str, sizes: Column, similarity: float) -> Column:
+    """Whether sets with bits ``x`` and ``y``, of ``sizes`` together, may be similar; false only if they are not."""
+    apart = reduce(add, [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(BITS // 64)])
+    return apart <= sizes * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+
+
 def _sets(width: int):
-    """mapInArrow: (node, t) -> (node, set), the set as the bytes of its hashes."""
+    """mapInArrow: (node, t) -> (node, set, bits), the set as the bytes of its hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), width).tobytes() for t in b.column(1)], pa.binary())], ["node", "set"])
+            found = [shingle_set(t.as_py(), width) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([set_bits(x) for x in found], pa.list_(pa.int64()))], ["node", "set", "bits"])
 
     return run
 
@@ -108,7 +127,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, na, b, nb) of ``members`` (node, n, root) of different roots; every pair of that similarity is among them.
+    """Pairs (a, na, b, nb) of ``members`` (node, n, root, and bits if known) of different roots; every pair of that similarity is among them.
 
     Two sets of sizes m <= n that similar share s*n shingles and 2s/(1+s)*m, so the least frequent one they share
     stands among the first n - s*n + 1 of the greater and the first m - 2s/(1+s)*m + 1 of the smaller one.  Sizes are
@@ -123,10 +142,13 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> Data
         return placed.where(F.col("place") <= F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1)
 
     width = F.floor(F.log("n") / -math.log(similarity))
-    small = first(2 * similarity / (1 + similarity)).select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), width.alias("width"))
-    great = first(similarity).select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.explode(F.array(width - 2, width - 1, width)).alias("width"))
-    ordered = F.struct("na", "a") < F.struct("nb", "b")
-    return small.join(great, ["shingle", "width"]).where(ordered & (F.col("ra") != F.col("rb"))).select("a", "na", "b", "nb").distinct()
+    known = ["bits"] if "bits" in members.columns else []
+    small = first(2 * similarity / (1 + similarity)).select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), width.alias("width"), *[F.col(x).alias("x") for x in known])
+    great = first(similarity).select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.explode(F.array(width - 2, width - 1, width)).alias("width"), *[F.col(x).alias("y") for x in known])
+    asked = (F.struct("na", "a") < F.struct("nb", "b")) & (F.col("ra") != F.col("rb"))
+    if known:
+        asked &= may_resemble("x", "y", F.col("na") + F.col("nb"), similarity)
+    return small.join(great, ["shingle", "width"]).where(asked).select("a", "na", "b", "nb").distinct()
 
 
 def _verified(similarity: float):
@@ -165,7 +187,7 @@ def similar_components(docs: DataFrame, id_col: str, text_col: str, width: int,
     asked = crowd.select("node", "text_hash").unionByName(sketches.select("node", "text_hash").join(ends, "node", "left_semi"))
     picked = asked.groupBy("text_hash").agg(F.min("node").alias("node"))
     shown = texts.select("text_hash", "t").join(picked, "text_hash").dropDuplicates(["text_hash"])
-    sets = cut(shown.select("node", "t").mapInArrow(_sets(width), "node bigint, set binary"))
+    sets = cut(shown.select("node", "t").mapInArrow(_sets(width), "node bigint, set binary, bits array<bigint>"))
 
     def links(pairs: DataFrame) -> DataFrame:
         """The similar ones of (a, na, b, nb); sizes settle what they can."""
@@ -179,15 +201,15 @@ def similar_components(docs: DataFrame, id_col: str, text_col: str, width: int,
     placed = crowd.join(first, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     shares = placed.groupBy("key", "root").agg(F.count("*").alias("held"))
     most = shares.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("held", "root")).alias("most")).where("roots > 1").drop("roots")
-    placed = cut(placed.join(most, "key"))
-    few = placed.where("root <> most").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    placed = cut(placed.join(most, "key").join(sets.select("node", "bits"), "node"))
+    few = placed.where("root <> most").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("bits").alias("x"))
     wide = cut(few.groupBy("key").agg(F.count("*").alias("outside")).where(F.col("outside") > FEW).select("key"))
     few = few.join(wide, "key", "left_anti")
-    every = placed.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    across = few.join(every, "key").where("ra <> rb")
+    every = placed.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("bits").alias("y"))
+    across = few.join(every, "key").where((F.col("ra") != F.col("rb")) & may_resemble("x", "y", F.col("na") + F.col("nb"), similarity))
     across = across.select(*[F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("b", "a"), ("nb", "na"))])
     if not wide.isEmpty():
-        across = across.unionByName(prefix_pairs(placed.join(wide, "key", "left_semi").select("node", "n", "root").distinct(), sets, similarity))
+        across = across.unionByName(prefix_pairs(placed.join(wide, "key", "left_semi").select("node", "n", "root", "bits").dropDuplicates(["node"]), sets, similarity))
     across = links(across)
     member = cut(connected_components(stars.unionByName(across)))
     return rows.join(member, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("component"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from episodica.llm.common import table
 from episodica.llm.decontam import find_leaks
+from episodica.llm.similar import may_resemble, set_bits
 from episodica.llm.toxicity import fit_chain, labelled_features
 
 
@@ -41,3 +42,19 @@ def test_labelled_features_order_and_rows_without_words(spark):
     assert sorted(map(len, features)) == [0, 0, 0, 1, 2] and y[:, -1].sum() == 2
     assert [list(f) for f in features] == [list(f) for f in labelled_features(docs.repartition(3), labels, 10)[0]]
     assert labelled_features(docs.limit(0), labels, 10)[1].shape == (0, 3)
+
+
+def test_bits_rule_out_no_similar_pair(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(400):
+        n, share = int(rng.integers(1, 400)), rng.choice([0.5, 0.7, 0.8, 0.81, 0.9, 1.0])
+        pool = rng.integers(0, 2**63, 2 * n, np.uint64)
+        both = int(np.ceil(2 * share / (1 + share) * n))
+        x, y = np.unique(pool[:n]), np.unique(np.concatenate([pool[:both], pool[n : 2 * n - both]]))
+        met = len(np.intersect1d(x, y))
+        rows.append((i, set_bits(x).tolist(), set_bits(y).tolist(), len(x) + len(y), met >= 0.8 * (len(x) + len(y) - met)))
+    df = spark.createDataFrame(rows, "i long, x array<bigint>, y array<bigint>, n long, similar boolean")
+    judged = df.withColumn("may", may_resemble("x", "y", F.col("n"), 0.8))
+    assert judged.where("similar").count() > 150 and judged.where("similar and not may").count() == 0
+    assert judged.where("not similar and not may").count() > 50
