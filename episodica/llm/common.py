@@ -21,10 +21,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
 
 
+#: Spark's setting (4.1 on) that shuffle files go when their query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared checkpoint folder, so a lost executor costs a re-read only."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` once in the shared checkpoint folder, so a lost executor costs a re-read only.
+
+    The shuffle files behind it go at once, for else they stay until the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        # a query takes the setting when it is made
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

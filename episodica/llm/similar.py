@@ -134,17 +134,20 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     compared by equality of their classes, each a factor s wide.
     """
     each = sets.join(members.select("node"), "node", "left_semi").select("node", "set").mapInArrow(_shingles, "node bigint, shingle bigint")
-    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
-    placed = each.join(often, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")))
-    placed = placed.where("often > 1").join(members, "node")
+    often = cut(each.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1"))
+    # shingles of one set alone stand first, so places are counted from the end
+    order = Window.partitionBy("node").orderBy(F.desc("often"), F.desc("shingle"))
+    placed = each.join(often, "shingle").withColumn("left", F.row_number().over(order)).join(members, "node")
 
-    def first(share: float) -> DataFrame:
-        return placed.where(F.col("place") <= F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1)
+    def first(placed: DataFrame, share: float) -> DataFrame:
+        return placed.where(F.col("left") >= F.ceil(share * F.col("n") - 1e-9))
+
+    placed = cut(first(placed, similarity))
 
     width = F.floor(F.log("n") / -math.log(similarity))
     known = ["bits"] if "bits" in members.columns else []
-    small = first(2 * similarity / (1 + similarity)).select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), width.alias("width"), *[F.col(x).alias("x") for x in known])
-    great = first(similarity).select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.explode(F.array(width - 2, width - 1, width)).alias("width"), *[F.col(x).alias("y") for x in known])
+    small = first(placed, 2 * similarity / (1 + similarity)).select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), width.alias("width"), *[F.col(x).alias("x") for x in known])
+    great = placed.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.explode(F.array(width - 2, width - 1, width)).alias("width"), *[F.col(x).alias("y") for x in known])
     asked = (F.struct("na", "a") < F.struct("nb", "b")) & (F.col("ra") != F.col("rb"))
     if known:
         asked &= may_resemble("x", "y", F.col("na") + F.col("nb"), similarity)
@@ -209,7 +212,8 @@ def similar_components(docs: DataFrame, id_col: str, text_col: str, width: int,
     across = few.join(every, "key").where((F.col("ra") != F.col("rb")) & may_resemble("x", "y", F.col("na") + F.col("nb"), similarity))
     across = across.select(*[F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("b", "a"), ("nb", "na"))])
     if not wide.isEmpty():
-        across = across.unionByName(prefix_pairs(placed.join(wide, "key", "left_semi").select("node", "n", "root", "bits").dropDuplicates(["node"]), sets, similarity))
+        crowded = cut(placed.join(wide, "key", "left_semi").select("node", "n", "root", "bits").dropDuplicates(["node"]))
+        across = across.unionByName(prefix_pairs(crowded, sets, similarity))
     across = links(across)
     member = cut(connected_components(stars.unionByName(across)))
     return rows.join(member, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("component"))
