@@ -1,9 +1,12 @@
 """What steps leave on disk, and how many of them there are."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from episodica.llm import components, similar
-from episodica.llm.common import CLEANUP, cut
+from episodica.llm.common import CLEANUP, EXCLUDED, cut
 
 
 def shuffle_files(spark):
@@ -20,6 +23,33 @@ def test_a_cut_leaves_no_shuffle_files(spark):
     assert out.count() == df.count() == len(df.collect()) == 50 and out.columns == df.columns
 
 
+@pytest.mark.parametrize(("limit", "rules"), [("-1", None), ("10m", "some.Rule")])
+def test_no_stage_outlives_a_cut(spark, limit, rules):
+    """Tasks that outlive it ask a cluster's driver for shuffle files that are gone, and hold their cores for minutes."""
+    done = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def slow(x):
+        time.sleep(0.1)
+        done.add(1)
+        return x
+
+    kept = {name: spark.conf.get(name, None) for name in (EXCLUDED, "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    if rules:
+        spark.conf.set(EXCLUDED, rules)
+    try:
+        # nothing but the run shows that one side is empty
+        many = spark.range(40, numPartitions=3).select(F.col("id").alias("k"), slow("id").alias("x"))
+        none = spark.range(0, 1000, 1, 2).where(F.spark_partition_id() > 9).groupBy(F.col("id").alias("k")).count()
+        out = cut(many.join(none, "k"))
+        assert done.value == 40 and spark.conf.get(EXCLUDED, None) == rules
+        assert out.count() == 0 and out.columns == ["k", "x", "count"]
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+
+
 def rounds(spark, monkeypatch, edges):
     made = []
     monkeypatch.setattr(components, "cut", lambda df: made.append(1) or cut(df))
